@@ -93,7 +93,7 @@ class WordEncoder:
     Anything else is encoded by itself.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -113,8 +113,6 @@ class WordEncoder:
         return [ids[a:b].tobytes() for a, b in zip([0, *at[:-1].tolist()], at.tolist())]
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
         if len(self.cores) > self.limit:
             self.cores.clear()
         split, others = [], []
@@ -139,6 +137,8 @@ class WordEncoder:
             return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
         except KeyError:
             pass
+        if len(self.known) > self.limit:
+            self.known.clear()
         parts = []
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
@@ -147,6 +147,16 @@ class WordEncoder:
         return np.frombuffer(b"".join(parts), "<u4")
 
 
+#: Encoders of this process by path; a reused worker keeps the words it has met.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -184,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def run(batches):
         from pyspark import TaskContext
 
-        encode = WordEncoder(source or tokenizer_path())
+        encode = encoder(source or tokenizer_path())
         rows = ((d, t) for b in batches for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
         file = TaskContext.get().partitionId()
         for number, n, data in images(rows, encode, end_id):
