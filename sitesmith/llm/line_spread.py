@@ -71,10 +71,10 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH l AS (SELECT doc_id, source, text, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS at FROM documents),
+WITH l AS (SELECT doc_id, source, text, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS n FROM documents),
 s AS (SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT coalesce(source, '')) >= {SITES}),
 m AS (SELECT l.*, s.line IS NOT NULL AS gone FROM l LEFT JOIN s ON trim(l.line, ' ') = s.line)
-SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (gone)::INT AS n_removed,
-  CASE WHEN bool_or(gone) THEN coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '') ELSE any_value(text) END AS text
+SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (WHERE gone)::INT AS n_removed,
+  CASE WHEN bool_or(gone) THEN coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') ELSE any_value(text) END AS text
 FROM m GROUP BY doc_id
 """
