@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesmith.llm import containment, kneser_ney, mixing, simhash, token_files
+from sitesmith.llm import containment, fixity, kneser_ney, line_spread, mixing, pii, quality_rules, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_line_spread": line_spread.op2_line_spread,
         "op4_quality": kneser_ney.op4_quality,
+        "op5_fixity": fixity.op5_fixity,
         "op6_mix": mixing.op6_mix,
         "op7_tokens": token_files.op7_tokens,
         "op8_decontaminate": containment.op8_decontaminate,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.ORACLE}
+    return {"op2_line_spread": line_spread.ORACLE, "op6_mix": mixing.ORACLE}
