@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesmith.llm import containment, fixity, kneser_ney, line_spread, mixing, pii, quality_rules, simhash, token_files
+from sitesmith.llm import containment, fixity, kneser_ney, line_spread, mixing, passages, pii, quality_rules, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_line_spread": line_spread.op2_line_spread,
+        "op3_passages": passages.op3_passages,
         "op4_quality": kneser_ney.op4_quality,
         "op5_fixity": fixity.op5_fixity,
         "op6_mix": mixing.op6_mix,
