@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesmith.plans import quoting, siting
+from sitesmith.plans import quoting, scanning, siting
 
-MODULES = (quoting, siting)
+MODULES = (quoting, siting, scanning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

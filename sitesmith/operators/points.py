@@ -63,16 +63,13 @@ def remove_outliers(points: DataFrame, k: int, sigma: float) -> DataFrame:
 
 
 def triples(n: int, iterations: int, seed: int = 1) -> list[tuple[int, int, int, int]]:
-    """(iteration, three different places below n) from a linear congruential sequence; the same on every engine."""
-    out, s = [], seed
+    """(iteration, three different places below n) by modular steps; the same on every engine."""
+    out = []
     for it in range(iterations):
-        got: list[int] = []
-        while len(got) < 3:
-            s = (s * 1103515245 + 12345) % 2147483648
-            at = (s // 65536) % n
-            if at not in got:
-                got.append(at)
-        out.append((it, *got))
+        k = it + seed * 1000003
+        first, second, third = k * 7919 % n, 1 + k * 104729 % (n - 1), 1 + k * 15485863 % (n - 2)
+        third += third >= second
+        out.append((it, first, (first + second) % n, (first + third) % n))
     return out
 
 
