@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesmith.plans import quoting, scanning, siting
+from sitesmith.plans import artefacts, quoting, scanning, siting, storing
 
-MODULES = (quoting, siting, scanning)
+MODULES = (quoting, siting, scanning, storing, artefacts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

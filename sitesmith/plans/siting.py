@@ -118,7 +118,7 @@ def _solstices(df: DataFrame) -> DataFrame:
 SELECT event_id, round(alt, 5) AS altitude, round(az, 5) AS azimuth FROM p""")
 def sun_position(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("user_id")
-    alt, az = solar.sun_position((u * 37 % 140).cast("double") - 70, (u * 91 % 360).cast("double") - 180, F.unix_timestamp("ts").cast("double"))
+    alt, az = solar.sun_position((u * 37 % 140).cast("double") - 70, (u * 91 % 360).cast("double") - 180, F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))
     return bind.t(spark, d, "events").select("event_id", F.round(alt, 5).alias("altitude"), F.round(az, 5).alias("azimuth"))
 
 
