@@ -5,9 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitesmith.operators.graph import shared_table
+
 
 def _cells(df: DataFrame, dims: list[str], size: float, prefix: str) -> DataFrame:
     for i, d in enumerate(dims):
@@ -41,34 +45,90 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: list[str
     return j.withColumn("d2", distance2(dims)).where(F.col("d2") <= radius * radius).select("a", "b", "d2")
 
 
-def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, cell: float | None = None, max_rounds: int = 40) -> DataFrame:
-    """The k nearest of each point in its `by` group, itself included: key, other, d2, rank (1..k), ties by the other's key.
+#: Points of a tile that are compared with a tile and its halo at a time.
+ROWS_AT_ONCE = 1024
+
+
+def _tile_knn(own: np.ndarray, near: np.ndarray, k: int, reach: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each own row its k nearest of near, which is in order of key: (own row, near row, d2) and which own rows are certain.
 
-    Points are looked for within a growing radius: those with k others inside it are done,
-    since nothing outside can be nearer; the rest try twice the radius, over all points. The first radius
-    comes from the density of the groups unless given. Groups of k points or fewer give all they have.
+    A row is certain if its k-th distance is within reach of its tile's halo, or near holds the whole group.
+    """
+    rows, cols, d2s, sure = [], [], [], np.zeros(len(own), bool)
+    k = min(k, len(near))
+    for at in range(0, len(own), ROWS_AT_ONCE):
+        part = own[at : at + ROWS_AT_ONCE]
+        d2 = sum((part[:, i, None] - near[None, :, i]) ** 2 for i in range(own.shape[1]))
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        sure[at : at + len(part)] = whole | (np.sqrt(kth) <= reach)
+        i, j = np.nonzero(d2 <= kth[:, None])
+        v = d2[i, j]
+        order = np.lexsort((j, v, i))
+        i, j, v = i[order], j[order], v[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        ok = (rank < k) & sure[at + i]
+        rows.append(i[ok] + at), cols.append(j[ok]), d2s.append(v[ok])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(d2s), sure
+
+
+def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, cell: float | None = None, tile_points: int = 4096, max_rounds: int = 60) -> DataFrame:
+    """The k nearest of each point in its `by` group, itself included: the by columns, key, other, d2, rank (1..k), ties by the other's key.
+
+    Keys are numbers or strings, different within a group. Space is cut into tiles of about tile_points points at mean density; every tile meets a copy
+    of the points in a halo around it and compares in blocks of bounded size. What lies beyond
+    the halo cannot be nearer than the halo is wide, so points whose k-th neighbour is within
+    that are done. The others go again with twice the halo, which only copies points into the
+    tiles that still have some. Groups of k points or fewer give all they have.
     """
     by = by or []
-    cols = points.select(key, *by, *dims)
-    sizes = cols.groupBy(*by).agg(F.count("*").alias("__n"), *[(F.max(d) - F.min(d)).alias(f"__e{i}") for i, d in enumerate(dims)])
-    if cell is None:
-        vol = reduce(lambda x, y: x * y, [F.greatest(F.col(f"__e{i}"), F.lit(1e-6)) for i in range(len(dims))])
-        cell = sizes.agg(F.percentile_approx(F.pow(vol * (1.5 * k) / F.col("__n"), F.lit(1.0 / len(dims))), 0.5)).first()[0] or 1.0
-    rest, done, radius = cols, None, float(cell)
-    limit = F.least(F.col("__n"), F.lit(k))
-    join_sizes = lambda df: df.join(F.broadcast(sizes.select(*by, "__n")), by) if by else df.crossJoin(F.broadcast(sizes.select("__n")))  # noqa: E731  one row a group
+    kinds = dict(points.dtypes)
+    cols = points.select(F.col(key).alias("key"), *by, *[F.col(d).cast("double").alias(d) for d in dims])
+    extent = reduce(lambda x, y: x * y, [F.greatest(F.max(d) - F.min(d), F.lit(1e-6)) for d in dims])
+    # one number for all groups: the side of a cube that holds tile_points in the middling group
+    side = cols.groupBy(*by).agg(F.pow(extent * tile_points / F.count("*"), F.lit(1.0 / len(dims))).alias("s")).agg(F.percentile_approx("s", 0.5)).first()[0]
+    side = float(side or 1.0)
+    halo = float(cell) if cell else side * (min(1.0, 4.0 * k / tile_points)) ** (1.0 / len(dims))
+    sizes = cols.groupBy(*by).agg(F.count("*").alias("__n"))
+    cols = _cells(cols, dims, side, "__c").join(F.broadcast(sizes), by) if by else _cells(cols, dims, side, "__c").crossJoin(F.broadcast(sizes))  # a row a group
+    tile = [f"__c{i}" for i in range(len(dims))]
+    out_ddl = f"key {kinds[key]}, {''.join(f'{c} {kinds[c]}, ' for c in by)}other {kinds[key]}, d2 double, rank int, left boolean"
+    rest, done = cols.withColumn("__own", F.lit(True)), None
+
     for _ in range(max_rounds):
-        pairs = radius_join(rest, cols, radius, dims, by)
-        w = Window.partitionBy("key").orderBy("d2", "other")
-        near = pairs.select(F.col(f"a.{key}").alias("key"), *[F.col(f"a.{c}").alias(c) for c in by], F.col(f"b.{key}").alias("other"), "d2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        got = join_sizes(near).withColumn("__have", F.count("*").over(Window.partitionBy("key"))).where(F.col("__have") >= limit).select("key", *by, "other", "d2", "rank")
-        got = got.checkpoint() if got.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else got.persist()
-        done = got if done is None else done.unionByName(got)
-        rest = rest.join(got.select(F.col("key").alias(key)).distinct(), key, "left_anti")
-        if rest.isEmpty():
-            break
-        radius *= 2
-    return done
+        reach = halo
+
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("key").reset_index(drop=True)
+            own = g.index[g["__own"]].to_numpy()
+            i, j, d2, sure = _tile_knn(g.loc[own, dims].to_numpy(float), g[dims].to_numpy(float), k, reach, len(g) == g["__n"].iloc[0])
+            keys = g["key"].to_numpy()
+            rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+            out = pd.DataFrame({"key": keys[own[i]], "other": keys[j], "d2": d2, "rank": rank.astype(np.int32), "left": False})
+            rest = pd.DataFrame({"key": keys[own[~sure]], "other": keys[own[~sure]], "d2": 0.0, "rank": np.int32(0), "left": True})
+            both = pd.concat([out, rest])
+            for c in by:
+                both[c] = g[c].iloc[0]
+            return both[["key", *by, "other", "d2", "rank", "left"]]
+
+        # copies into the tiles around that the halo reaches
+        moved = cols
+        for d, c in zip(dims, tile):
+            low, high = F.floor((F.col(d) - halo) / side).cast("long"), F.floor((F.col(d) + halo) / side).cast("long")
+            moved = moved.withColumn("__t", F.explode(F.sequence(low, high))).withColumn(c + "h", F.col("__t")).drop("__t")
+        away = reduce(lambda x, y: x | y, [F.col(c) != F.col(c + "h") for c in tile])
+        copies = moved.where(away).select("key", *by, *dims, *[F.col(c + "h").alias(c) for c in tile], "__n", F.lit(False).alias("__own"))
+        live = rest.select(*by, *tile).distinct()
+        inside = cols.withColumn("__own", F.lit(True)) if done is None else cols.join(rest.select(*by, "key", F.lit(True).alias("__r")), [*by, "key"], "left").withColumn("__own", F.coalesce("__r", F.lit(False))).drop("__r")
+        pool = inside.select("key", *by, *dims, *tile, "__n", "__own").unionByName(copies).join(live, [*by, *tile], "left_semi")
+        got = shared_table(pool.groupBy(*by, *tile).applyInPandas(run, out_ddl), "knn")
+        part = got.where("not left").drop("left")
+        done = part if done is None else done.unionByName(part)
+        open_ = got.where("left").select(*by, "key")
+        if open_.isEmpty():
+            return done
+        rest = cols.join(open_, [*by, "key"], "left_semi").withColumn("__own", F.lit(True))
+        halo *= 2
+    raise RuntimeError("nearest neighbours did not settle")
 
 
 def band_join(df: DataFrame, bands: DataFrame, value: str, low: str = "low", high: str = "high", cell: float = 1.0) -> DataFrame:

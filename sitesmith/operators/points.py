@@ -49,9 +49,8 @@ def bounding_box(points: DataFrame, by: list[str]) -> DataFrame:
 
 def knn_mean_distance(points: DataFrame, k: int) -> DataFrame:
     """(scan_id, idx) -> mean distance to the k nearest others (k + 1 looked up, the point itself not counted)."""
-    keyed = points.select(F.struct("scan_id", "idx").alias("key"), "scan_id", *XYZ)
-    near = knn_join(keyed, k + 1, XYZ, "key", by=["scan_id"])
-    return near.where("rank > 1").groupBy("key").agg((F.sum(F.sqrt("d2")) / k).alias("mean_d")).select("key.scan_id", "key.idx", "mean_d")
+    near = knn_join(points, k + 1, XYZ, "idx", by=["scan_id"])
+    return near.where("rank > 1").groupBy("scan_id", F.col("key").alias("idx")).agg((F.sum(F.sqrt("d2")) / k).alias("mean_d"))
 
 
 def remove_outliers(points: DataFrame, k: int, sigma: float) -> DataFrame:
@@ -268,13 +267,12 @@ def covariance_features(points: DataFrame, k: int) -> DataFrame:
     """
     if k < 3:
         raise ValueError("k must be at least 3")
-    keyed = points.select(F.struct("scan_id", "idx").alias("key"), "scan_id", *XYZ)
-    near = knn_join(keyed, k, XYZ, "key", by=["scan_id"])
-    at = keyed.select(F.col("key").alias("other"), *XYZ)
-    cov = near.join(at, "other").groupBy("key").agg(
+    near = knn_join(points, k, XYZ, "idx", by=["scan_id"])
+    at = points.select("scan_id", F.col("idx").alias("other"), *XYZ)
+    cov = near.join(at, ["scan_id", "other"]).groupBy("scan_id", F.col("key").alias("idx")).agg(
         F.count("*").alias("n"), *[F.var_pop(d).alias(d * 2) for d in XYZ], *[F.covar_pop(a, b).alias(a + b) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))]
     )
-    return with_eigen(cov.select("key.scan_id", "key.idx", "n", "xx", "yy", "zz", "xy", "xz", "yz"))
+    return with_eigen(cov)
 
 
 def with_eigen(cov: DataFrame) -> DataFrame:

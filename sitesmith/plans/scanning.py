@@ -49,9 +49,8 @@ _CUT = f"cu AS (SELECT scan_id, avg(mean_d) + {SIGMA}::DOUBLE * stddev_pop(mean_
 
 @query(f"WITH {bind.CLOUD}, {_KNN} SELECT scan_id, idx, other, rank::INT AS rank, round(d2, 9) AS d2 FROM nn WHERE rank <= {K}")
 def knn(spark: SparkSession, d: str) -> DataFrame:
-    c = bind.cloud(spark, d).select(F.struct("scan_id", "idx").alias("key"), "scan_id", "x", "y", "z")
-    n = joins.knn_join(c, K, points.XYZ, "key", by=["scan_id"])
-    return n.select("key.scan_id", "key.idx", F.col("other.idx").alias("other"), "rank", F.round("d2", 9).alias("d2"))
+    n = joins.knn_join(bind.cloud(spark, d), K, points.XYZ, "idx", by=["scan_id"])
+    return n.select("scan_id", F.col("key").alias("idx"), "other", "rank", F.round("d2", 9).alias("d2"))
 
 
 @query(f"WITH {bind.CLOUD}, {_KNN}, {_MEAN}, {_CUT} SELECT scan_id, idx FROM ok")
