@@ -21,6 +21,9 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
 
 
+# explode_outer below: for a plain explode Spark adds a filter that makes the array a second time
+
+
 def lines_of(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\r?\n", -1)
 
@@ -33,7 +36,7 @@ def spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     estimate within ERRORS standard errors of the threshold have their distinct sites counted,
     from pairs dealt by line and site.
     """
-    pairs = docs.select(F.coalesce(F.col("site"), F.lit("")).alias("site"), F.explode(F.transform(lines_of("text"), line_key)).alias("k")).where("k is not null").select("k.a", "k.b", "site")
+    pairs = docs.select(F.coalesce(F.col("site"), F.lit("")).alias("site"), F.explode_outer(F.transform(lines_of("text"), line_key)).alias("k")).where("k is not null").select("k.a", "k.b", "site")
     known = pairs.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("est"))
     margin = ERRORS * 1.04 / (2 ** (LG_K / 2))
     known = stored(known.where(F.col("est") >= int(sites * (1 - margin))), "line-spread")
@@ -55,7 +58,7 @@ def without_spread_lines(docs: DataFrame, site: str = "source", sites: int = SIT
     """
     rows = docs.select("doc_id", F.col(site).cast("string").alias("site"), "text")
     spread = stored(spread_lines(rows, sites), "spread-lines")
-    held = rows.select("doc_id", F.explode(F.array_distinct(F.transform(lines_of("text"), line_key))).alias("k")).where("k is not null").select("doc_id", "k.a", "k.b")
+    held = rows.select("doc_id", F.explode_outer(F.array_distinct(F.transform(lines_of("text"), line_key))).alias("k")).where("k is not null").select("doc_id", "k.a", "k.b")
     found = held.join(spread, ["a", "b"]).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone")).withColumnRenamed("doc_id", "__id")
     lines = rows.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "gone", lines_of("text").alias("lines"))
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("gone"), line_key(x)), F.lit(False)))

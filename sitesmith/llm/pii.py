@@ -184,8 +184,9 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
     text between mentions. Null text stays null. Repeated rows repeat; a repeated doc_id with
     different texts uses the surrogates of all of them. Extra columns are ignored.
     """
-    found = docs.select("doc_id", F.array_distinct(mentions("text")).alias("own")).where("size(own) > 0")
-    found = stored(found.select("doc_id", F.explode("own").alias("raw")).withColumn("entity", norm(F.col("raw"))), "pii-mentions")
+    # explode_outer: for a plain explode, or a filter on the size, Spark searches the text a second time
+    found = docs.select("doc_id", F.explode_outer(F.array_distinct(mentions("text"))).alias("raw")).where("raw is not null")
+    found = stored(found.withColumn("entity", norm(F.col("raw"))), "pii-mentions")
     made = replacements(found.select("entity").distinct(), key)
     lists = found.join(made, "entity").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("raw", "surrogate"))).alias("own"))
     rows = docs.select("doc_id", "text")
