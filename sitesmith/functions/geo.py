@@ -122,3 +122,10 @@ def rect_union_area(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
 def rect_overlap_area(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     zero = F.lit(0.0)
     return F.greatest(F.least(ax1, bx1) - F.greatest(ax0, bx0), zero) * F.greatest(F.least(ay1, by1) - F.greatest(ay0, by0), zero)
+
+
+def near_first_vertex(ring: Column, px: Column, py: Column, threshold: float) -> Column:
+    """Whether a point would close an open ring of three vertices or more."""
+    p = F.get(ring, F.lit(0))
+    d2 = (p["x"] - px) * (p["x"] - px) + (p["y"] - py) * (p["y"] - py)
+    return (F.size(ring) >= 3) & F.coalesce(F.sqrt(d2) <= threshold, F.lit(False))

@@ -79,14 +79,6 @@ def category_colour(category: Column) -> Column:
     return out.otherwise(F.array(*[F.lit(v) for v in OTHER_COLOUR]))
 
 
-def heat_colour(v: Column) -> Column:
-    """0..1 from blue over green to red."""
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    up = F.greatest(F.lit(0.0), 2 * x - 1)
-    down = F.greatest(F.lit(0.0), 1 - 2 * x)
-    return F.array((255 * up).cast("int"), (255 * (1 - up - down)).cast("int"), (255 * down).cast("int"))
-
-
 def vertical_profile(height: Column, spread: Column, conical: Column) -> Column:
     ratio = height / spread
     return (

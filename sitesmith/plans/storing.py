@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitesmith.functions import codes
 from sitesmith.operators import store
 from sitesmith.plans import bind
 from sitesmith.streaming import limits
@@ -155,3 +156,24 @@ def plant_scoring(spark: SparkSession, d: str) -> DataFrame:
         + FIT["water"] * F.when(k % 3 == s % 3, 1.0).otherwise(0.5) + FIT["size"] * (F.col("p_size") <= 25).cast("double")
     )
     return j.select(k.alias("plant_id"), s.alias("site_id"), F.round(score, 6).alias("score"))
+
+
+@query("""SELECT o_orderkey AS id, strftime(d, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(d, '%Y-%m-%d_%H-%M-%S') AS stamp, '1970-01-01'::DATE + (o_orderkey % 30000)::INT AS civil,
+ (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0 AS leap, list_position(['draft', 'quoted', 'approved', 'complete'], CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'quoted' ELSE 'draft' END) - 1 AS place
+FROM (SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS d, 1800 + o_orderkey % 700 AS y FROM orders)""")
+def codes_and_stamps(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    s = F.col("o_orderstatus")
+    iso = codes.iso8601(F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + k % 86400))
+    status = codes.checked(F.when(s == "F", "complete").when(s == "O", "quoted").otherwise("draft"), "status")
+    return bind.t(spark, d, "orders").select(k.alias("id"), iso.alias("iso"), codes.file_stamp(iso).alias("stamp"), codes.civil_date(k % 30000).alias("civil"), codes.is_leap(1800 + k % 700).alias("leap"), codes.ordinal(status, "status").alias("place"))
+
+
+@query("""WITH h AS (SELECT p_partkey AS id, (p_partkey * 37 % 360 + 0.5::DOUBLE) / 360.0::DOUBLE AS h FROM part), c AS (SELECT id, h, floor(h * 6)::INT AS i, h * 6 - floor(h * 6) AS f, 0.95::DOUBLE AS v, 0.95::DOUBLE * (1 - 0.85::DOUBLE) AS p FROM h),
+q AS (SELECT *, v * (1 - f * 0.85::DOUBLE) AS q, v * (1 - (1 - f) * 0.85::DOUBLE) AS t FROM c)
+SELECT id, floor(255 * CASE i WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END)::INT AS r, floor(255 * CASE i WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END)::INT AS g,
+ floor(255 * CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END)::INT AS b, floor(255 * h)::INT AS heat_red FROM q""")
+def colour_maps(spark: SparkSession, d: str) -> DataFrame:
+    h = (F.col("p_partkey") * 37 % 360 + 0.5) / 360.0
+    rgb = codes.hsv_to_rgb(h, F.lit(0.85), F.lit(0.95))
+    return bind.t(spark, d, "part").select(F.col("p_partkey").alias("id"), *[rgb[i].alias(c) for i, c in enumerate("rgb")], codes.heat(h)[0].alias("heat_red"))
