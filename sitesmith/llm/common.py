@@ -70,7 +70,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 class WordHash(dict):
     """word -> XXH64, remembered for up to `limit` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
@@ -81,6 +81,14 @@ class WordHash(dict):
         return out
 
 
+_KNOWN = WordHash()
+
+
+def known_words() -> WordHash:
+    """The hashes of this process; a reused worker keeps the words it has met."""
+    return _KNOWN
+
+
 def word_hashes(words: list[bytes], known: WordHash) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 

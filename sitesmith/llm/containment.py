@@ -9,16 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import SHINGLE, SIMILARITY, WordHash, mixed, rolled, table, word_hashes
+from sitesmith.llm.common import SHINGLE, SIMILARITY, WordHash, known_words, rolled, table, word_hashes
 
 #: MinHash functions, each a band of one row. A block holds an item whole in at most four times the
 #: item's size, so a wholly contained item is missed with probability 0.75 ** 32 = 1e-4 at worst.
 HASHES = 32
 #: Benchmark text that is indexed and sent to tasks at a time; a larger benchmark is searched in so many passes.
 BLOCK_BYTES = 32 << 20
-_RNG = np.random.default_rng(8)
-MUL = _RNG.integers(1 << 62, 1 << 63, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _RNG.integers(0, 1 << 63, HASHES).astype(np.uint64)
+MUL = np.random.default_rng(8).integers(1 << 62, 1 << 63, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BITS = np.uint64(24)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -27,16 +26,21 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def minhash(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Minima under every function of the stretches of h that begin at starts, as (stretch, function)."""
-    out = np.empty((len(starts), HASHES), np.uint64)
+    """Minima under every function of the stretches of h that begin at starts, as (function, stretch)."""
+    out = np.empty((HASHES, len(starts)), np.uint64)
     for j in range(HASHES):
-        out[:, j] = np.minimum.reduceat(h * MUL[j] + ADD[j], starts)
+        np.minimum.reduceat(h * MUL[j], starts, out=out[j])
     return out
 
 
 def tagged(sig: np.ndarray, size: int) -> np.ndarray:
-    """A signature's values as keys that differ by function and size class."""
-    return mixed(sig ^ (np.arange(HASHES, dtype=np.uint64)[None, :] << np.uint64(8)) ^ np.uint64(size))
+    """Minima as keys that differ by function and size class."""
+    return sig ^ (np.arange(HASHES, dtype=np.uint64)[:, None] << np.uint64(8) | np.uint64(size))
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    """16 bits from the middle of a key; minima are small numbers, so the first bits tell little."""
+    return (keys >> _BITS & np.uint64(0xFFFF)).astype(np.int64)
 
 
 class Index:
@@ -63,23 +67,28 @@ class Index:
                 continue
             size = int(len(words) - n).bit_length()
             self.sizes[size] = self.sizes.get(size, 0) + 1
-            sig = tagged(minhash(h, np.zeros(1, np.int64)), size)[0]
+            sig = tagged(minhash(h, np.zeros(1, np.int64)), size).ravel()
             keys.append(sig)
             rows.append(np.full(len(sig), at))
         keys, rows = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (rows, np.int64)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.rows = keys[order], rows[order]
+        self.used = np.zeros(1 << 16, bool)
+        self.used[bucket(self.keys)] = True
 
     def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Items that share a band with a block of h; blocks of a class are two stretches of its size, overlapping by one."""
-        found = []
-        for size in self.sizes:
-            starts = np.arange(0, len(h), 1 << size)
-            low = minhash(h, starts)
-            if len(low) > 1:
-                low = np.minimum(low[:-1], low[1:])
-            got = np.unique(tagged(low, size))
-            a, b = np.searchsorted(self.keys, got, "left"), np.searchsorted(self.keys, got, "right")
+        """Items that share a band with a block of h. Blocks of a class are two stretches of its size and overlap by one;
+        stretches of a class are merged from those of the class below. `used` tells most keys apart from the index at once."""
+        found, low, at = [], None, None
+        for size in sorted(self.sizes):
+            if low is None:
+                low = minhash(h, np.arange(0, len(h), 1 << size))
+            else:
+                low = np.minimum.reduceat(low, np.arange(0, low.shape[1], 1 << (size - at)), axis=1)
+            at = size
+            keys = tagged(np.minimum(low[:, :-1], low[:, 1:]) if low.shape[1] > 1 else low, size).ravel()
+            keys = np.unique(keys[self.used[bucket(keys)]])
+            a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
             found += [self.rows[x:y] for x, y in zip(a[b > a], b[b > a])]
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
@@ -134,7 +143,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARI
         sent = spark.sparkContext.broadcast(Index(items))
 
         def run(batches, sent=sent):
-            known = WordHash()
+            known = known_words()
             for b in batches:
                 rows = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for hit in sent.value.search(t, known, threshold)]
                 if rows:
@@ -152,7 +161,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
         sent = docs.sparkSession.sparkContext.broadcast(Index(items))
 
         def run(batches, sent=sent):
-            known = WordHash()
+            known = known_words()
             for b in batches:
                 texts = (t.encode() if isinstance(t, str) else t for t in b.column("text").to_pylist())
                 yield b.filter(pa.array([next(sent.value.search(t, known, threshold), None) is None for t in texts], pa.bool_()))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import WordHash, maybe_broadcast, rolled, stored, table, word_hashes
+from sitesmith.llm.common import WordHash, known_words, maybe_broadcast, rolled, stored, table, word_hashes
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -74,7 +74,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, text) -> doc_id, lang, the base counts and base_failed."""
 
     def run(batches):
-        known = WordHash()
+        known = known_words()
         for b in batches:
             rows = [base_counts(t, known) for t in b.column("text").to_pylist()]
             if rows:
