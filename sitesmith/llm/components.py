@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import drop_path, new_path
+from sitesmith.llm.common import drop_path, new_path, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,10 +17,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Joins are on a node and a table with one row a node, so AQE can split a hub.
     """
     spark = edges.sparkSession
-    now = (
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-    path, mark = None, None
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    path, mark = new_path(spark, "components"), None
+    now = stored(now, "components", path)  # read several times a round
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -37,8 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small.write.parquet(new)
         now = spark.read.schema(small.schema).parquet(new)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if path:
-            drop_path(spark, path)
+        drop_path(spark, path)
         path = new
         if got == mark:
             roots = now.select(F.col("v").alias("id")).distinct()
