@@ -81,11 +81,31 @@ class WordHash(dict):
         return out
 
 
-_KNOWN = WordHash()
+#: What a worker process remembers between tasks, by the kind of work, and how to let go of it.
+_HELD: dict[str, object] = {}
+_WORK: list[str] = []
+
+
+def remembered(kind: str, table: dict) -> dict:
+    _HELD[kind] = table
+    return table
+
+
+def turn_to(kind: str) -> None:
+    """Called as a task starts: a worker that changes to another kind of work lets go of what the others remember."""
+    if _WORK != [kind]:
+        for other, table in _HELD.items():
+            if other != kind:
+                table.clear()
+        _WORK[:] = [kind]
+
+
+_KNOWN = remembered("words", WordHash())
 
 
 def known_words() -> WordHash:
     """The hashes of this process; a reused worker keeps the words it has met."""
+    turn_to("words")
     return _KNOWN
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import split_words, stored, table
+from sitesmith.llm.common import split_words, stored, table, turn_to
 from sitesmith.llm.components import connected_components
 
 SEED = 42
@@ -43,6 +43,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp long). Other columns are not read. Null text counts as empty."""
 
     def run(batches):
+        turn_to("fingerprints")
         for b in batches:
             fps = [fingerprint(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import known_words, new_path, table
+from sitesmith.llm.common import new_path, remembered, table, turn_to
 
 MAGIC = b"SSTOK\x00\x01\x00"
 #: Ids of a block; ids after which an image ends (at a document's end).
@@ -148,7 +148,7 @@ class WordEncoder:
 
 
 #: Encoders of this process by path; a reused worker keeps the words it has met.
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = remembered("tokens", {})
 
 
 def encoder(path: str) -> WordEncoder:
@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def run(batches):
         from pyspark import TaskContext
 
-        known_words().clear()  # a worker holds one table of words at a time
+        turn_to("tokens")
         encode = encoder(source or tokenizer_path())
         rows = ((d, t) for b in batches for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
         file = TaskContext.get().partitionId()
