@@ -159,6 +159,37 @@ def test_passages_planted(spark):
     assert passages.substring_dups(docs(spark, [])).count() == 0
 
 
+def test_passages_two_in_a_pair(spark):
+    """Passages that two texts share a few words apart are all found, exact ones and near ones."""
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 50_000, n))
+    rows, want = [], {}
+    for k, (n, gap) in enumerate([(60, 15), (60, 20), (60, 30), (60, 60), (100, 60), (55, 25)] * 2):
+        p, q = text(n), text(n)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, f"{text(30)} {p} {text(gap)} {q} {text(20)}", "en", "a"))
+            want[i] = f"30-{30 + n},{30 + n + gap}-{30 + 2 * n + gap}"
+    got = {r["doc_id"]: r["spans"] for r in passages.substring_dups(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_same_passages():
+    rng = np.random.default_rng(6)
+    h = lambda n: rng.integers(-(1 << 62), 1 << 62, n)
+    p, q, gap = h(60), h(60), lambda: h(40)
+    near = lambda s: np.concatenate([s[:28], h(5), s[33:]])
+    assert passages.same_passages(np.concatenate([p, gap(), q]), np.concatenate([p, gap(), q])) == [(0, 59, 0, 59), (100, 159, 100, 159)]
+    # near passages (one word changed in the middle, no run of WIDTH) on both sides of a gap
+    assert passages.same_passages(np.concatenate([p, gap(), q]), np.concatenate([near(p), gap(), near(q)])) == [(0, 59, 0, 59), (100, 159, 100, 159)]
+    # only one text has the gap, and a passage that one text holds twice
+    assert passages.same_passages(np.concatenate([p, h(4), q]), np.concatenate([p, gap(), q])) == [(0, 59, 0, 59), (64, 123, 100, 159)]
+    twice = passages.same_passages(np.concatenate([p, gap(), p]), p)
+    assert {r[:2] for r in twice} == {(0, 59), (100, 159)} and {r[2:] for r in twice} == {(0, 59)}
+    assert passages.same_passages(h(80), h(80)) == [] and passages.same_passages(p, p) == [(0, 59, 0, 59)]
+    # 30 shared shingles on both sides of 60 others are no passage
+    assert passages.same_passages(np.concatenate([p[:30], h(60), q[:30]]), np.concatenate([p[:30], h(60), q[:30]])) == []
+
+
 # --- 4 Kneser-Ney ---
 def slow_model(texts):
     """Interpolated modified Kneser-Ney probabilities of trigram keys, written out."""
