@@ -190,6 +190,25 @@ def test_same_passages():
     assert passages.same_passages(np.concatenate([p[:30], h(60), q[:30]]), np.concatenate([p[:30], h(60), q[:30]])) == []
 
 
+def test_passages_links_of_all_pairs(spark):
+    """n_links counts every text that shares a passage, and no pair is lost where the smallest class holds only a part."""
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 50_000, n))
+    cls = lambda t: passages.text_class(t.encode().split())
+    p = text(60)
+    rows = [(i, f"{text(30)} {p} {text(40)}", "en", "a") for i in range(30)]
+    for k in range(200):
+        q = text(60)
+        a, b = f"{text(30)} {q} {text(30)}", f"{text(45)} {q} {text(20)}"
+        part = " ".join(q.split()[:40])
+        c = next(c for c in iter(lambda: f"{text(30)} {part} {text(30)}", None) if cls(c) < min(cls(a), cls(b)))
+        rows += [(1000 + 10 * k + i, t, "en", "a") for i, t in enumerate((a, b, c))]
+    got = {r["doc_id"]: (r["n_links"], r["spans"]) for r in passages.substring_dups(docs(spark, rows)).collect()}
+    assert {i: got[i] for i in range(30)} == dict.fromkeys(range(30), (29, "30-90"))
+    want = {1000 + 10 * k + i: (1, s) for k in range(200) for i, s in enumerate(("30-90", "45-105"))}
+    assert {i: x for i, x in got.items() if i >= 1000} == want
+
+
 # --- 4 Kneser-Ney ---
 def slow_model(texts):
     """Interpolated modified Kneser-Ney probabilities of trigram keys, written out."""
