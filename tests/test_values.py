@@ -192,3 +192,14 @@ def test_text(spark):
     assert one(spark, text.normalize_address(F.lit("  A  b\tC "))) == "a b c"
     assert one(spark, text.sanitize_filename(F.lit("Ab c/d_e-1"))) == "ab-c-d_e-1"
     assert one(spark, text.positive_limit(F.lit("x"), 7)) == 7 and one(spark, text.positive_limit(F.lit("12"), 7)) == 12
+
+
+def test_terrain_artefacts_of_every_scan(spark):
+    from conftest import SF
+
+    from sitesmith.plans import artefacts, bind
+
+    got = {r["scan_id"]: r for r in artefacts.terrain_artefacts(spark, SF).collect()}
+    scans = {r["scan_id"] for r in bind.cloud(spark, SF).groupBy("scan_id").count().where("count >= 3").collect()}
+    assert len(scans) > 3 and set(got) == scans
+    assert all(r["magic"] == "glTF" and r["png"] == "504E47" and 0 < r["triangles"] <= 60 for r in got.values())
