@@ -14,7 +14,7 @@ TITLES = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Sra|Sr)"
 #: Kinds in order of precedence: at one place the first that matches is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])",
     "card": r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ \-][0-9]{4}){3}|3[47][0-9]{13})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
@@ -96,7 +96,7 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) ->
     """A replacement of the same kind and format.
 
     Emails: a local part of the same character pattern at a reserved example domain. Secrets: the same length and
-    alphabet. Cards: the same first digit, separators and Luhn validity. SSNs: in the unissued 900s. Phones: the
+    alphabet; hex digits in upper case where all letters are, else in lower case. Cards: the same first digit, separators and Luhn validity. SSNs: in the unissued 900s. Phones: the
     country code stays and the number is fictional where it can be. IPs: private 10.0.0.0/8.
     Names: the title stays, hence the gender; script and number of parts match.
     """
@@ -108,7 +108,9 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) ->
         syllable(PARTS["latin"], 5), syllable(PARTS["latin"], 9), F.when(local.contains("."), F.lit(".")).otherwise(F.lit("")),
         syllable(PARTS["latin"], 13), (piece(h, 17, 6) % 10_000).cast("string"), F.lit("@"), pick(["example.com", "example.net", "example.org"], piece(h, 25)),
     )
-    secret = F.when(entity.startswith("AKIA"), redigit(entity, h, 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")).otherwise(F.substring(h, F.lit(1), F.length(entity)))
+    hexes = F.substring(h, F.lit(1), F.length(entity))
+    secret = F.when(entity.startswith("AKIA"), redigit(entity, h, 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")).otherwise(
+        F.when(entity.rlike("[A-F]") & ~entity.rlike("[a-f]"), F.upper(hexes)).otherwise(hexes))
     digits = "0123456789"
     card = luhn_fixed(redigit(entity, h, 1, digits, digits), luhn_valid(entity))
     ssn = F.concat(F.lit("9"), F.substring(redigit(entity, h, 1, digits, digits), 2, 100))

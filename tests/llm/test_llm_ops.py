@@ -479,6 +479,15 @@ def test_pii(spark):
     assert pii.pseudonymized(docs(spark, []), "k").count() == 0
 
 
+def test_pii_secrets_in_upper_case(spark):
+    low = "0123456789abcdef0123456789abcdef01234567"
+    keys = [low, low.upper(), low.upper()[:32], (low + low)[:64].upper(), low[:20] + low[20:].upper(), "1" * 32]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymized(docs(spark, [(i, f"KEY {k}.", "en", "a") for i, k in enumerate(keys)])).collect()}
+    for i, k in enumerate(keys):
+        letters = "0-9A-F" if k == k.upper() and k != k.lower() else "0-9a-f"
+        assert re.fullmatch(rf"KEY [{letters}]{{{len(k)}}}\.", got[i]) and k not in got[i]
+
+
 def test_pii_surrogates_are_distinct(spark):
     """More entities than a short format has room for at the first draw, some of them surrogates' own values."""
     ents = spark.range(3000).select(F.concat(F.lit("+1 (222) 555-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("entity")).unionByName(spark.range(1, 200).select(F.concat(F.lit("10.1.1."), F.col("id").cast("string")).alias("entity")))
