@@ -16,8 +16,6 @@ POOLED = "*"
 QUANTILE = 0.99
 #: Symbols of average text that every document is taken to hold besides its own, so that a few words decide little.
 PRIOR = 60
-#: The threshold, in nll, is so many times the quantile: a margin for clean text unlike the trusted.
-MARGIN = 1.05
 BLOCK = 1 << 20
 
 
@@ -188,7 +186,7 @@ def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return labels.where("quality = 1 and coalesce(toxic, 0) <> 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
 def fitted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[Scorer, DataFrame, list]:
@@ -196,7 +194,7 @@ def fitted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tu
 
     mean is the nll a symbol of all trusted text; threshold is the given quantile, over the
     language's trusted documents, of the nll a symbol after adding PRIOR symbols of mean
-    text, times MARGIN. All trusted documents count.
+    text. All trusted documents count.
     """
     spark = docs.sparkSession
     ids = maybe_broadcast(trusted_ids(labels))
@@ -208,7 +206,7 @@ def fitted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tu
     fit = (
         held.join(F.broadcast(mean), "model")  # a row a language
         .groupBy("model", "mean")
-        .agg((F.percentile_approx(F.expr(f"(nll + {PRIOR} * mean) / (n + {PRIOR})"), quantile, 20_000) * MARGIN).alias("threshold"))
+        .agg((F.percentile_approx(F.expr(f"(nll + {PRIOR} * mean) / (n + {PRIOR})"), quantile, 20_000)).alias("threshold"))
     )
     return scorer, got, [tuple(r) for r in fit.collect()]
 
@@ -217,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """One row per document: doc_id, model, n_symbols, perplexity, threshold (a perplexity too), kept.
 
     Symbols are characters (letters each, digits and rarer ones in classes). Trusted text is
-    what `labels` gives quality 1. Documents in a language without trusted text, or without a
+    what `labels` gives quality 1 and does not call toxic. Documents in a language without trusted text, or without a
     language, are scored by the model of all trusted text. Texts without words have perplexity
     1 and are kept; without any trusted text all are kept and the threshold is null. Repeated
     rows repeat; extra columns are ignored.

@@ -261,6 +261,20 @@ def test_quality_held_out(spark):
     assert share[1] > 0.97 and share[0] < 0.5
 
 
+def test_quality_threshold_and_trusted(spark):
+    """The threshold is the plain quantile of trusted text, toxic text is not trusted, and hardly any junk is kept."""
+    d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    trusted = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
+    assert labels.where("quality = 1 and toxic = 1").count() and {r["doc_id"] for r in kneser_ney.trusted_ids(labels).collect()} == trusted
+    _, got, fit = kneser_ney.fitted(d, labels)
+    rows = [r for r in got.collect() if r["doc_id"] in trusted and r["n"]]
+    for model, mean, threshold in fit:
+        values = sorted((r["nll"] + kneser_ney.PRIOR * mean) / (r["n"] + kneser_ney.PRIOR) for r in rows if model in (r["model"], kneser_ney.POOLED))
+        assert threshold == pytest.approx(values[math.ceil(kneser_ney.QUANTILE * len(values)) - 1], rel=1e-6)
+    junk = kneser_ney.classify(d, labels).join(labels.where("quality = 0"), "doc_id")
+    assert junk.where("kept").count() < 0.15 * junk.count()
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(6, 1, 0), (8, 1, 0), (None, 1, 0), (8, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in kneser_ney.classify(docs(spark, ODD), labels).collect()}
