@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset a local session gets a temporary one; on a cluster that is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sitesmith-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,8 +57,6 @@ def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished stages now rather than at some later collection."""
-    import gc
-
     gc.collect()
     spark._jvm.System.gc()
 
@@ -67,10 +70,24 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `limit` bytes of the column, or of one row, so that few texts are Python objects at a time."""
+    lengths = batch.column(column)
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(lengths), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class WordHash(dict):
     """word -> XXH64, remembered for up to `limit` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -92,12 +109,23 @@ def remembered(kind: str, table: dict) -> dict:
 
 
 def turn_to(kind: str) -> None:
-    """Called as a task starts: a worker that changes to another kind of work lets go of what the others remember."""
+    """Called as a task starts: a worker that changes to another kind of work lets go of what the others remember and gives the memory back."""
     if _WORK != [kind]:
         for other, table in _HELD.items():
             if other != kind:
                 table.clear()
         _WORK[:] = [kind]
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # only glibc has it
+        pass
 
 
 _KNOWN = remembered("words", WordHash())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import SHINGLE, SIMILARITY, WordHash, known_words, rolled, table, word_hashes
+from sitesmith.llm.common import SHINGLE, SIMILARITY, WordHash, known_words, pieces_of, rolled, table, word_hashes
 
 #: MinHash functions, each a band of one row. A block holds an item whole in at most four times the
 #: item's size, so a wholly contained item is missed with probability 0.75 ** 32 = 1e-4 at worst.
@@ -144,7 +144,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARI
 
         def run(batches, sent=sent):
             known = known_words()
-            for b in batches:
+            for b in (piece for batch in batches for piece in pieces_of(batch)):
                 rows = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for hit in sent.value.search(t, known, threshold)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -162,7 +162,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
 
         def run(batches, sent=sent):
             known = known_words()
-            for b in batches:
+            for b in (piece for batch in batches for piece in pieces_of(batch)):
                 texts = (t.encode() if isinstance(t, str) else t for t in b.column("text").to_pylist())
                 yield b.filter(pa.array([next(sent.value.search(t, known, threshold), None) is None for t in texts], pa.bool_()))
 

@@ -2,230 +2,348 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import maybe_broadcast, remembered, stored, table, turn_to
+from sitesmith.llm.common import drop_path, maybe_broadcast, new_path, pieces_of, remembered, signed, stored, table, turn_to
 
-#: Symbols of the model; 0 marks the ends of a text. A trigram table has at most V ** 3 entries a language.
-V = 128
+#: Characters of a gram. They are code points as they are, digits as one; NUL stands before and after a text.
+ORDER = 5
+#: Trusted text is dealt over so many folds; a trusted document is scored by the models of the other folds only.
+FOLDS = 2
 POOLED = "*"
 #: Share of trusted text that a language's threshold keeps.
 QUANTILE = 0.99
-#: Symbols of average text that every document is taken to hold besides its own, so that a few words decide little.
+#: Characters of average text that every document is taken to hold besides its own, so that a few words decide little.
 PRIOR = 60
+#: Grams looked at together; a longer text is read in stretches.
 BLOCK = 1 << 20
+#: Distinct grams (16 bytes each) up to which their probabilities are broadcast; beyond it they are joined with blocks of documents.
+BROADCAST_GRAMS = 4_000_000
+#: Bytes of text of a block of that join.
+BLOCK_BYTES = 16 << 20
+HEAD, TAIL = b"\0\0\0\0" * (ORDER - 1), b"\0\0\0\0"
 
 
-def _symbols() -> np.ndarray:
-    """Code point -> symbol, below 0x250: letters by themselves, digits as one, other characters by a fixed rule."""
-    out = np.zeros(0x250, np.uint8)
-    own = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \n.,;:!?'\"-()"
-    out[:] = 66 + 4 + np.arange(0x250) % 58
-    out[:128] = len(own) + 1
-    for i, c in enumerate(own):
-        out[ord(c)] = i + 1
-    for c in "0123456789":
-        out[ord(c)] = len(own) + 2
-    return out
-
-
-SYMBOLS = _symbols()
-
-
-def symbols(text: bytes | None) -> np.ndarray:
-    points = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-    known = SYMBOLS[np.minimum(points, 0x24F)]
-    return np.where(points < 0x250, known, (70 + points % 58).astype(np.uint8))
-
-
-def grams(text: bytes | None):
-    """Trigram keys of a text between end marks, in blocks; none for a null text or one of white space."""
+def stretches(text: bytes | None) -> Iterator[bytes]:
+    """A text between end marks as UTF-32, cut every BLOCK grams with ORDER - 1 characters of overlap; none if it has no words."""
     if not text or not text.strip():
         return
-    own = symbols(text)
-    seq = np.concatenate([np.zeros(2, np.int32), own.astype(np.int32), np.zeros(1, np.int32)])
-    for at in range(0, len(seq) - 2, BLOCK):
-        cut = seq[at : at + BLOCK + 2]
-        yield (cut[:-2] * V + cut[1:-1]) * V + cut[2:]
+    whole = HEAD + text.decode("utf-8", "replace").encode("utf-32-le") + TAIL
+    n = len(whole) // 4 - ORDER + 1
+    for at in range(0, n, BLOCK):
+        yield whole[4 * at : 4 * (min(at + BLOCK, n) + ORDER - 1)]
+
+
+def joined(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches in a row: their code points, the places where grams within one of them begin, and each stretch's number of grams."""
+    points = np.frombuffer(b"".join(cuts), "<u4").copy()
+    points[(points >= 48) & (points <= 57)] = 48
+    size = np.array([len(c) // 4 for c in cuts], np.int64)
+    inside = np.ones(len(points), bool)
+    ends = np.cumsum(size)
+    for back in range(1, ORDER):
+        inside[ends - back] = False
+    return points, np.flatnonzero(inside), size - ORDER + 1
+
+
+def keys_of(points: np.ndarray, at: np.ndarray, lang: str) -> np.ndarray:
+    """64-bit keys of the grams of a language that begin at the given places."""
+    key = np.full(len(points) - ORDER + 1, xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+    for i in range(ORDER):
+        key = (key ^ points[i : len(points) - ORDER + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key[at]
+
+
+def strings_of(points: np.ndarray, at: np.ndarray) -> list[str]:
+    long = points[at[:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le")
+    return [long[i : i + ORDER] for i in range(0, len(long), ORDER)]
+
+
+def gathered(batches, names: tuple[str, ...]) -> Iterator[tuple[tuple, list[bytes]]]:
+    """(values of the named columns, stretches) where some BLOCK grams of the same values have met."""
+    held: dict[tuple, list[bytes]] = {}
+    size: dict[tuple, int] = {}
+    for b in batches:
+        for piece in pieces_of(b):
+            for *who, text in zip(*(piece.column(c).to_pylist() for c in (*names, "text"))):
+                who = tuple(who)
+                for cut in stretches(text):
+                    held.setdefault(who, []).append(cut)
+                    size[who] = size.get(who, 0) + len(cut) // 4
+                    if size[who] > BLOCK:
+                        yield who, held.pop(who)
+                        size[who] = 0
+    yield from held.items()
 
 
 def _count(batches):
-    turn_to("model")
-    held: dict[str, np.ndarray] = {}
-    waiting: dict[str, list[np.ndarray]] = {}
+    turn_to("grams")
+    for (lang, fold), cuts in gathered(batches, ("lang", "fold")):
+        points, at, _ = joined(cuts)
+        _, first, n = np.unique(keys_of(points, at, lang), return_index=True, return_counts=True)
+        names = strings_of(points, at[first])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([fold] * len(n), pa.int32()), pa.array(names), pa.array(n, pa.int64())], names=["lang", "fold", "g", "n"])
+
+
+#: Keys that a worker has sent, by their last bits; what another key has displaced is sent again and made distinct by Spark.
+_SENT = remembered("grams", {})
+SENT_BITS = 20
+
+
+def _distinct(batches):
+    turn_to("grams")
+    _SENT.clear()
+    sent = _SENT["keys"] = np.zeros(1 << SENT_BITS, np.uint64)
+    for (lang,), cuts in gathered(batches, ("lang",)):
+        points, at, _ = joined(cuts)
+        keys = keys_of(points, at, lang)
+        slots = (keys & np.uint64(len(sent) - 1)).astype(np.int64)
+        new = np.flatnonzero(sent[slots] != keys)
+        if len(new):
+            _, first = np.unique(keys[new], return_index=True)
+            new = new[first]
+            sent[slots[new]] = keys[new]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new)), pa.array(strings_of(points, at[new]))], names=["lang", "g"])
+    _SENT.clear()
+
+
+def gram_counts(trusted: DataFrame) -> DataFrame:
+    """(lang, fold, text) -> (lang, fold, g, n) over all rows, and over all languages as lang '*'. Each task sends a row per distinct gram and block."""
+    own = trusted.select("lang", F.col("fold").cast("int").alias("fold"), F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, fold int, g string, n long")
+    own = stored(own.groupBy("lang", "fold", "g").agg(F.sum("n").alias("n")), "grams")
+    pooled = own.groupBy("fold", "g").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "fold", "g", "n")
+    return own.where(F.col("lang") != POOLED).unionByName(pooled)
 
-    def add(lang):
-        if parts := waiting.pop(lang, None):
-            held[lang] = held.get(lang, 0) + np.bincount(np.concatenate(parts), minlength=V**3)
 
-    for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            for keys in grams(text):
-                waiting.setdefault(lang, []).append(keys)
-                if sum(map(len, waiting[lang])) > BLOCK or len(waiting[lang]) > 2000:
-                    add(lang)
-    for lang in list(waiting):
-        add(lang)
-    for lang, counts in held.items():
-        keys = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(counts[keys])], names=["lang", "k", "n"])
-
-
-def trigram_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, text) -> (lang, k, n) over all rows, also summed for all languages as lang '*'. Each task sends a row per distinct trigram."""
-    own = (
-        trusted.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(_count, "lang string, k int, n long")
-        .groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    )
-    own = stored(own, "trigrams")
-    pooled = own.groupBy("k").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "k", "n")
-    return own.where(F.col("lang") != POOLED).unionByName(pooled)
+MODEL = ["lang", "fold"]
 
 
-def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, k, n) of one order -> seen grams (lang, k, alpha) and contexts (lang, h, gamma).
+def discounted(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, fold, g, n) of one order -> seen grams (..., g, alpha) and contexts (..., h, gamma).
 
-    Chen and Goodman's three discounts come from the counts of counts of the language; a
-    discount whose counts are missing falls back to its index times 0.5, so that mass remains.
+    Chen and Goodman's three discounts come from the counts of counts of the model; a discount
+    whose counts are missing falls back to its index times 0.5, so that mass remains.
     """
-    c = counts.withColumn("h", F.expr(f"k div {V}"))
+    c = counts.withColumn("h", F.substring("g", 1, order - 1))
     of = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.expr("n1 / (n1 + 2 * n2)")
-    disc = c.groupBy("lang").agg(*of).withColumn("y", F.when(F.expr("n1 + n2 > 0"), y).otherwise(0.5))
+    disc = c.groupBy(*MODEL).agg(*of).withColumn("y", F.when(F.expr("n1 + n2 > 0"), y).otherwise(0.5))
     for i in (1, 2, 3):
         raw = F.expr(f"{i} - {i + 1} * y * n{i + 1} / nullif(n{i}, 0)")
         disc = disc.withColumn(f"d{i}", F.when(raw > 0.05, raw).otherwise(F.lit(0.5 * i)))
-    c = c.join(F.broadcast(disc.select("lang", "d1", "d2", "d3")), "lang")  # a row a language
+    c = c.join(maybe_broadcast(disc.select(*MODEL, "d1", "d2", "d3")), MODEL)
     c = c.withColumn("d", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
-    ctx = c.groupBy("lang", "h").agg(F.sum("n").cast("double").alias("total"), F.sum(F.least(F.col("d"), F.col("n"))).alias("cut"))
-    seen = c.join(ctx, ["lang", "h"]).select("lang", "k", F.expr("greatest(n - d, 0D) / total").alias("alpha"))
-    return seen, ctx.select("lang", "h", F.expr("cut / total").alias("gamma"))
+    ctx = c.groupBy(*MODEL, "h").agg(F.sum("n").cast("double").alias("total"), F.sum(F.least(F.col("d"), F.col("n"))).alias("cut"))
+    seen = c.join(ctx, [*MODEL, "h"]).select(*MODEL, "g", F.expr("greatest(n - d, 0D) / total").alias("alpha"))
+    return seen, ctx.select(*MODEL, "h", F.expr("cut / total").alias("gamma"))
 
 
-def train(trusted: DataFrame) -> dict[str, list]:
-    """Sparse tables of the model by language: [(k, alpha), (h, gamma)] for orders 3, 2 and 1.
+def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Gram counts and the grams asked for (lang, g) -> (lang, g, fold, p), for every fold that has text of lang.
 
-    Counts of each order meet their contexts and discounts in joins dealt by context; lower
-    orders count distinct left neighbours. What is returned has at most V**3 + V**2 + V grams a
-    language, whatever the size of the corpus.
+    From one character up to ORDER, what is asked meets the seen grams and contexts of its
+    order in joins dealt by gram: p of a gram is its discounted share plus the context's left
+    over mass times p of the gram without its first character. Lower orders count distinct left
+    neighbours; below one character all are alike, one of them unseen.
     """
-    c3 = trigram_counts(trusted)
-    c2 = c3.groupBy("lang", F.expr(f"k % {V * V}").cast("int").alias("k")).agg(F.count("*").alias("n"))
-    c1 = c2.groupBy("lang", F.expr(f"k % {V}").cast("int").alias("k")).agg(F.count("*").alias("n"))
-    model: dict[str, list] = {}
-    for at, c in enumerate((c3, c2, c1)):
-        seen, ctx = discounted(c)
-        for place, (df, cols) in enumerate(((seen, ("k", "alpha")), (ctx, ("h", "gamma")))):
-            for lang, rows in df.toPandas().groupby("lang"):
-                model.setdefault(lang, [[None, None] for _ in range(3)])[at][place] = (rows[cols[0]].to_numpy(np.int64), rows[cols[1]].to_numpy(float))
-    return model
+    orders = [counts]
+    for k in range(ORDER - 1, 0, -1):
+        orders.append(stored(orders[-1].groupBy(*MODEL, F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("n")), "grams-lower"))
+    p = None
+    models = counts.select(*MODEL).distinct()
+    asked = asked.join(maybe_broadcast(models), "lang").select(*MODEL, "g")
+    for k, c in zip(range(1, ORDER + 1), reversed(orders)):
+        seen, ctx = discounted(c, k)
+        want = asked.select(*MODEL, F.substring("g", ORDER - k + 1, k).alias("g")).distinct() if k < ORDER else asked
+        if p is None:
+            below = maybe_broadcast(c.groupBy(*MODEL).agg((1.0 / (F.count("*") + 1)).alias("below")))
+            want = want.join(below, MODEL)
+        else:
+            want = want.withColumn("low", F.substring("g", 2, k - 1)).join(p.select(*MODEL, F.col("g").alias("low"), F.col("p").alias("below")), [*MODEL, "low"])
+        want = want.join(seen, [*MODEL, "g"], "left").withColumn("h", F.substring("g", 1, k - 1)).join(ctx, [*MODEL, "h"], "left")
+        p = want.select(*MODEL, "g", F.expr("coalesce(alpha, 0D) + coalesce(gamma, 1D) * below").alias("p"))
+    return p
+
+
+class Table:
+    """Keys and, for each fold, negative log probabilities of the grams of some languages."""
+
+    def __init__(self, keys: np.ndarray, nll: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.nll = keys[order], nll[order]
+        # a key's first bits give the stretch of the table where it lies
+        self.bits = np.uint64(64 - max(1, int(max(1, len(keys))).bit_length()))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.nll[np.searchsorted(self.keys, keys)]
+
+
+def keyed(names: list[str], langs: list[str]) -> np.ndarray:
+    """Keys of grams given as strings, each with its language."""
+    points = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
+    at = np.arange(0, len(points), ORDER)
+    out, langs = np.empty(len(at), np.uint64), np.array(langs, object)
+    for lang in set(langs.tolist()):
+        here = np.flatnonzero(langs == lang)
+        out[here] = keys_of(points[(at[here][:, None] + np.arange(ORDER)).ravel()], np.arange(0, ORDER * len(here), ORDER), lang)
+    return out
 
 
-def dense(parts: list) -> np.ndarray:
-    """Negative log probability of every trigram of a language."""
+def _keyed(batches):
+    for b in batches:
+        if b.num_rows:
+            key = signed(keyed(b.column("g").to_pylist(), b.column("lang").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(f"f{i}").cast(pa.float32()) for i in range(FOLDS))], names=["key", *(f"f{i}" for i in range(FOLDS))])
 
-    def filled(part, size, default):
-        out = np.full(size, default, np.float32)
-        if part is not None:
-            out[part[0]] = part[1]
-        return out
 
-    p1 = filled(parts[2][0], V, 0.0) + filled(parts[2][1], 1, 1.0) / V
-    p2 = filled(parts[1][1], V, 1.0)[:, None] * p1[None, :] + filled(parts[1][0], V * V, 0.0).reshape(V, V)
-    p3 = filled(parts[0][1], V * V, 1.0).reshape(V, V, 1) * p2[None] + filled(parts[0][0], V**3, 0.0).reshape(V, V, V)
-    return np.negative(np.log(p3, out=p3), out=p3).ravel()
+def scored(rows: list[tuple], made: Table) -> Iterator[tuple[float, int]]:
+    """(lang, fold, text) rows -> summed negative log likelihood and grams of each, texts of a language together.
 
+    A document with a fold is scored by the models of the other folds, any other by all; models
+    are averaged in the log.
+    """
+    nll, n = np.zeros((len(rows), FOLDS)), np.zeros(len(rows), np.int64)
+    waiting: dict[str, list] = {}
+
+    def done(lang):
+        who, cuts = zip(*waiting.pop(lang))
+        points, at, sizes = joined(list(cuts))
+        got = made.of(keys_of(points, at, lang))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for i, s, k in zip(who, np.add.reduceat(got, starts, axis=0, dtype=np.float64), sizes.tolist()):
+            nll[i] += s
+            n[i] += k
+
+    for i, (lang, _, text) in enumerate(rows):
+        for cut in stretches(text):
+            waiting.setdefault(lang, []).append((i, cut))
+            if sum(len(c) for _, c in waiting[lang]) > 4 * BLOCK:
+                done(lang)
+    for lang in list(waiting):
+        done(lang)
+    for (_, fold, _), s, k in zip(rows, nll, n.tolist()):
+        of = s if fold is None or fold < 0 else np.delete(s, fold)
+        yield float(of.mean()), k
 
-class Scorer:
-    """A model as sent to tasks; dense tables are made once a worker and language."""
 
-    def __init__(self, spark: SparkSession, model: dict[str, list]):
-        self.sent = spark.sparkContext.broadcast(model)
+def _scores(batches, sent):
+    turn_to("grams")
+    for b in batches:
+        for piece in pieces_of(b):
+            rows = list(zip(*(piece.column(c).to_pylist() for c in ("lang", "fold", "text"))))
+            if rows:
+                nll, n = zip(*scored(rows, sent.value))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "mark", "lang", "fold")), pa.array(nll, pa.float64()), pa.array(n, pa.int64())], names=SCORES)
 
-    def __call__(self, lang: str | None, text: bytes | None) -> tuple[str, float, int]:
-        """The language whose model applies (the pooled one for others), summed negative log likelihood, symbols."""
-        made = _dense_of(id(self.sent.value))
-        lang = lang if lang in self.sent.value else POOLED
-        if lang not in made:
-            made[lang] = dense(self.sent.value[lang]) if lang in self.sent.value else np.full(V**3, np.log(V), np.float32)
-        total, n = 0.0, 0
-        for keys in grams(text):
-            total += float(made[lang][keys].sum(dtype=np.float64))
-            n += len(keys)
-        return lang, total, n
 
+SCORES = ["doc_id", "mark", "model", "fold", "nll", "n"]
+SCORE_DDL = "doc_id long, mark long, model string, fold int, nll double, n long"
 
-_DENSE: dict[int, dict[str, np.ndarray]] = remembered("model", {})
 
+def _block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    key = np.array(answers.column("key").to_numpy(), np.int64).view(np.uint64)
+    made = Table(key, np.stack([answers.column(f"f{i}").to_numpy() for i in range(FOLDS)], axis=1) if len(key) else np.empty((0, FOLDS)))
+    rows = list(zip(*(docs.column(c).to_pylist() for c in ("lang", "fold", "text"))))
+    nll, n = zip(*scored(rows, made)) if rows else ((), ())
+    return pa.Table.from_arrays([*(docs.column(c) for c in ("doc_id", "mark", "lang", "fold")), pa.array(nll, pa.float64()), pa.array(n, pa.int64())], names=SCORES)
 
-def _dense_of(model: int) -> dict[str, np.ndarray]:
-    """Dense tables of the model in use; those of another are let go."""
-    if model not in _DENSE:
-        _DENSE.clear()
-        _DENSE[model] = {}
-    return _DENSE[model]
 
+def _block_grams(batches):
+    turn_to("grams")
+    for (block, lang), cuts in gathered(batches, ("block", "lang")):
+        points, at, _ = joined(cuts)
+        keys = np.unique(keys_of(points, at, lang))
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int64()), pa.array(signed(keys))], names=["block", "key"])
 
-def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, lang, text) -> (doc_id, model, nll, n)."""
 
-    def run(batches):
-        turn_to("model")
-        for b in batches:
-            out = [scorer(lang, t) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist())]
-            if out:
-                model, nll, n = zip(*out)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model, pa.string()), pa.array(nll, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "model", "nll", "n"])
+def scores(docs: DataFrame, counts: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
+    """(doc_id, mark, lang, fold, text), lang a model's -> (doc_id, mark, model, fold, nll, n).
 
-    cols = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, model string, nll double, n long")
+    The distinct grams of all documents get their probabilities by joins with the sharded
+    counts. Where there are no more than `limit` of them they are sent to the tasks; otherwise
+    documents are dealt into blocks by a hash, each block asks for its grams, and the answers
+    meet its texts in one group of bounded size.
+    """
+    spark = docs.sparkSession
+    asked = stored(docs.select("lang", "text").mapInArrow(_distinct, "lang string, g string").distinct(), "grams-asked")
+    p = probabilities(counts, asked)
+    nll = [F.max(F.when(F.col("fold") == i, -F.log("p"))).alias(f"f{i}") for i in range(FOLDS)]
+    rows = p.groupBy("lang", "g").agg(*nll)
+    # a fold without text of the language takes another's word
+    rows = rows.select("lang", "g", *[F.coalesce(*[f"f{(i + j) % FOLDS}" for j in range(FOLDS)]).alias(f"f{i}") for i in range(FOLDS)])
+    ddl = "key long, " + ", ".join(f"f{i} float" for i in range(FOLDS))
+    known = stored(rows.mapInArrow(_keyed, ddl), "grams-known")
+    if known.count() <= limit:
+        got = known.toArrow()
+        key = got.column("key").to_numpy().view(np.uint64)
+        sent = spark.sparkContext.broadcast(Table(key, np.stack([got.column(f"f{i}").to_numpy() for i in range(FOLDS)], axis=1)))
+        return docs.mapInArrow(partial(_scores, sent=sent), SCORE_DDL)
+    blocks = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    wanted = dealt.select("block", "lang", "text").repartition("block").mapInArrow(_block_grams, "block long, key long").distinct()
+    answers = wanted.join(known, "key").select("block", *known.columns)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _block_scores(a, b), SCORE_DDL)
+
+
+def mark_of():
+    """What tells apart rows of one doc_id."""
+    return F.xxhash64(F.col("lang").cast("string"), F.col("text"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 and coalesce(toxic, 0) <> 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    """Documents that labels call good in one row and neither bad nor toxic in any."""
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t <> 1").select("doc_id")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[Scorer, DataFrame, list]:
-    """The scorer, stored scores of all documents, and (model, mean, threshold) rows, one a language.
+def fitted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, limit: int = BROADCAST_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Stored scores (doc_id, mark, model, fold, nll, n) of all documents, and (model, mean, threshold), a row a language.
 
-    mean is the nll a symbol of all trusted text; threshold is the given quantile, over the
-    language's trusted documents, of the nll a symbol after adding PRIOR symbols of mean
-    text. All trusted documents count.
+    Trusted documents train, dealt over FOLDS by a hash of their ids, and each is scored by
+    the models that have not seen it. mean is the nll a character of all trusted text;
+    threshold is the quantile, over the language's trusted documents, of the nll a character
+    after adding PRIOR characters of mean text. All trusted documents count.
     """
     spark = docs.sparkSession
-    ids = maybe_broadcast(trusted_ids(labels))
-    scorer = Scorer(spark, train(docs.join(ids, "doc_id", "left_semi").select("lang", "text")))
-    got = stored(scores(docs, scorer), "perplexity")
-    held = got.join(ids, "doc_id", "left_semi").where("n > 0")
+    ids = stored(trusted_ids(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
+    ids = maybe_broadcast(ids)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of().alias("mark"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left")
+    good = rows.where("fold is not null").select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "fold", "text")
+    counts = gram_counts(good)
+    langs = counts.select("lang").distinct().withColumn("model", F.col("lang"))
+    rows = rows.join(maybe_broadcast(langs), "lang", "left").select("doc_id", "mark", F.coalesce("model", F.lit(POOLED)).alias("lang"), F.coalesce("fold", F.lit(-1)).alias("fold"), "text")
+    got = stored(scores(rows, counts, limit), "perplexity")
+    held = got.where("fold >= 0 and n > 0")
     held = held.where(F.col("model") != POOLED).unionByName(held.withColumn("model", F.lit(POOLED)))
     mean = held.groupBy("model").agg((F.sum("nll") / F.sum("n")).alias("mean"))
-    fit = (
-        held.join(F.broadcast(mean), "model")  # a row a language
-        .groupBy("model", "mean")
-        .agg((F.percentile_approx(F.expr(f"(nll + {PRIOR} * mean) / (n + {PRIOR})"), quantile, 20_000)).alias("threshold"))
-    )
-    return scorer, got, [tuple(r) for r in fit.collect()]
+    value = F.expr(f"(nll + {PRIOR} * mean) / (n + {PRIOR})")
+    fit = held.join(maybe_broadcast(mean), "model").groupBy("model", "mean").agg(F.percentile_approx(value, quantile, 20_000).alias("threshold"))
+    return got, stored(fit, "thresholds")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """One row per document: doc_id, model, n_symbols, perplexity, threshold (a perplexity too), kept.
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, limit: int = BROADCAST_GRAMS) -> DataFrame:
+    """One row per document: doc_id, model, n_symbols, perplexity (a character), threshold (a perplexity too), kept.
 
-    Symbols are characters (letters each, digits and rarer ones in classes). Trusted text is
-    what `labels` gives quality 1 and does not call toxic. Documents in a language without trusted text, or without a
-    language, are scored by the model of all trusted text. Texts without words have perplexity
-    1 and are kept; without any trusted text all are kept and the threshold is null. Repeated
-    rows repeat; extra columns are ignored.
+    Trusted text is what `labels` gives quality 1 and nowhere quality 0 or toxic. A document is kept if its
+    perplexity, with PRIOR characters of average text, does not exceed its language's threshold; a tie is kept. Documents in a
+    language without trusted text, or without a language, are scored by the model of all trusted text. Texts without words have
+    perplexity 1 and are kept; without any trusted text all are kept and the threshold is null. Repeated
+    rows repeat; a null doc_id is never trusted; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    _, got, fit = fitted(docs, labels, quantile)
-    limits = F.broadcast(spark.createDataFrame(fit, "model string, mean double, threshold double"))
+    return verdicts(*fitted(docs, labels, quantile, limit)).drop("mark")
+
+
+def verdicts(got: DataFrame, fit: DataFrame) -> DataFrame:
     value = F.expr(f"(nll + {PRIOR} * mean) / (n + {PRIOR})")
-    return got.join(limits, "model", "left").select(
-        "doc_id", "model", F.col("n").alias("n_symbols"),
+    return got.join(maybe_broadcast(fit), "model", "left").select(
+        "doc_id", "mark", "model", F.col("n").alias("n_symbols"),
         F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).otherwise(1.0).alias("perplexity"),
         F.exp("threshold").alias("threshold"),
         F.coalesce((value <= F.col("threshold")) | (F.col("n") == 0), F.lit(True)).alias("kept"),
@@ -233,24 +351,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The documents that classify() keeps, all columns kept. Text is read again rather than shuffled."""
-    scorer, _, fit = fitted(docs, labels, quantile)
-    limits = {model: (mean, threshold) for model, mean, threshold in fit}
-
-    def good(lang, text) -> bool:
-        model, nll, n = scorer(lang, text)
-        if not n or model not in limits:
-            return True
-        mean, threshold = limits[model]
-        return (nll + PRIOR * mean) / (n + PRIOR) <= threshold
-
-    def run(batches):
-        turn_to("model")
-        for b in batches:
-            texts = (t.encode() if isinstance(t, str) else t for t in b.column("text").to_pylist())
-            yield b.filter(pa.array([good(lang, t) for lang, t in zip(b.column("lang").to_pylist(), texts)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents that classify() keeps, all columns kept, nulls, repeated rows and ids as there.
+
+    Only the rejected documents' ids and hashes of language and text are joined with the documents.
+    """
+    got, fit = fitted(docs, labels, quantile)
+    out = verdicts(got, fit).where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(maybe_broadcast(out), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark_of() == F.col("__mark")), "left_anti")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ SHARE = 1.5
 REPEATS = 2
 SEED = "mix-1"
 #: Key ranges of a source whose sizes are summed before any prefix sum; no window holds more than one range of a source.
+#: They are even steps of the mean of the key's distributions at the least and the greatest weight, so that whatever the
+#: weights a range holds some few RANGES-ths of a source.
 RANGES = 4096
 
 
@@ -66,7 +68,7 @@ def mix(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFr
         "doc_id", n_words("text").alias("size"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"),
         (-F.log(u) / quality_weight("text")).alias("key"), *keep,
-    ).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int"))
+    ).withColumn("range", F.floor((1 - (F.exp(-F.col("key")) + F.exp(-0.1 * F.col("key"))) / 2) * RANGES).cast("int"))
     rows = stored(rows, "mix")
     ranges = rows.groupBy("source_key", "source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(ranges.groupBy("source_key", "source").agg(F.sum("range_size").alias("source_size")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import WordHash, known_words, maybe_broadcast, rolled, stored, table, word_hashes
+from sitesmith.llm.common import WordHash, known_words, maybe_broadcast, pieces_of, rolled, stored, table, word_hashes
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -75,7 +75,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         known = known_words()
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces_of(batch)):
             rows = [base_counts(t, known) for t in b.column("text").to_pylist()]
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=["doc_id", "lang", *NAMES])

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import split_words, stored, table, turn_to
+from sitesmith.llm.common import SIMILARITY, drop_path, free_shuffles, known_words, maybe_broadcast, mixed, new_path, pieces_of, shingle_hashes, split_words, stored, table, turn_to
 from sitesmith.llm.components import connected_components
 
 SEED = 42
@@ -45,7 +46,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         turn_to("fingerprints")
         for b in batches:
-            fps = [fingerprint(t) for t in b.column("text").to_pylist()]
+            fps = [fingerprint(t) for piece in pieces_of(b) for t in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"]
             )
@@ -66,8 +67,6 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     variants = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit")).select(
         "fp", F.when(F.col("bit") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).alias("variant")
     )
-    from pyspark.sql import Window
-
     low = F.min("fp").over(Window.partitionBy("variant"))
     pairs = variants.withColumn("u", low).where("u <> fp").select("u", F.col("fp").alias("v")).distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
@@ -92,12 +91,182 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"))
+# --- near copies at a Jaccard similarity: several short fingerprints, balls of radius one, exact verification ---
+
+#: Chance with which a pair of similarity just SIMILARITY shares a ball in some table; it grows quickly above that.
+RECALL = 0.9
+
+
+def table_plan(n_texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, bits of each) for so many texts.
+
+    A fingerprint's bits grow with the logarithm of the texts, so that two texts that have
+    nothing in common seldom meet. Sets of similarity j have an angle of acos(2j / (1 + j)) and differ in
+    each bit with that share of pi; tables are as many as give `recall` for a distance of two in one.
+    """
+    width = min(32, max(16, n_texts.bit_length() + 6))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    near = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(RADIUS + 1))
+    return math.ceil(math.log(1 - recall) / math.log(1 - near)), width
+
+
+def sketch(shingles: np.ndarray, tables: int, width: int) -> np.ndarray:
+    """SimHash bits of a set of shingle hashes, cut into `tables` numbers of `width` bits."""
+    if len(shingles) == 0:
+        return np.zeros(tables, np.int64)
+    bits = []
+    for k in range(-(-tables * width // 64)):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), BLOCK):
+            h = mixed(shingles[at : at + BLOCK] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int32)
+        bits.append(2 * ones > len(shingles))
+    grid = np.concatenate(bits)[: tables * width].reshape(tables, width)
+    return grid @ (np.int64(1) << np.arange(width, dtype=np.int64))
+
+
+def lower_words(text: bytes | None) -> list[bytes]:
+    return split_words(text.lower() if text else None)
+
+
+def text_key(words: list[bytes]) -> int:
+    """A signed 64-bit hash of a word sequence."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def sketches(docs: DataFrame, tables: int, width: int) -> DataFrame:
+    """(doc_id, mark, text) -> doc_id, mark, node, t0, t1, ...: texts of the same lower-cased words are one node."""
+    names = ["doc_id", "mark", "node", *(f"t{i}" for i in range(tables))]
+
+    def run(batches):
+        known = known_words()
+        for b in batches:
+            for piece in pieces_of(b):
+                nodes, rows = [], []
+                for text in piece.column("text").to_pylist():
+                    words = lower_words(text)
+                    nodes.append(text_key(words))
+                    rows.append(sketch(np.unique(shingle_hashes(words, known)), tables, width))
+                cols = np.array(rows, np.int64).reshape(-1, tables).T
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("mark"), pa.array(nodes, pa.int64()), *(pa.array(c) for c in cols)], names=names)
+
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _shingle_sets(batches):
+    known = known_words()
+    for b in batches:
+        for piece in pieces_of(b):
+            words = [lower_words(t) for t in piece.column("text").to_pylist()]
+            sets = [np.unique(shingle_hashes(w, known)).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([text_key(w) for w in words], pa.int64()), pa.array(sets, pa.binary())], names=["node", "s"])
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those whose SimHash group has a smaller doc_id: one of each group stays, all columns kept."""
-    groups = simhash_groups(docs)
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def _similar(similarity: float):
+    def run(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("s").to_pylist(), b.column("s2").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+
+    return run
+
+
+def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) of nodes whose five-word shingle sets have a Jaccard similarity of `similarity` or more, each verified.
+
+    nodes has node, mark, t0, ...; texts has mark and text. Every number of a node emits itself
+    and its one-bit flips; nodes within two bits share such a variant. In a variant's bucket all
+    are compared with its smallest and its largest node; those that are like neither go on with
+    the smallest and largest of what is left, until nobody is, so that every node is either
+    linked in each of its buckets or like none of the nodes that led there. All bits together rule out unlike
+    pairs first; shingle sets are read again for the others. Leaders come from an aggregation and
+    the joins have one row a key on one side, so a bucket of any size is split by AQE.
+    """
+    spark = nodes.sparkSession
+    ids = ", ".join(f"struct({i}L AS t, t{i} AS b)" for i in range(tables))
+    flips = nodes.select("node", F.expr(f"inline(array({ids}))")).select("node", "t", "b", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
+    flipped = F.when(F.col("bit") < 0, F.col("b")).otherwise(F.col("b").bitwiseXOR(F.expr("shiftleft(1L, bit)")))
+    open_ = flips.select("node", F.shiftleft("t", 40).bitwiseOR(flipped).alias("key"))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    far = tables * width * p + 4 * math.sqrt(tables * width * p * (1 - p))
+    fp = nodes.select(F.col("node").alias("id"), F.array(*[f"t{i}" for i in range(tables)]).alias("f"), F.col("mark").alias("m"))
+    links, path, paths = None, None, []
+    while True:
+        ends = open_.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+        now, path = open_.join(ends, "key"), new_path(spark, "near-open")
+        now = stored(now, "near-open", path)
+        paths.append(path)
+        pairs = now.where("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v")).unionByName(now.where("node <> lo and node <> hi").select(F.least("node", "hi").alias("u"), F.greatest("node", "hi").alias("v"))).distinct()
+        if links is not None:
+            pairs = pairs.join(links.select("u", "v"), ["u", "v"], "left_anti")
+        bits = pairs.join(fp.select(F.col("id").alias("u"), F.col("f").alias("fu"), F.col("m").alias("mu")), "u").join(fp.select(F.col("id").alias("v"), F.col("f").alias("fv"), F.col("m").alias("mv")), "v")
+        apart = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+        likely = stored(bits.where(apart <= far).select("u", "v", "mu", "mv"), "near-likely", path := new_path(spark, "near-likely"))
+        paths.append(path)
+        needed = likely.select(F.col("mu").alias("mark")).unionByName(likely.select(F.col("mv").alias("mark"))).distinct()
+        sets = stored(texts.join(maybe_broadcast(needed), "mark", "left_semi").select("text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "near-sets", path := new_path(spark, "near-sets"))
+        paths.append(path)
+        both = likely.select("u", "v").join(sets.withColumnRenamed("node", "u"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("s2")), "v")
+        found = stored(both.mapInArrow(_similar(similarity), "u long, v long, ok boolean").where("ok").select("u", "v"), "near-links")
+        links = found if links is None else links.unionByName(found)
+        # a node goes on where it is like neither end of its bucket; the ends themselves are done
+        tried = links.select("u", "v", F.lit(True).alias("ok"))
+        rest = now.where("node <> lo and node <> hi")
+        rest = rest.join(tried.select(F.col("u").alias("lo"), F.col("v").alias("node"), F.col("ok")), ["lo", "node"], "left_anti")
+        rest = rest.withColumn("u", F.least("node", "hi")).withColumn("v", F.greatest("node", "hi")).join(tried, ["u", "v"], "left_anti").select("node", "key")
+        open_ = stored(rest, "near-rest", path := new_path(spark, "near-rest"))
+        paths.append(path)
+        free_shuffles(spark)
+        if open_.isEmpty():
+            break
+    for path in paths:
+        drop_path(spark, path)
+    return links
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, mark, node, component), a row per input row; mark is a hash of the text as it is.
+
+    Near copies have five-word shingle sets (of lower-cased words; the whole sequence of shorter texts) of Jaccard
+    similarity `similarity` or more, and groups are what such links join. Null and empty texts are copies of each other.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"), F.col("text").cast("binary").alias("text"))
+    tables, width = table_plan(docs.count(), similarity, recall)
+    rows = stored(sketches(texts, tables, width), "near-sketches")
+    nodes = stored(rows.groupBy("node").agg(F.min("mark").alias("mark"), *[F.min(f"t{i}").alias(f"t{i}") for i in range(tables)]), "near-nodes")
+    comp = connected_components(near_links(texts.select("mark", "text"), nodes, tables, width, similarity)).withColumnRenamed("id", "node")
+    return rows.select("doc_id", "mark", "node").join(maybe_broadcast(comp), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies, all columns kept: the one with the smallest doc_id, a null one last.
+
+    Of rows with that doc_id one stays, whichever text they have (the least hash), and one of equal rows. Only ids and hashes
+    of what goes are joined with the documents; rows that occur once more than they should are made distinct by themselves.
+    """
+    groups = stored(near_groups(docs, similarity).select("doc_id", "mark", "component"), "near-groups")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")).alias("first"))
+    sized = groups.groupBy("component", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark").agg(F.count("*").alias("n"))
+    sized = stored(sized.join(first, "component").select("no_id", "id", "mark", "n", (F.struct("no_id", "id", "mark") == F.col("first")).alias("stays")), "near-verdicts")
+    gone = maybe_broadcast(sized.where("not stays").select("no_id", "id", "mark"))
+    cols = docs.columns
+    rows = docs.withColumns({"__n": F.col("doc_id").isNull(), "__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__m": F.coalesce(F.xxhash64("text"), F.lit(0))})
+
+    def same(t):
+        return (rows["__n"] == t["no_id"]) & (rows["__i"] == t["id"]) & (rows["__m"] == t["mark"])
+
+    left = rows.join(gone, same(gone), "left_anti")
+    twice = sized.where("stays and n > 1").select("no_id", "id", "mark")
+    if twice.isEmpty():
+        return left.select(*cols)
+    names = {"no_id": "__n", "id": "__i", "mark": "__m"}
+    twice = maybe_broadcast(twice.withColumnsRenamed(names))
+    return left.join(twice, list(names.values()), "left_anti").select(*cols).unionByName(left.join(twice, list(names.values()), "left_semi").dropDuplicates(list(names.values())).select(*cols))
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))

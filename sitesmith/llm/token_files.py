@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import new_path, remembered, table, turn_to
+from sitesmith.llm.common import new_path, pieces_of, remembered, table, turn_to
 
 MAGIC = b"SSTOK\x00\x01\x00"
 #: Ids of a block; ids after which an image ends (at a document's end).
@@ -93,7 +93,7 @@ class WordEncoder:
     Anything else is encoded by itself.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -196,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         turn_to("tokens")
         encode = encoder(source or tokenizer_path())
-        rows = ((d, t) for b in batches for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
+        rows = ((d, t) for b in batches for p in pieces_of(b) for d, t in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()))
         file = TaskContext.get().partitionId()
         for number, n, data in images(rows, encode, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["file", "image", "n_ids", "data"])
