@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import drop_path, maybe_broadcast, new_path, pieces_of, remembered, signed, stored, table, turn_to
+from sitesmith.llm.common import drop_path, free_shuffles, maybe_broadcast, new_path, pieces_of, remembered, signed, stored, table, turn_to
 
 #: Characters of a gram. They are code points as they are, digits as one; NUL stands before and after a text.
 ORDER = 5
@@ -116,74 +116,119 @@ def _distinct(batches):
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, fold, text) -> (lang, fold, g, n) over all rows, and over all languages as lang '*'. Each task sends a row per distinct gram and block."""
-    own = trusted.select("lang", F.col("fold").cast("int").alias("fold"), F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, fold int, g string, n long")
-    own = stored(own.groupBy("lang", "fold", "g").agg(F.sum("n").alias("n")), "grams")
-    pooled = own.groupBy("fold", "g").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "fold", "g", "n")
-    return own.where(F.col("lang") != POOLED).unionByName(pooled)
-
+    """(lang, fold, text) -> (lang, g, n0, n1, ...): counts of each gram in each fold, over all rows, and over all languages as lang '*'.
 
-MODEL = ["lang", "fold"]
+    Each task sends a row per distinct gram, fold and block.
+    """
+    own = trusted.select("lang", F.col("fold").cast("int").alias("fold"), F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, fold int, g string, n long")
+    own = stored(own.groupBy("lang", "g").agg(*[F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(FOLDS)]), "grams")
+    pooled = own.groupBy("g").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(FOLDS)])
+    return own.where(F.col("lang") != POOLED).unionByName(pooled.withColumn("lang", F.lit(POOLED)))
 
 
-def discounted(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, fold, g, n) of one order -> seen grams (..., g, alpha) and contexts (..., h, gamma).
+def discounts(orders: list[DataFrame]) -> DataFrame:
+    """Gram counts by order -> (order, lang, and for each fold f: below_f, d1_f, d2_f, d3_f), a row an order and language.
 
     Chen and Goodman's three discounts come from the counts of counts of the model; a discount
-    whose counts are missing falls back to its index times 0.5, so that mass remains.
+    whose counts are missing falls back to its index times 0.5, so that mass remains. below is
+    the share of each character where nothing is known: one of those seen or one unseen; null for a fold without text.
     """
-    c = counts.withColumn("h", F.substring("g", 1, order - 1))
-    of = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    y = F.expr("n1 / (n1 + 2 * n2)")
-    disc = c.groupBy(*MODEL).agg(*of).withColumn("y", F.when(F.expr("n1 + n2 > 0"), y).otherwise(0.5))
-    for i in (1, 2, 3):
-        raw = F.expr(f"{i} - {i + 1} * y * n{i + 1} / nullif(n{i}, 0)")
-        disc = disc.withColumn(f"d{i}", F.when(raw > 0.05, raw).otherwise(F.lit(0.5 * i)))
-    c = c.join(maybe_broadcast(disc.select(*MODEL, "d1", "d2", "d3")), MODEL)
-    c = c.withColumn("d", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
-    ctx = c.groupBy(*MODEL, "h").agg(F.sum("n").cast("double").alias("total"), F.sum(F.least(F.col("d"), F.col("n"))).alias("cut"))
-    seen = c.join(ctx, [*MODEL, "h"]).select(*MODEL, "g", F.expr("greatest(n - d, 0D) / total").alias("alpha"))
-    return seen, ctx.select(*MODEL, "h", F.expr("cut / total").alias("gamma"))
+    out = None
+    for k, c in enumerate(orders, 1):
+        of = [F.sum((F.col(f"n{f}") == i).cast("double")).alias(f"c{i}_{f}") for f in range(FOLDS) for i in (1, 2, 3, 4)]
+        seen = [F.count_if(F.col(f"n{f}") > 0).alias(f"seen_{f}") for f in range(FOLDS)]
+        got = c.groupBy("lang").agg(*of, *seen).withColumn("order", F.lit(k))
+        out = got if out is None else out.unionByName(got)
+    cols = []
+    for f in range(FOLDS):
+        c = {i: F.col(f"c{i}_{f}") for i in (1, 2, 3, 4)}
+        y = F.when(c[1] + c[2] > 0, c[1] / (c[1] + 2 * c[2])).otherwise(0.5)
+        cols.append(F.when(F.col(f"seen_{f}") > 0, 1.0 / (F.col(f"seen_{f}") + 1)).alias(f"below_{f}"))
+        for i in (1, 2, 3):
+            raw = i - (i + 1) * y * c[i + 1] / F.when(c[i] > 0, c[i])
+            cols.append(F.when(raw > 0.05, raw).otherwise(F.lit(0.5 * i)).alias(f"d{i}_{f}"))
+    return stored(out.select("order", "lang", *cols), "gram-discounts")
 
 
 def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """Gram counts and the grams asked for (lang, g) -> (lang, g, fold, p), for every fold that has text of lang.
+    """Gram counts and the grams asked for (lang, g) -> (lang, g, p0, p1, ...): probability by each fold's model, null where a fold has no text of lang.
 
     From one character up to ORDER, what is asked meets the seen grams and contexts of its
     order in joins dealt by gram: p of a gram is its discounted share plus the context's left
     over mass times p of the gram without its first character. Lower orders count distinct left
-    neighbours; below one character all are alike, one of them unseen.
+    neighbours; below one character all are alike, one of them unseen. Each order is stored, so
+    a lost executor costs one of them.
     """
-    orders = [counts]
+    spark, folds = counts.sparkSession, range(FOLDS)
+    orders, paths = [counts], []
     for k in range(ORDER - 1, 0, -1):
-        orders.append(stored(orders[-1].groupBy(*MODEL, F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("n")), "grams-lower"))
+        paths.append(new_path(spark, "grams-lower"))
+        left = [F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in folds]
+        orders.insert(0, stored(orders[0].groupBy("lang", F.substring("g", 2, k).alias("g")).agg(*left), "grams-lower", paths[-1]))
+    known = discounts(orders)
+    asked = asked.join(maybe_broadcast(known.where("order = 1").select("lang")), "lang", "left_semi")
     p = None
-    models = counts.select(*MODEL).distinct()
-    asked = asked.join(maybe_broadcast(models), "lang").select(*MODEL, "g")
-    for k, c in zip(range(1, ORDER + 1), reversed(orders)):
-        seen, ctx = discounted(c, k)
-        want = asked.select(*MODEL, F.substring("g", ORDER - k + 1, k).alias("g")).distinct() if k < ORDER else asked
+    for k, c in enumerate(orders, 1):
+        of = maybe_broadcast(known.where(F.col("order") == k).drop("order"))
+        c = c.withColumn("h", F.substring("g", 1, k - 1)).join(of, "lang")
+        cut = [F.expr(f"CASE n{f} WHEN 1 THEN d1_{f} WHEN 2 THEN d2_{f} ELSE d3_{f} END") for f in folds]
+        sums = [F.sum(f"n{f}").cast("double").alias(f"total_{f}") for f in folds] + [F.sum(F.least(cut[f], F.col(f"n{f}"))).alias(f"cut_{f}") for f in folds]
+        ctx = c.groupBy("lang", "h").agg(*sums)
+        own = c.select("lang", "g", *[F.greatest(F.col(f"n{f}") - cut[f], F.lit(0.0)).alias(f"own_{f}") for f in folds])
+        want = asked.select("lang", F.substring("g", ORDER - k + 1, k).alias("g")).distinct() if k < ORDER else asked
         if p is None:
-            below = maybe_broadcast(c.groupBy(*MODEL).agg((1.0 / (F.count("*") + 1)).alias("below")))
-            want = want.join(below, MODEL)
+            want = want.join(of.select("lang", *[f"below_{f}" for f in folds]), "lang")
         else:
-            want = want.withColumn("low", F.substring("g", 2, k - 1)).join(p.select(*MODEL, F.col("g").alias("low"), F.col("p").alias("below")), [*MODEL, "low"])
-        want = want.join(seen, [*MODEL, "g"], "left").withColumn("h", F.substring("g", 1, k - 1)).join(ctx, [*MODEL, "h"], "left")
-        p = want.select(*MODEL, "g", F.expr("coalesce(alpha, 0D) + coalesce(gamma, 1D) * below").alias("p"))
+            low = p.select("lang", F.col("g").alias("low"), *[F.col(f"p{f}").alias(f"below_{f}") for f in folds])
+            want = want.withColumn("low", F.substring("g", 2, k - 1)).join(low, ["lang", "low"]).drop("low")
+        want = want.join(own, ["lang", "g"], "left").withColumn("h", F.substring("g", 1, k - 1)).join(ctx, ["lang", "h"], "left")
+        # an unseen context leaves all to the shorter gram
+        value = [F.expr(f"CASE WHEN coalesce(total_{f}, 0D) = 0 THEN below_{f} ELSE (coalesce(own_{f}, 0D) + cut_{f} * below_{f}) / total_{f} END").alias(f"p{f}") for f in folds]
+        paths.append(new_path(spark, "grams-p"))
+        p = stored(want.select("lang", "g", *value), "grams-p", paths[-1])
+        free_shuffles(spark)
+    for path in paths[:-1]:
+        drop_path(spark, path)
     return p
 
 
 class Table:
-    """Keys and, for each fold, negative log probabilities of the grams of some languages."""
+    """Keys and, for each fold, negative log probabilities of the grams of some languages.
+
+    A key lies where its last bits say; keys that others have displaced there are in a further
+    such table, and so on. That is several times as quick as a binary search.
+    """
 
     def __init__(self, keys: np.ndarray, nll: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.nll = keys[order], nll[order]
-        # a key's first bits give the stretch of the table where it lies
-        self.bits = np.uint64(64 - max(1, int(max(1, len(keys))).bit_length()))
+        self.keys, self.nll = keys, np.ascontiguousarray(nll)
+        self.slots: list[np.ndarray] = []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            slots = np.full(1 << (2 * len(left)).bit_length(), -1, np.int32)
+            at = self._at(keys[left], len(self.slots), len(slots))
+            slots[at] = left
+            self.slots.append(slots)
+            left = left[slots[at] != left]
+
+    @staticmethod
+    def _at(keys: np.ndarray, depth: int, size: int) -> np.ndarray:
+        return ((keys >> np.uint64(7 * depth % 40)) & np.uint64(size - 1)).astype(np.int64)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.nll[np.searchsorted(self.keys, keys)]
+        """Rows of the given keys, all of which the table has unless it is empty for want of any trusted text."""
+        if len(self.keys) == 0:
+            return np.zeros((len(keys), self.nll.shape[1]))
+        found = np.zeros(len(keys), np.int32)
+        open_ = np.arange(len(keys))
+        for depth, slots in enumerate(self.slots):
+            k = keys[open_] if depth else keys
+            i = slots[self._at(k, depth, len(slots))]
+            hit = self.keys[i] == k
+            found[open_[hit]] = i[hit]
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+        return self.nll[found]
 
 
 def keyed(names: list[str], langs: list[str]) -> np.ndarray:
@@ -212,8 +257,10 @@ def scored(rows: list[tuple], made: Table) -> Iterator[tuple[float, int]]:
     """
     nll, n = np.zeros((len(rows), FOLDS)), np.zeros(len(rows), np.int64)
     waiting: dict[str, list] = {}
+    size: dict[str, int] = {}
 
     def done(lang):
+        size[lang] = 0
         who, cuts = zip(*waiting.pop(lang))
         points, at, sizes = joined(list(cuts))
         got = made.of(keys_of(points, at, lang))
@@ -225,7 +272,8 @@ def scored(rows: list[tuple], made: Table) -> Iterator[tuple[float, int]]:
     for i, (lang, _, text) in enumerate(rows):
         for cut in stretches(text):
             waiting.setdefault(lang, []).append((i, cut))
-            if sum(len(c) for _, c in waiting[lang]) > 4 * BLOCK:
+            size[lang] = size.get(lang, 0) + len(cut) // 4
+            if size[lang] > BLOCK:
                 done(lang)
     for lang in list(waiting):
         done(lang)
@@ -250,7 +298,7 @@ SCORE_DDL = "doc_id long, mark long, model string, fold int, nll double, n long"
 
 def _block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     key = np.array(answers.column("key").to_numpy(), np.int64).view(np.uint64)
-    made = Table(key, np.stack([answers.column(f"f{i}").to_numpy() for i in range(FOLDS)], axis=1) if len(key) else np.empty((0, FOLDS)))
+    made = Table(key, np.stack([answers.column(f"f{i}").to_numpy() for i in range(FOLDS)], axis=1))
     rows = list(zip(*(docs.column(c).to_pylist() for c in ("lang", "fold", "text"))))
     nll, n = zip(*scored(rows, made)) if rows else ((), ())
     return pa.Table.from_arrays([*(docs.column(c) for c in ("doc_id", "mark", "lang", "fold")), pa.array(nll, pa.float64()), pa.array(n, pa.int64())], names=SCORES)
@@ -275,12 +323,12 @@ def scores(docs: DataFrame, counts: DataFrame, limit: int = BROADCAST_GRAMS) ->
     spark = docs.sparkSession
     asked = stored(docs.select("lang", "text").mapInArrow(_distinct, "lang string, g string").distinct(), "grams-asked")
     p = probabilities(counts, asked)
-    nll = [F.max(F.when(F.col("fold") == i, -F.log("p"))).alias(f"f{i}") for i in range(FOLDS)]
-    rows = p.groupBy("lang", "g").agg(*nll)
     # a fold without text of the language takes another's word
-    rows = rows.select("lang", "g", *[F.coalesce(*[f"f{(i + j) % FOLDS}" for j in range(FOLDS)]).alias(f"f{i}") for i in range(FOLDS)])
+    nll = [F.coalesce(*[-F.log(f"p{(i + j) % FOLDS}") for j in range(FOLDS)]).alias(f"f{i}") for i in range(FOLDS)]
+    rows = p.select("lang", "g", *nll)
     ddl = "key long, " + ", ".join(f"f{i} float" for i in range(FOLDS))
     known = stored(rows.mapInArrow(_keyed, ddl), "grams-known")
+    free_shuffles(spark)
     if known.count() <= limit:
         got = known.toArrow()
         key = got.column("key").to_numpy().view(np.uint64)

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_spread": line_spread.ORACLE, "op6_mix": mixing.ORACLE}
+    return {"op2_line_spread": line_spread.ORACLE, "op5_fixity": fixity.ORACLE, "op6_mix": mixing.ORACLE}
