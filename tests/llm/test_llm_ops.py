@@ -651,21 +651,91 @@ PII = [
 ]
 
 
+def luhn(t):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in reversed(re.sub(r"\D", "", t)))) % 10 == 0
+
+
 def test_pii(spark):
     got = pii.pseudonymized(docs(spark, PII)).collect()
     by = {r["doc_id"]: r["text"] for r in got}
     assert len(got) == len(PII) and by[5] is None and by[6] == "" and by[7] == PII[6][1]
     mails = re.findall(r"\S+@[\w.]+\w", by[1])
-    assert len(mails) == 2 and mails[0] == mails[1] and "doe" not in by[1].lower() and re.search(r"\+1 \(\d{3}\) 555-\d{4}", by[1])
+    assert len(mails) == 2 and mails[0].lower() == mails[1] and mails[0][0].isupper() and "doe" not in by[1].lower() and re.search(r"\+1 \([2-9]\d{2}\) 555-\d{4}", by[1])
+    # one card in two formats has one surrogate, each in its format
     cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\b\d{16}\b", by[2])
-    luhn = lambda s: sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in reversed(s.replace(" ", "")))) % 10 == 0
-    assert len(cards) == 2 and all(map(luhn, cards)) and "4111" not in by[2]
-    ip = re.search(r"ip (10\.[\d.]+\d)\. token ([0-9a-f]{40})$", by[2])
-    assert ip and ip[1] in by[4] and by[None] == ip[1] and re.search(r" 9\d\d-\d\d-\d{4}$", by[4])
+    assert len(cards) == 2 and all(map(luhn, cards)) and "4111" not in by[2] and cards[0].replace(" ", "") == cards[1] and cards[1][0] == "4"
+    ip = re.search(r"ip ([\d.]+\d)\. token ([0-9a-f]{40})$", by[2])
+    assert ip and ip[1] != "8.8.8.8" and ip[1] in by[4] and by[None] == ip[1] and re.search(r" \d{3}-\d{2}-\d{4}$", by[4]) and "123-45-6789" not in by[4]
     assert by[3].startswith("Frau ") and "Mr. " in by[3] and re.search(r"Herr [А-Я][а-я]+ [А-Я][а-я]+$", by[3]) and "Müller" not in by[3]
     assert by[8].startswith("a" * 200_000 + " ") and "x@y.io" not in by[8]
     assert sorted(r["text"] for r in pii.pseudonymized(docs(spark, PII)).where("doc_id = 1").collect()) == [by[1]]
-    assert pii.pseudonymized(docs(spark, []), "k").count() == 0
+    assert pii.pseudonymized(docs(spark, []), "k").count() == 0 and by[1] != {r["doc_id"]: r["text"] for r in pii.pseudonymized(docs(spark, PII), "k").collect()}[1]
+
+
+def test_pii_coreference(spark):
+    """Formats of one number and forms of one name are one entity; numbers that only look like cards and addresses of no host stay."""
+    rows = [(1, "(555) 123-4567, 555-123-4567 and +1 555.123.4567 but not (555) 123-4568", "en", "a"), (2, "Mr. John Smith came. John Smith, or Mr. Smith, or Smith; not Smithson. Mrs. Jane Smith and Mr. Jones", "en", "a"),
+            (3, "Smith here is nobody. 1234 5678 1234 5678, 127.0.0.1, 0.0.0.0, 255.255.255.0, mask", "en", "a"), (4, "Mr Smith 3782 822463 10005 378282246310005", "en", "a"), (5, "x 200-555-0199 y 100-100-1000", "en", "a")]
+    by = {r["doc_id"]: r for r in pii.pseudonymized(docs(spark, rows)).collect()}
+    phones = re.findall(r"[\d(][\d() .-]+\d{4}", by[1]["text"].replace("+1 ", ""))
+    only = [re.sub(r"\D", "", p) for p in phones]
+    assert len(only) == 4 and len(set(only[:3])) == 1 and only[3] != only[0] and by[1]["n_distinct"] == 4 and "+1 " in by[1]["text"]
+    assert re.fullmatch(r"\(([2-9]\d\d)\) ([01]\d\d)-\d{4}", phones[0]) and re.fullmatch(r"[2-9]\d\d\.[01]\d\d\.\d{4}", phones[2])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) (\w+), or Mr\. (\w+), or (\w+); not Smithson\. Mrs\. (\w+) (\w+) and Mr\. (\w+)", by[2]["text"])
+    assert m and m[1] == m[3] != "John" and len({m[2], m[4], m[5], m[6], m[8]}) == 1 and m[9] not in ("Jones", m[2]) and m[7] in pii.GIVEN["latin_f"] and m[1] in pii.GIVEN["latin_m"]
+    assert by[3]["text"] == rows[2][1] and by[3]["n_entities"] == 0
+    assert by[4]["text"].split()[1] == m[2]
+    amex = re.fullmatch(r"Mr \w+ (3\d{3} \d{6} \d{5}) (3\d{14})", by[4]["text"])
+    assert amex and amex[1].replace(" ", "") == amex[2] and luhn(amex[2])
+    assert re.fullmatch(r"x [2-9]\d\d-555-\d{4} y [01]\d\d-[01]\d\d-\d{4}", by[5]["text"])
+
+
+def slow_walk(left, right, a, b, salt, key):
+    for i in range(8):
+        h = int(hashlib.sha512("\x1f".join([key, salt, str(i), str(right if i % 2 == 0 else left), key]).encode()).hexdigest()[:13], 16)
+        left, right = ((left + h) % a, right) if i % 2 == 0 else (left, (right + h) % b)
+    return left, right
+
+
+def test_pii_real(spark, real):
+    """Every text of the table against a plain Python version: emails, secrets, cards, phone numbers and addresses."""
+    df, rows = real
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymized(df).collect()}
+    pats = {k: re.compile(p) for k, p in pii.PATTERNS.items() if k != "name"}
+    any_ = re.compile("|".join(f"(?:{p.pattern})" for p in pats.values()))
+
+    def new(m):
+        e = m[0]
+        kind = next(k for k, p in pats.items() if p.fullmatch(e))
+        d = re.sub(r"\D", "", e)
+        if kind == "card":
+            if not luhn(d):
+                return e
+            l, r = slow_walk(int(d[1:8]), int(d[8:15]), 10**7, 10**7, f"card|0|{d[0]}16", pii.KEY)
+            body = f"{d[0]}{l:07}{r:07}"
+            return next(body + c for c in "0123456789" if luhn(body + c))
+        if kind == "phone":
+            d = d[-10:]
+            areas, exchs = 800 if d[0] > "1" else 200, 1 if d[3:6] == "555" else 799 if d[3] > "1" else 200
+            assert exchs == 1
+            l, r = slow_walk(int(d[:3]) - (200 if areas == 800 else 0), int(d[6:]), areas, 10**4, f"phone|0|{areas}-1", pii.KEY)
+            return f"+1 ({l + (200 if areas == 800 else 0):03}) 555-{r:04}"
+        if kind == "ip":
+            o = [int(x) for x in e.split(".")]
+            if o[0] in (0, 127) or o[0] > 223:
+                return e
+            l, r = slow_walk((o[0] - 1 - (o[0] > 127)) * 256 + o[1], o[2] * 256 + o[3], 222 * 256, 65536, "ip|0|", pii.KEY)
+            top = l // 256 + 1
+            return f"{top + (top > 126)}.{l % 256}.{r // 256}.{r % 256}"
+        h = hashlib.sha512("\x1f".join([pii.KEY, kind, e.lower(), "0", pii.KEY]).encode()).hexdigest()
+        if kind == "secret":
+            return h[: len(e)] if e != e.upper() else h[: len(e)].upper()
+        part = lambda at: pii.PARTS["latin"][int(h[at : at + 4], 16) % 24]
+        dot = "." if "." in e.split("@")[0] else ""
+        return f"{part(0)}{part(4)}{dot}{part(8)}{part(12)}{int(h[16:28], 16) % 10**8:08}@{('example.com', 'example.net', 'example.org')[int(h[32:36], 16) % 3]}"
+
+    found = sum(1 for _, t, *_ in rows for _ in any_.finditer(t or ""))
+    assert found > 5 and got == {i: any_.sub(new, t) if t is not None else None for i, t, *_ in rows}
 
 
 def test_pii_secrets_in_upper_case(spark):
@@ -678,10 +748,16 @@ def test_pii_secrets_in_upper_case(spark):
 
 
 def test_pii_surrogates_are_distinct(spark):
-    """More entities than a short format has room for at the first draw, some of them surrogates' own values."""
-    ents = spark.range(3000).select(F.concat(F.lit("+1 (222) 555-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("entity")).unionByName(spark.range(1, 200).select(F.concat(F.lit("10.1.1."), F.col("id").cast("string")).alias("entity")))
-    got = pii.replacements(ents).collect()
-    assert len(got) == 3199 and len({r["surrogate"] for r in got}) == 3199 and not {r["surrogate"] for r in got} & {r["entity"] for r in got}
+    """A million numbers get different surrogates at once, none of them a real one; so do names when a list runs short, and numbers of a format that is used up."""
+    cards = spark.range(1_000_000).select(F.lit("card").alias("kind"), F.concat(F.lit("4"), F.lpad((F.col("id") * 7919).cast("string"), 14, "0"), F.lit("0")).alias("canon"))
+    got = pii.replacements(cards)
+    assert got.select("surrogate").distinct().count() == 1_000_000 and got.join(cards.select(F.col("canon").alias("surrogate")), "surrogate").count() == 0
+    names = spark.range(3000).select(F.lit("given_f").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("canon")).unionByName(spark.range(3000).select(F.lit("family").alias("kind"), F.concat(F.lit("Ж"), F.col("id").cast("string")).alias("canon")))
+    got = pii.replacements(names).collect()
+    assert len(got) == 6000 == len({(r["kind"], r["surrogate"]) for r in got})
+    full = spark.range(10_000).select(F.lit("phone").alias("kind"), F.concat(F.lit("22255"), F.lit("5"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("canon"))
+    got = pii.replacements(full).collect()
+    assert len(got) == 10_000 == len({r["surrogate"] for r in got})
 
 
 def test_hashes_are_sha256():
