@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ BLOCK = 1 << 20
 BROADCAST_GRAMS = 4_000_000
 #: Bytes of text of a block of that join.
 BLOCK_BYTES = 16 << 20
+#: Orders whose probabilities are written before the next is begun.
+STORED = (3, ORDER)
 HEAD, TAIL = b"\0\0\0\0" * (ORDER - 1), b"\0\0\0\0"
 
 
@@ -156,15 +158,16 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     From one character up to ORDER, what is asked meets the seen grams and contexts of its
     order in joins dealt by gram: p of a gram is its discounted share plus the context's left
     over mass times p of the gram without its first character. Lower orders count distinct left
-    neighbours; below one character all are alike, one of them unseen. Each order is stored, so
-    a lost executor costs one of them.
+    neighbours; below one character all are alike, one of them unseen. The larger orders are
+    stored, which keeps plans short and lets go of their shuffles.
     """
     spark, folds = counts.sparkSession, range(FOLDS)
-    orders, paths = [counts], []
+    orders, paths = [counts], [new_path(spark, "grams-lower")]
     for k in range(ORDER - 1, 0, -1):
-        paths.append(new_path(spark, "grams-lower"))
         left = [F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in folds]
-        orders.insert(0, stored(orders[0].groupBy("lang", F.substring("g", 2, k).alias("g")).agg(*left), "grams-lower", paths[-1]))
+        orders.insert(0, orders[0].groupBy("lang", F.substring("g", 2, k).alias("g")).agg(*left))
+    lower = stored(reduce(DataFrame.unionByName, [c.withColumn("k", F.lit(k)) for k, c in enumerate(orders[:-1], 1)]), "grams-lower", paths[-1])
+    orders = [lower.where(F.col("k") == k).drop("k") for k in range(1, ORDER)] + [counts]
     known = discounts(orders)
     asked = asked.join(maybe_broadcast(known.where("order = 1").select("lang")), "lang", "left_semi")
     p = None
@@ -184,9 +187,11 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
         want = want.join(own, ["lang", "g"], "left").withColumn("h", F.substring("g", 1, k - 1)).join(ctx, ["lang", "h"], "left")
         # an unseen context leaves all to the shorter gram
         value = [F.expr(f"CASE WHEN coalesce(total_{f}, 0D) = 0 THEN below_{f} ELSE (coalesce(own_{f}, 0D) + cut_{f} * below_{f}) / total_{f} END").alias(f"p{f}") for f in folds]
-        paths.append(new_path(spark, "grams-p"))
-        p = stored(want.select("lang", "g", *value), "grams-p", paths[-1])
-        free_shuffles(spark)
+        p = want.select("lang", "g", *value)
+        if k in STORED:
+            paths.append(new_path(spark, "grams-p"))
+            p = stored(p, "grams-p", paths[-1])
+            free_shuffles(spark)
     for path in paths[:-1]:
         drop_path(spark, path)
     return p

@@ -175,13 +175,17 @@ def _similar(similarity: float):
     return run
 
 
+#: A second order of nodes: by their bits where these are set turned over.
+OTHER = 0x2545F4914F6CDD1D
+
+
 def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) of nodes whose five-word shingle sets have a Jaccard similarity of `similarity` or more, each verified.
 
     nodes has node, mark, t0, ...; texts has mark and text. Every number of a node emits itself
     and its one-bit flips; nodes within two bits share such a variant. In a variant's bucket all
-    are compared with its smallest and its largest node; those that are like neither go on with
-    the smallest and largest of what is left, until nobody is, so that every node is either
+    are compared with leaders, its smallest and its largest node; those that are like neither go on with
+    leaders from what is left, until nobody is, so that every node is either
     linked in each of its buckets or like none of the nodes that led there. All bits together rule out unlike
     pairs first; shingle sets are read again for the others. Leaders come from an aggregation and
     the joins have one row a key on one side, so a bucket of any size is split by AQE.
@@ -194,35 +198,42 @@ def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, simi
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     far = tables * width * p + 4 * math.sqrt(tables * width * p * (1 - p))
     fp = nodes.select(F.col("node").alias("id"), F.array(*[f"t{i}" for i in range(tables)]).alias("f"), F.col("mark").alias("m"))
-    links, path, paths = None, None, []
+    links, paths, turn = None, [], 0
+
+    def kept(df, tag):
+        paths.append(new_path(spark, tag))
+        return stored(df, tag, paths[-1])
+
     while True:
-        ends = open_.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-        now, path = open_.join(ends, "key"), new_path(spark, "near-open")
-        now = stored(now, "near-open", path)
-        paths.append(path)
-        pairs = now.where("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v")).unionByName(now.where("node <> lo and node <> hi").select(F.least("node", "hi").alias("u"), F.greatest("node", "hi").alias("v"))).distinct()
+        # the first round, over all variants, has two leaders a bucket, later ones four
+        marks = [F.min("node").alias("l0"), F.max("node").alias("l1")]
+        if turn:
+            other = F.col("node").bitwiseXOR(F.lit(OTHER))
+            marks += [F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3")]
+        names = [f"l{i}" for i in range(len(marks))]
+        now = kept(open_.join(open_.groupBy("key").agg(*marks).where("l0 < l1"), "key"), "near-open")
+        if now.isEmpty():
+            break
+        turn += 1
+        ends = F.array(*names)
+        pairs = now.select("node", F.explode(ends).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
         if links is not None:
-            pairs = pairs.join(links.select("u", "v"), ["u", "v"], "left_anti")
+            pairs = pairs.join(links, ["u", "v"], "left_anti")
         bits = pairs.join(fp.select(F.col("id").alias("u"), F.col("f").alias("fu"), F.col("m").alias("mu")), "u").join(fp.select(F.col("id").alias("v"), F.col("f").alias("fv"), F.col("m").alias("mv")), "v")
         apart = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-        likely = stored(bits.where(apart <= far).select("u", "v", "mu", "mv"), "near-likely", path := new_path(spark, "near-likely"))
-        paths.append(path)
+        likely = kept(bits.where(apart <= far).select("u", "v", "mu", "mv"), "near-likely")
         needed = likely.select(F.col("mu").alias("mark")).unionByName(likely.select(F.col("mv").alias("mark"))).distinct()
-        sets = stored(texts.join(maybe_broadcast(needed), "mark", "left_semi").select("text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "near-sets", path := new_path(spark, "near-sets"))
-        paths.append(path)
+        sets = kept(texts.join(maybe_broadcast(needed), "mark", "left_semi").select("text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "near-sets")
         both = likely.select("u", "v").join(sets.withColumnRenamed("node", "u"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("s2")), "v")
         found = stored(both.mapInArrow(_similar(similarity), "u long, v long, ok boolean").where("ok").select("u", "v"), "near-links")
         links = found if links is None else links.unionByName(found)
-        # a node goes on where it is like neither end of its bucket; the ends themselves are done
-        tried = links.select("u", "v", F.lit(True).alias("ok"))
-        rest = now.where("node <> lo and node <> hi")
-        rest = rest.join(tried.select(F.col("u").alias("lo"), F.col("v").alias("node"), F.col("ok")), ["lo", "node"], "left_anti")
-        rest = rest.withColumn("u", F.least("node", "hi")).withColumn("v", F.greatest("node", "hi")).join(tried, ["u", "v"], "left_anti").select("node", "key")
-        open_ = stored(rest, "near-rest", path := new_path(spark, "near-rest"))
-        paths.append(path)
+        # a node goes on where it is like none of its bucket's leaders; these themselves are done
+        rest = now.where(~F.array_contains(ends, F.col("node")))
+        for name in names:
+            rest = rest.withColumn("u", F.least("node", name)).withColumn("v", F.greatest("node", name)).join(links, ["u", "v"], "left_anti")
+        open_ = rest.select("node", "key")
         free_shuffles(spark)
-        if open_.isEmpty():
-            break
+    links = stored(spark.createDataFrame([], "u long, v long") if links is None else links, "near-links")
     for path in paths:
         drop_path(spark, path)
     return links
