@@ -105,10 +105,10 @@ def dealt(recs: DataFrame, files: int) -> DataFrame:
     return recs.withColumn("file", (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % files).cast("long"))
 
 
-def warc_files(recs: DataFrame) -> DataFrame:
+def warc_files(recs: DataFrame, files: int = 200) -> DataFrame:
     """(file, page_id, url, record) -> (file, data): each file's records, nulls first, by page_id, url and bytes, as one WARC body.
 
-    A file is held by one task, so dealt() bounds its size; no file is made of no records.
+    A file is held by one task, so dealt() bounds its size, and tasks are as many as files; no file is made of no records.
     """
 
     def run(batches):
@@ -124,7 +124,7 @@ def warc_files(recs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["file", "data"])
 
     rows = recs.select(F.col("file").cast("long").alias("file"), "page_id", "url", "record")
-    return rows.repartition("file").sortWithinPartitions("file", "page_id", "url", "record").select("file", "record").mapInArrow(run, "file long, data binary")
+    return rows.repartition(files, "file").sortWithinPartitions("file", "page_id", "url", "record").select("file", "record").mapInArrow(run, "file long, data binary")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -302,7 +302,7 @@ def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = file_count(pages)
     recs = dealt(records(pages), files)
-    return audit(warc_files(recs), warc_files(damaged(recs)))
+    return audit(warc_files(recs, files), warc_files(damaged(recs), files))
 
 
 def _oracle() -> str:

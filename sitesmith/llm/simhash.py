@@ -177,63 +177,78 @@ def _similar(similarity: float):
 
 #: A second order of nodes: by their bits where these are set turned over.
 OTHER = 0x2545F4914F6CDD1D
+#: Variants that a task makes at a time, so that its table of buckets stays in memory.
+TASK_VARIANTS = 1_000_000
+
+
+def variants(nodes: DataFrame, tables: int, width: int, size: int) -> DataFrame:
+    """(node, t0, t1, ...) -> (node, key): each number and its one-bit flips, told apart by table; size is the number of nodes."""
+    ids = ", ".join(f"struct({i}L AS t, t{i} AS b)" for i in range(tables))
+    parts = max(1, -(-size * tables * (width + 1) // TASK_VARIANTS))
+    flips = nodes.repartition(parts, "node").select("node", F.expr(f"inline(array({ids}))")).select("node", "t", "b", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
+    flipped = F.when(F.col("bit") < 0, F.col("b")).otherwise(F.col("b").bitwiseXOR(F.expr("shiftleft(1L, bit)")))
+    return flips.select("node", F.shiftleft("t", 40).bitwiseOR(flipped).alias("key"))
 
 
 def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) of nodes whose five-word shingle sets have a Jaccard similarity of `similarity` or more, each verified.
 
     nodes has node, mark, t0, ...; texts has mark and text. Every number of a node emits itself
-    and its one-bit flips; nodes within two bits share such a variant. In a variant's bucket all
-    are compared with leaders, its smallest and its largest node; those that are like neither go on with
-    leaders from what is left, until nobody is, so that every node is either
-    linked in each of its buckets or like none of the nodes that led there. All bits together rule out unlike
-    pairs first; shingle sets are read again for the others. Leaders come from an aggregation and
-    the joins have one row a key on one side, so a bucket of any size is split by AQE.
+    and its one-bit flips; nodes within two bits share such a variant. A variant's bucket is
+    aggregated to its size, smallest and largest node and the exclusive or of all: that tells the members of a
+    bucket of two or three, which are nearly all. In a larger one all are compared with leaders, its smallest and its largest
+    node by two orders; those that are like none go on with leaders from what is left, until nobody is, so
+    that every node is either linked in each of its buckets or like none of the nodes that led
+    there. All bits together rule out unlike pairs first; shingle sets are read again for the
+    others. The joins have one row a key on one side, so a bucket of any size is split by AQE.
     """
     spark = nodes.sparkSession
-    ids = ", ".join(f"struct({i}L AS t, t{i} AS b)" for i in range(tables))
-    flips = nodes.select("node", F.expr(f"inline(array({ids}))")).select("node", "t", "b", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
-    flipped = F.when(F.col("bit") < 0, F.col("b")).otherwise(F.col("b").bitwiseXOR(F.expr("shiftleft(1L, bit)")))
-    open_ = flips.select("node", F.shiftleft("t", 40).bitwiseOR(flipped).alias("key"))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     far = tables * width * p + 4 * math.sqrt(tables * width * p * (1 - p))
     fp = nodes.select(F.col("node").alias("id"), F.array(*[f"t{i}" for i in range(tables)]).alias("f"), F.col("mark").alias("m"))
-    links, paths, turn = None, [], 0
+    links, paths = None, []
 
     def kept(df, tag):
         paths.append(new_path(spark, tag))
         return stored(df, tag, paths[-1])
 
-    while True:
-        # the first round, over all variants, has two leaders a bucket, later ones four
-        marks = [F.min("node").alias("l0"), F.max("node").alias("l1")]
-        if turn:
-            other = F.col("node").bitwiseXOR(F.lit(OTHER))
-            marks += [F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3")]
-        names = [f"l{i}" for i in range(len(marks))]
-        now = kept(open_.join(open_.groupBy("key").agg(*marks).where("l0 < l1"), "key"), "near-open")
-        if now.isEmpty():
-            break
-        turn += 1
-        ends = F.array(*names)
-        pairs = now.select("node", F.explode(ends).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["u", "v"], "left_anti")
+    def similar(pairs):
+        """The given pairs (u, v) that are alike: by all bits, then by their shingle sets."""
         bits = pairs.join(fp.select(F.col("id").alias("u"), F.col("f").alias("fu"), F.col("m").alias("mu")), "u").join(fp.select(F.col("id").alias("v"), F.col("f").alias("fv"), F.col("m").alias("mv")), "v")
         apart = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
         likely = kept(bits.where(apart <= far).select("u", "v", "mu", "mv"), "near-likely")
         needed = likely.select(F.col("mu").alias("mark")).unionByName(likely.select(F.col("mv").alias("mark"))).distinct()
         sets = kept(texts.join(maybe_broadcast(needed), "mark", "left_semi").select("text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "near-sets")
         both = likely.select("u", "v").join(sets.withColumnRenamed("node", "u"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("s2")), "v")
-        found = stored(both.mapInArrow(_similar(similarity), "u long, v long, ok boolean").where("ok").select("u", "v"), "near-links")
-        links = found if links is None else links.unionByName(found)
+        out = stored(both.mapInArrow(_similar(similarity), "u long, v long, ok boolean").where("ok").select("u", "v"), "near-links")
+        free_shuffles(spark)
+        return out
+
+    all_ = variants(nodes, tables, width, nodes.count())
+    buckets = all_.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("n > 1")
+    buckets = kept(buckets, "near-buckets")
+    free_shuffles(spark)
+    mid = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    lo, hi = F.col("lo"), F.col("hi")
+    small = buckets.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, mid), pair(mid, hi)))).alias("p")).select("p.*").distinct()
+    links = similar(small)
+    open_ = kept(all_.join(maybe_broadcast(buckets.where("n > 3").select("key")), "key", "left_semi"), "near-open")
+    while not open_.isEmpty():
+        other = F.col("node").bitwiseXOR(F.lit(OTHER))
+        leaders = open_.groupBy("key").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3"))
+        names = ["l0", "l1", "l2", "l3"]
+        now = open_.join(leaders.where("l0 < l1"), "key")
+        ends = F.array(*names)
+        pairs = now.select("node", F.explode(ends).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
+        links = links.unionByName(similar(pairs.join(links, ["u", "v"], "left_anti")))
         # a node goes on where it is like none of its bucket's leaders; these themselves are done
         rest = now.where(~F.array_contains(ends, F.col("node")))
         for name in names:
             rest = rest.withColumn("u", F.least("node", name)).withColumn("v", F.greatest("node", name)).join(links, ["u", "v"], "left_anti")
-        open_ = rest.select("node", "key")
+        open_ = kept(rest.select("node", "key"), "near-open")
         free_shuffles(spark)
-    links = stored(spark.createDataFrame([], "u long, v long") if links is None else links, "near-links")
+    links = stored(links.distinct(), "near-links")
     for path in paths:
         drop_path(spark, path)
     return links

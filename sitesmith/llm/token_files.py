@@ -19,6 +19,8 @@ MAGIC = b"SSTOK\x00\x01\x00"
 #: Ids of a block; ids after which an image ends (at a document's end).
 BLOCK_IDS = 1 << 16
 IMAGE_IDS = 1 << 20
+#: Bytes of text of a file on average.
+FILE_BYTES = 32 << 20
 END_ID = 2
 LEVEL = 3
 TOKENIZER = "word_bpe_49k.json"
@@ -186,9 +188,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """
     spark = docs.sparkSession
     source = tokenizer
-    files = files or max(docs.select("doc_id").rdd.getNumPartitions(), 8)
+    files = files or max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    # the parent's byte partitions set the number of ranges, so a range stays near a scan split in size
     ordered = cols.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):

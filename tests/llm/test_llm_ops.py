@@ -475,11 +475,11 @@ def test_fixity_odd(spark):
     """Null and repeated ids, equal rows, a very long body, columns of clashing names, empty tables."""
     rows = [(None, "http://x/", "n", 1, 2, "k")] * 2 + [(5, "http://h/5", "five", 1, 2, "k")] * 3 + [(6, None, None, 1, 2, "k"), (7, "http://h/7", "y" * 3_000_000, 1, 2, "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, file long, pos int, record string")
-    a = fixity.warc_files(fixity.dealt(fixity.records(pages), 2))
-    b = fixity.warc_files(fixity.dealt(fixity.records(pages.where("page_id <> 5 or page_id is null").unionByName(pages.where("page_id = 5").limit(1))), 2))
+    a = fixity.warc_files(fixity.dealt(fixity.records(pages), 2), 2)
+    b = fixity.warc_files(fixity.dealt(fixity.records(pages.where("page_id <> 5 or page_id is null").unionByName(pages.where("page_id = 5").limit(1))), 2), 2)
     assert fixity.audit(a, a).count() == 0
     assert Counter((r["key"], r["status"]) for r in fixity.audit(a, b).collect()) == {("<urn:page:5>", "missing"): 2}
-    empty = fixity.warc_files(fixity.dealt(fixity.records(pages.limit(0)), 1))
+    empty = fixity.warc_files(fixity.dealt(fixity.records(pages.limit(0)), 1), 1)
     assert fixity.audit(empty, empty).count() == 0 and fixity.audit(empty, a).where("status = 'extra'").count() == 7
 
 
