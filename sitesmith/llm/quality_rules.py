@@ -1,4 +1,4 @@
-"""Quality rules with risk-controlled thresholds: cutoffs that bound false rejection per stratum."""
+"""Quality rules with risk-controlled thresholds: cutoffs that bound the false rejection of all rules together per stratum."""
 
 from __future__ import annotations
 
@@ -15,9 +15,11 @@ WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: False rejection of good documents allowed to each rule, and the chance, over all rules and strata, that any exceeds it.
-RISK = 0.01
+#: False rejection of good documents allowed to all rules of a stratum together, and the chance, over all strata, that any exceeds it.
+RISK = 0.05
 DELTA = 0.05
+#: One labelled document in so many, by a hash of its id, chooses the order in which cutoffs are tested; the others test them.
+TUNING = 3
 #: Cutoffs tried for each rule, from the most lenient to the strictest. A document fails above a cutoff.
 RULES = {
     "symbol_share": ("n_symbols / greatest(word_chars, 1)", [0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02]),
@@ -26,7 +28,6 @@ RULES = {
     "word_length": ("word_chars / greatest(n_words, 1)", [40, 30, 25, 20, 18, 16, 14, 13, 12, 11, 10, 9, 8]),
     "word_shortness": ("n_words / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.27, 0.25]),
 }
-POOLED = "*"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CONT = np.zeros(256, bool)
@@ -122,59 +123,100 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[tuple[str, str, float, int, int, float]]:
-    """(stratum, rule, cutoff, good documents, of them rejected, bound) of every rule that holds in a stratum.
+def notches() -> list:
+    """For each rule the number of its cutoffs that a document exceeds: as cutoffs grow stricter, the first so many do not reject it."""
+    out = []
+    for rule, (value, grid) in RULES.items():
+        # grids run from lenient to strict, so what exceeds one exceeds all that follow
+        out.append((len(grid) - F.size(F.filter(F.array(*[F.lit(float(c)) for c in grid]), lambda c: F.expr(value) > c))).cast("int").alias(rule))
+    return out
+
+
+def rejected(at: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Documents (rows of notches()) that fail under the strictest cutoff number `cut` of each rule; -1 stands for no cutoff."""
+    return (at <= cut[None, :]).any(axis=1)
+
+
+def path(at: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float) -> list[np.ndarray]:
+    """Ever stricter sets of cutoffs: the next is the one change of a rule that rejects most bad documents for the good ones it costs.
 
-    `good` has measured() rows of good holdout documents that passed the base rules; strata are
-    languages, null as the pooled stratum of all. Each (stratum, rule) gets delta over the number
-    of such pairs (Bonferroni); within a pair cutoffs are tested from the most lenient on and the
-    last before the first whose bound exceeds `risk` is taken (fixed-sequence testing, which
-    needs no further correction). Each rule's counts are exact over all rows.
+    `at` has distinct notches, good and bad the documents of each. Ends where no change rejects
+    another bad document or the good ones rejected exceed `risk`.
     """
-    aggs = [F.count("*").alias("n")]
-    for rule, (value, grid) in RULES.items():
-        aggs += [F.sum((F.expr(value) > c).cast("long")).alias(f"{rule}_{i}") for i, c in enumerate(grid)]
-    rows = [r.asDict() | {"lang": r["lang"]} for r in good.where("lang is not null").groupBy("lang").agg(*aggs).collect()]
-    pooled = good.agg(*aggs).first().asDict()
-    if pooled["n"]:
-        rows.append(pooled | {"lang": POOLED})
-    each = delta / max(1, len(rows) * len(RULES))
-    found = []
-    for r in rows:
-        for rule, (_, grid) in RULES.items():
-            best = None
-            for i, c in enumerate(grid):
-                bound = upper_bound(r[f"{rule}_{i}"], r["n"], each)
-                if bound > risk:
-                    break
-                best = (r["lang"], rule, float(c), int(r["n"]), int(r[f"{rule}_{i}"]), bound)
-            if best:
-                found.append(best)
-    return sorted(found)
+    cut, out = np.full(at.shape[1], -1), []
+    while True:
+        now = rejected(at, cut)
+        best = None
+        for r, (_, grid) in enumerate(RULES.values()):
+            for c in range(int(cut[r]) + 1, len(grid)):
+                new = ~now & (at[:, r] <= c)
+                gain, cost = int(bad[new].sum()), int(good[new].sum())
+                if gain and (best is None or gain / (1 + cost) > best[0]):
+                    best = gain / (1 + cost), r, c
+        if best is None:
+            return out
+        cut = cut.copy()
+        cut[best[1]] = best[2]
+        if good[rejected(at, cut)].sum() > risk * good.sum():
+            return out
+        out.append(cut)
+
+
+def cutoffs(counts: list[tuple], risk: float = RISK, delta: float = DELTA) -> dict[str | None, tuple[np.ndarray, int, int, float]]:
+    """Stratum -> (strictest cutoff of each rule that holds, good documents that tested it, of them rejected, bound).
+
+    counts has (stratum, tuning, good, notches..., n) rows of labelled documents that passed the
+    base rules. Each stratum gets delta over the number of strata (Bonferroni). Within one, path()
+    of the tuning documents is a fixed sequence for the others: sets of cutoffs are tested in its order, each by
+    the exact bound on the share of good documents that any of its rules rejects, and the last before the first whose
+    bound exceeds `risk` is taken, which needs no further correction. A stratum where none holds is left out.
+    """
+    strata: dict[str | None, list] = {}
+    for stratum, *rest in counts:
+        strata.setdefault(stratum, []).append(rest)
+    found = {}
+    for stratum, rows in strata.items():
+        tuning, good, n = (np.array([r[i] for r in rows], t) for i, t in ((0, bool), (1, bool), (-1, np.int64)))
+        at = np.array([r[2:-1] for r in rows], np.int64)
+        test = n * (~tuning & good)
+        for cut in path(at, n * (tuning & good), n * (tuning & ~good), risk):
+            k = int(test[rejected(at, cut)].sum())
+            bound = upper_bound(k, int(test.sum()), delta / len(strata))
+            if bound > risk:
+                break
+            found[stratum] = cut, int(test.sum()), k, bound
+    return found
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, good), a row a document: good if every label of it is 1."""
+    rows = labels.where("doc_id is not null and quality is not null")
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, kept and failed_rules.
+    """One row per document: doc_id, the base counts, base_failed, kept, failed_rules and certified.
 
     kept is false where the base rules fail or a rule of the document's stratum exceeds its
-    cutoff. The holdout is every document with quality 1 in `labels`. A language without
-    labelled documents takes the pooled cutoffs; a stratum with too few labels to bound the
-    risk takes none of its own and rejects nothing by the method. Null text has no words.
-    Repeated rows repeat; extra columns are ignored.
+    cutoff. A stratum is a language, null a stratum of its own. The holdout is every document in `labels`. certified
+    says that the stratum has cutoffs whose risk is bounded; one with too few labels has none, and its
+    documents are rejected by the base rules only. Null text has no words. Repeated
+    rows repeat, each counted; extra columns are ignored. Distinct notches are at most the product of the grids' lengths.
     """
-    spark = docs.sparkSession
     rows = stored(measured(docs), "quality-rules")
-    ids = maybe_broadcast(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    good = rows.join(ids, "doc_id", "left_semi").where("not base_failed")
-    found = cutoffs(good, risk, delta)
-    strata = {r[0] for r in good.where("lang is not null").select("lang").distinct().collect()}
+    held = rows.where("not base_failed").join(maybe_broadcast(labelled(labels)), "doc_id")
+    tuning = (F.pmod(F.xxhash64("doc_id"), F.lit(TUNING)) == 0).alias("tuning")
+    counts = held.select("lang", tuning, "good", *notches()).groupBy("lang", "tuning", "good", *RULES).agg(F.count("*").alias("n"))
+    found = cutoffs(sorted((tuple(r) for r in counts.collect()), key=repr), risk, delta)
     failed = []
-    for stratum in sorted(strata | {POOLED}):
-        here = F.col("lang") == stratum if stratum != POOLED else F.col("lang").isNull() | ~F.col("lang").isin(sorted(strata)) if strata else F.lit(True)
-        failed += [F.when(here & (F.expr(RULES[rule][0]) > cut), F.lit(rule)) for s, rule, cut, *_ in found if s == stratum]
+    for stratum, (cut, *_) in found.items():
+        here = F.col("lang").eqNullSafe(F.lit(stratum))
+        failed += [F.when(here & (F.expr(value) > float(grid[c])), F.lit(rule)) for (rule, (value, grid)), c in zip(RULES.items(), cut.tolist()) if c >= 0]
     rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+    known = [s for s in found if s is not None]
+    certified = F.coalesce(F.col("lang").isin(known), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in found))
     return rows.select(
-        "doc_id", *NAMES, "base_failed", (~F.col("base_failed") & (F.size(rules) == 0)).alias("kept"), F.array_join(rules, ",").alias("failed_rules")
+        "doc_id", *NAMES, "base_failed", (~F.col("base_failed") & (F.size(rules) == 0)).alias("kept"), F.array_join(rules, ",").alias("failed_rules"), certified.alias("certified")
     )
 
 

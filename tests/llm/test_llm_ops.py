@@ -625,14 +625,85 @@ def test_binomial_bound(k, n):
     assert quality_rules.binomial_cdf(k, n, b) == pytest.approx(0.01, rel=1e-6) and b > k / n
 
 
+def slow_bound(k, n, delta):
+    """The exact upper bound by bisection over written out binomial terms."""
+    if not n or k >= n:
+        return 1.0
+    term = lambda i, p: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    low, high = k / n, 1.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(term(i, mid) for i in range(k + 1)) > delta else (low, mid)
+    return high
+
+
+def slow_verdicts(rows, labels, fold):
+    """doc -> (kept, certified), written out over documents; fold tells the tuning ids."""
+    value, base, label = {}, {}, {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            label[i] = label.get(i, True) and q == 1
+    for i, t, lang, _ in rows:
+        n, chars, sym, dup, rep = slow_counts(t)
+        base[i] = n < 10 or 100 * rep > 20 * n
+        value[i] = [sym / max(chars, 1), rep / max(n, 1), 100 * dup / max(n, 1), chars / max(n, 1), n / max(chars, 1)]
+    lang = {i: g for i, _, g, _ in rows}
+    grids = [g for _, g in quality_rules.RULES.values()]
+    strata = sorted({lang[i] for i in label if i in lang and not base[i]}, key=repr)
+    fails = lambda i, cut: any(c is not None and value[i][r] > c for r, c in enumerate(cut))
+    holds = {}
+    for s in strata:
+        tune = [i for i in label if lang.get(i, 0) == s and not base[i] and fold(i)]
+        test = [i for i in label if lang.get(i, 0) == s and not base[i] and not fold(i) and label[i]]
+        cut = [None] * 5
+        while True:
+            best = None
+            for r, grid in enumerate(grids):
+                for c in grid if cut[r] is None else grid[grid.index(cut[r]) + 1 :]:
+                    new = [i for i in tune if not fails(i, cut) and value[i][r] > c]
+                    gain = sum(not label[i] for i in new)
+                    if gain and (best is None or gain / (1 + len(new) - gain) > best[0]):
+                        best = gain / (1 + len(new) - gain), r, c
+            if best is None:
+                break
+            cut = [best[2] if r == best[1] else c for r, c in enumerate(cut)]
+            good = [i for i in tune if label[i]]
+            if sum(fails(i, cut) for i in good) > quality_rules.RISK * len(good):
+                break
+            if slow_bound(sum(fails(i, cut) for i in test), len(test), quality_rules.DELTA / len(strata)) > quality_rules.RISK:
+                break
+            holds[s] = cut
+    return {i: (not base[i] and not (lang[i] in holds and fails(i, holds[lang[i]])), lang[i] in holds) for i in lang}
+
+
+def test_quality_rules_written_out(spark):
+    """kept and certified of every document where rules act, in two languages of which one has too few labels."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, rng.integers(2, 9)))
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = [word() + ("#" * int(rng.integers(0, 4)) if bad else "#" * int(rng.random() < 0.01)) for _ in range(int(rng.integers(5, 60)))]
+        text = "\n".join([" ".join(words)] + (["same line"] * int(rng.integers(0, 4)) if i % 4 == 0 else []))
+        rows.append((i, text, "en" if i % 10 else None if i % 20 else "de", "a"))
+        labels.append((i, int(not bad)) if i % 50 else (i, None))
+    labels += [(1, 0), (None, 1)]
+    df = spark.createDataFrame(labels, "doc_id long, quality int")
+    tuned = {r[0] for r in spark.range(900).where(F.pmod(F.xxhash64("id"), F.lit(quality_rules.TUNING)) == 0).collect()}
+    want = slow_verdicts(rows, labels, lambda i: i in tuned)
+    got = {r["doc_id"]: (r["kept"], r["certified"]) for r in quality_rules.judged(docs(spark, rows), df).collect()}
+    assert got == want and {c for _, c in want.values()} == {True, False}
+    assert sum(not k for k, _ in want.values()) > sum(r["base_failed"] for r in quality_rules.judged(docs(spark, rows), df).collect()) + 100
+
+
 def test_risk_is_controlled(spark):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)), "en", "a") for i in range(3000)] + [(10_000 + i, " ".join(f"###$$${j}" for j in range(30)), "en", "a") for i in range(50)]
-    labels = spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(10_000 + i, 0) for i in range(25)], "doc_id long, quality int")
     got = quality_rules.judged(docs(spark, rows), labels)
-    assert got.where("doc_id >= 10000 and kept").count() == 0 and got.where("doc_id < 10000 and not kept").count() <= 0.05 * 3000
-    # too few labels certify nothing
-    few = quality_rules.judged(docs(spark, rows), labels.where("doc_id < 20"))
-    assert few.where("not kept and not base_failed").count() == 0
+    assert got.where("doc_id >= 10000 and kept").count() == 0 and got.where("doc_id < 10000 and not kept").count() <= 0.05 * 3000 and got.where("certified").count() == 3050
+    # too few labels certify nothing, and say so
+    few = quality_rules.judged(docs(spark, rows), labels.where("doc_id < 20 or doc_id >= 10000"))
+    assert few.where("not kept and not base_failed").count() == 0 and few.where("certified").count() == 0
 
 
 def test_quality_rules_odd(spark):
