@@ -210,6 +210,64 @@ def test_passages_real(spark, real):
     assert slow_repeats(rows) <= got
 
 
+def slow_spans(rows, n=50):
+    """doc -> words covered by runs of n words that another text holds too, or by a whole text with copies."""
+    texts = {i: tuple((t or "").encode().lower().split()) for i, t, *_ in rows}
+    where, copies = defaultdict(set), Counter(texts.values())
+    for w in set(texts.values()):
+        for k in range(len(w) - n + 1):
+            where[w[k : k + n]].add(w)
+    return {i: {k + x for k in range(len(w) - n + 1) for x in range(n) if copies[w] > 1 or len(where[w[k : k + n]]) > 1} for i, w in texts.items() if len(w) >= n}
+
+
+def covered(spans):
+    return {x for s in spans.split(",") for a, b in [s.split("-")] for x in range(int(a), int(b))}
+
+
+def test_passages_exact_spans(spark, real):
+    """Every word of an exact repeat is in a span; what else spans hold belongs to a near passage that another text has."""
+    df, rows = real
+    got = {r["doc_id"]: covered(r["spans"]) for r in passages.substring_dups(df).collect()}
+    want = slow_spans(rows)
+    assert all(w <= got.get(i, set()) for i, w in want.items())
+    words = {i: (t or "").encode().lower().split() for i, t, *_ in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    for i, g in got.items():
+        more = sorted(g - want[i])
+        if more:  # a near passage: most of its shingles are in one other text
+            own = {tuple(words[i][k : k + 5]) for k in g if k + 4 in g}
+            assert max(len(own & s) for j, s in sets.items() if j != i) >= 0.3 * len(own)
+
+
+def test_passages_near_recall(spark):
+    """Near passages of 60, 100 and 200 words at and above the threshold, beside a rival text that holds a part and has the smallest class."""
+    rng = np.random.default_rng(30)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 50_000, n))
+    rows, sizes = [], {}
+    for k in range(90):
+        n, changes = ((60, 1), (100, 2), (200, 4))[k % 3]
+        p = text(n).split()
+        q = list(p)
+        for x in rng.choice(np.arange(6, n - 6, 9), changes, replace=False):
+            q[x] = f"c{k}x{x}"
+        rows += [(10 * k, f"{text(40)} {' '.join(p)} {text(30)}", "en", "a"), (10 * k + 1, f"{text(20)} {' '.join(q)} {text(50)}", "en", "a"), (10 * k + 2, f"{text(30)} {' '.join(p[: n // 2])} {text(30)}", "en", "a")]
+        sizes[k] = n
+    got = {r["doc_id"]: r["class_id"] for r in passages.substring_dups(docs(spark, rows)).collect()}
+    for n in (60, 100, 200):
+        assert np.mean([got.get(10 * k) == got.get(10 * k + 1) is not None for k in sizes if sizes[k] == n]) >= 0.9
+
+
+def test_passages_odd(spark):
+    """Documents without an id, repeated rows, null and empty texts, columns of clashing names."""
+    rng = np.random.default_rng(31)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 50_000, n))
+    p, q = text(60), text(60)
+    rows = [(None, f"{text(10)} {p} {text(20)}", "en", "a"), (1, f"{p} {text(30)}", "en", "a"), (None, f"{q} {text(9)}", "en", "a"), (None, f"{text(7)} {q}", "en", "a"), (5, text(80), "en", "a"), (6, text(70), "en", None)]
+    rows += [rows[-1], (7, None, "en", "a"), (8, "", "en", "a"), (None, None, "en", "a")]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["n_copies"], r["spans"]) for r in passages.substring_dups(docs(spark, rows)).collect())
+    assert got == [(0, 0, 1, 1, "0-60"), (0, 0, 1, 1, "7-67"), (0, 1, 1, 1, "10-70"), (1, 1, 1, 1, "0-60"), (6, 6, 0, 2, "0-70"), (6, 6, 0, 2, "0-70")]
+
+
 def test_passages_planted(spark):
     rng = np.random.default_rng(2)
     text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 5000, n))
