@@ -31,12 +31,24 @@ def sse_messages(text: Column) -> Column:
     return F.transform(data, lambda x: F.trim(F.substring(x, 6, 1_000_000)))
 
 
+def rounded_half_even(x: Column) -> Column:
+    """Tenths of a non-negative number as a long, rounded by the number's exact binary value, and half to even where it is a tie itself."""
+    # ten times x as a sum of two exact products; err is what that sum lost
+    a, b = x * 8.0, x * 2.0
+    s = a + b
+    err = (a - (s - (s - a))) + (b - (s - a))
+    low = F.floor(s)
+    up = (s - low > 0.5) | ((s - low == 0.5) & ((err > 0) | ((err == 0) & (low % 2 == 1))))
+    return low + F.when(up, 1).otherwise(0)
+
+
 def byte_size(n: Column) -> Column:
     """B, whole KB or MB with one decimal, in powers of a thousand."""
-    plain = lambda x, d: F.regexp_replace(F.format_number(x, d), ",", "")
+    tenths = rounded_half_even(n / 1e6)
+    mb = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB"))
     return (
-        F.when(n >= 1_000_000, F.concat(plain(n / 1e6, 1), F.lit(" MB")))
-        .when(n >= 1000, F.concat(plain(n / 1e3, 0), F.lit(" KB")))
+        F.when(n >= 1_000_000, mb)
+        .when(n >= 1000, F.concat(F.bround(n.cast("decimal(20,0)") / 1000, 0).cast("decimal(20,0)").cast("string"), F.lit(" KB")))
         .otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 

@@ -178,6 +178,18 @@ def scene_metadata(zones: DataFrame) -> DataFrame:
     )
 
 
+def scene_zones(assignments: DataFrame, zones: DataFrame, materials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assignments joined with their zone and material -> (project_id, tier, zone_id, ring, category, depth_inches) and the misses.
+
+    An assignment of an unknown zone is skipped; one of a known zone without its material is a
+    missing_material row, and no scene is made of its tier.
+    """
+    j = assignments.join(zones.select("project_id", "zone_id", "ring"), ["project_id", "zone_id"]).join(materials.select("material_id", "category", "depth_inches", F.lit(True).alias("__m")), "material_id", "left")
+    missing = j.where("__m is null").select("project_id", "tier", "zone_id", "material_id")
+    bad = missing.select("project_id", "tier").distinct()
+    return j.where("__m").drop("__m").join(bad, ["project_id", "tier"], "left_anti").select("project_id", "tier", "zone_id", "ring", "category", "depth_inches"), missing
+
+
 def simplify(points: list[tuple[float, float]], eps: float) -> list[tuple[float, float]]:
     """Ramer-Douglas-Peucker, without recursion; a closed ring keeps its end points."""
     if len(points) < 3:

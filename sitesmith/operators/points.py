@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesmith.functions import text
@@ -140,8 +140,6 @@ def dbscan(points: DataFrame, eps: float = 0.3, min_points: int = 50) -> DataFra
     inner = from_core.join(core.withColumnRenamed("id", "b"), "b").where("a <> b")
     label = components(inner, core)
     seeds = label.select("label").distinct()
-    from pyspark.sql import Window
-
     # a row a cluster; numbered within its scan
     number = seeds.withColumn("cluster_id", F.row_number().over(Window.partitionBy("label.scan_id").orderBy("label.idx")) - 1)
     cores = shared_table(label.join(number, "label").select("id", "cluster_id"), "clusters")
@@ -150,6 +148,36 @@ def dbscan(points: DataFrame, eps: float = 0.3, min_points: int = 50) -> DataFra
     return out.select("id.scan_id", "id.idx", F.col("cluster_id").isNotNull().alias("is_core"), F.coalesce("cluster_id", "border").alias("cluster_id"))
 
 
+def first_come(points: DataFrame, eps: float, clusters: DataFrame) -> DataFrame:
+    """dbscan() rows with the border rule of a scan in order of idx: the compat rule.
+
+    A border point belongs to a cluster if it lies within eps of the cluster's first core, or
+    comes after that core and within eps of any other; of several it takes the lowest number. Others are noise.
+    """
+    c = points.select("scan_id", "idx", *XYZ).join(clusters, ["scan_id", "idx"])
+    core = c.where("is_core").withColumn("seed", F.min("idx").over(Window.partitionBy("scan_id", "cluster_id")))
+    rim = c.where("not is_core and cluster_id is not null").drop("cluster_id", "is_core")
+    j = radius_join(rim, core, eps, XYZ, by=["scan_id"])
+    ok = (F.col("b.idx") == F.col("b.seed")) | (F.col("a.idx") > F.col("b.seed"))
+    won = j.where(ok).groupBy(F.col("a.scan_id").alias("scan_id"), F.col("a.idx").alias("idx")).agg(F.min("b.cluster_id").alias("won"))
+    out = clusters.join(won, ["scan_id", "idx"], "left")
+    return out.select("scan_id", "idx", "is_core", F.when(F.col("is_core"), F.col("cluster_id")).otherwise(F.col("won")).alias("cluster_id"))
+
+
+def concatenated(split: DataFrame) -> DataFrame:
+    """Ground points followed by obstacles as one cloud, place by place: the whole cloud again."""
+    ground, rest = split.where("is_ground"), split.where("not is_ground")
+    return ground.withColumn("part", F.lit(0)).unionByName(rest.withColumn("part", F.lit(1)))
+
+
+def annotations(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates and classifications (label, category, confidence) of the same scan and cluster -> label text, colour and place on the plan."""
+    from sitesmith.functions import text
+
+    j = candidates.join(classes.select("scan_id", "cluster_id", "label", "category", "confidence"), ["scan_id", "cluster_id"])
+    return j.withColumn("text", F.format_string("%s (%.2f)", "label", "confidence")).withColumn("colour", text.category_colour(F.col("category")))
+
+
 def candidates(points: DataFrame, planes: DataFrame) -> DataFrame:
     """Clustered points (scan_id, cluster_id, x, y, z, r, g, b) and planes -> one summary per cluster.
 
@@ -250,8 +278,6 @@ def reindexed(points: DataFrame) -> DataFrame:
 
     Places are counted per range of old ids and added up over ranges, so no task holds a whole scan.
     """
-    from pyspark.sql import Window
-
     p = points.withColumn("__r", F.expr("idx div 65536"))
     w = Window.partitionBy("scan_id").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     base = p.groupBy("scan_id", "__r").agg(F.count("*").alias("__n")).withColumn("__b", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")

@@ -79,6 +79,33 @@ def zone_rollup(items: DataFrame) -> DataFrame:
     )
 
 
+# The sentences of a proposal.
+CALLOUT = "%s zone (%s sq ft) featuring %s — designed to complement the overall landscape vision for %s."
+INTRO = "Thank you for choosing %s for your %s project at %s. We are pleased to present this comprehensive landscape proposal tailored to your property's unique characteristics and your vision for a beautiful, functional outdoor living space."
+CLOSING = "We at %s look forward to bringing your vision for %s to life. Our team is committed to quality craftsmanship and attention to detail throughout every phase of the project. Please don't hesitate to reach out with any questions."
+
+
+def zone_callouts(rollup: DataFrame, areas: DataFrame, projects: DataFrame) -> DataFrame:
+    """A note for each zone of a project's first tier (good before better before best)."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
+    first = rollup.groupBy("project_id").agg(F.min_by("tier", rank).alias("tier"))
+    j = rollup.join(first, ["project_id", "tier"]).join(areas.select("zone_id", "area_sqft"), "zone_id").join(projects.select("project_id", "name"), "project_id")
+    return j.select("project_id", "zone_id", F.col("label").alias("zone_label"), F.format_string(CALLOUT, F.col("label"), F.col("area_sqft").cast("string"), F.col("materials"), F.col("name")).alias("note"))
+
+
+def proposal_documents(narratives: DataFrame, callouts: DataFrame, projects: DataFrame) -> DataFrame:
+    """One JSON document a project (name, address, company): intro, tiers in order, callouts by zone, closing."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
+    tiers = narratives.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("tier").alias("tier_level"), "headline", "description", F.split("differentiators", "[|]").alias("differentiators")))).alias("tier_narratives"))
+    notes = callouts.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("zone_id", "zone_label", "note"))).alias("zone_callouts"))
+    j = projects.join(tiers, "project_id").join(notes, "project_id", "left")
+    doc = F.struct(
+        F.format_string(INTRO, "company", "name", "address").alias("intro_paragraph"), F.transform("tier_narratives", lambda t: t.dropFields("rank")).alias("tier_narratives"),
+        F.transform(F.coalesce("zone_callouts", F.expr("cast(array() as array<struct<zone_id:string,zone_label:string,note:string>>)")), lambda z: z.dropFields("zone_id")).alias("zone_callouts"), F.format_string(CLOSING, "company", "name").alias("closing_paragraph"),
+    )
+    return j.select("project_id", F.to_json(doc).alias("document"))
+
+
 def narrative(rollup: DataFrame, quote_totals: DataFrame, projects: DataFrame) -> DataFrame:
     """Rule-made proposal text per project and tier."""
     zones = rollup.groupBy("project_id", "tier").agg(F.array_sort(F.collect_list("label")).alias("zones"))

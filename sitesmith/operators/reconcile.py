@@ -28,6 +28,23 @@ def reconcile(scan: DataFrame, satellite: DataFrame, distance: float, height_ft:
     return j.unionByName(only).withColumn("origin", origin)
 
 
+def reconcile_three(scan: DataFrame, satellite: DataFrame, plan: DataFrame, distance: float, height_ft: float) -> DataFrame:
+    """Three sources -> scan_feature, satellite_feature, plan_feature, origin: the sources that saw it, joined by '+'.
+
+    Scan and satellite meet first; the plan's features meet what came of that, at the scan's place where both have one.
+    """
+    two = reconcile(scan, satellite, distance, height_ft)
+    at = lambda df, name: df.select(F.col("id").alias(name), F.struct("x", "y", "height_ft").alias(f"at_{name}"))
+    merged = two.join(at(scan, "scan_feature"), "scan_feature", "left").join(at(satellite, "satellite_feature"), "satellite_feature", "left")
+    merged = merged.withColumn("at", F.coalesce("at_scan_feature", "at_satellite_feature"))
+    # an id that both sides of the first match can be told by: even for the scan's, odd for the satellite's own
+    merged = merged.select("scan_feature", "satellite_feature", F.when(F.col("scan_feature").isNotNull(), F.col("scan_feature") * 2).otherwise(F.col("satellite_feature") * 2 + 1).alias("id"), "at.*")
+    three = reconcile(merged.select("id", "x", "y", "height_ft"), plan, distance, height_ft).select(F.col("scan_feature").alias("id"), F.col("satellite_feature").alias("plan_feature"))
+    out = three.join(merged.select("id", "scan_feature", "satellite_feature"), "id", "left")
+    seen = F.concat_ws("+", *[F.when(F.col(f"{s}_feature").isNotNull(), F.lit(s)) for s in ("scan", "satellite", "plan")])
+    return out.select("scan_feature", "satellite_feature", "plan_feature", seen.alias("origin"))
+
+
 class Extractor(Protocol):
     def __call__(self, cloud: DataFrame) -> DataFrame: ...
 

@@ -25,6 +25,36 @@ def updated(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return df.join(changes.select(key), key, "left_anti").select(*df.columns).unionByName(new.select(*df.columns))
 
 
+def by_id(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of an id, or no row."""
+    return df.where(F.col(key) == value)
+
+
+def listed(df: DataFrame, by: str | list[str], order: list) -> DataFrame:
+    """Rows of each `by` group with their place in the group's listing, from 1."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def inserted(new: DataFrame, key: str, natural: list[str], at) -> DataFrame:
+    """New rows with an id made from their natural key, so that a task that runs again gives the same, and both time stamps set."""
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in natural])
+    return new.withColumns({key: F.md5(name), "created_at": at, "updated_at": at})
+
+
+def touched(df: DataFrame, changes: DataFrame, key: str, columns: list[str], at) -> DataFrame:
+    """df with the given columns of the rows in `changes`, whose updated_at becomes `at`; keys that df lacks are for not_found()."""
+    new = changes.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
+    j = df.join(new, key, "left")
+    value = lambda c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
+    stamp = F.when(F.col("__hit"), at).otherwise(F.col("updated_at")).alias("updated_at")
+    return j.select(*[stamp if c == "updated_at" else value(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def zone_changes(changes: DataFrame, zones: DataFrame) -> DataFrame:
+    """Changes whose zone belongs to the project they name: both keys have to match."""
+    return changes.join(zones.select("project_id", "zone_id"), ["project_id", "zone_id"], "left_semi")
+
+
 def not_found(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return changes.join(df.select(key), key, "left_anti")
 
@@ -39,6 +69,11 @@ def replaced(df: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(new.select(*keys).distinct(), keys, "left_anti").select(*df.columns).unionByName(new.select(*df.columns))
 
 
+def replaced_for(df: DataFrame, targets: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """df with all rows of the target groups replaced by those of new: a target without new rows ends up empty."""
+    return df.join(targets.select(*keys).distinct(), keys, "left_anti").select(*df.columns).unionByName(new.join(targets.select(*keys).distinct(), keys, "left_semi").select(*df.columns))
+
+
 def write_replaced(new: DataFrame, path: str, keys: list[str]) -> None:
     """Overwrite only the partitions that `new` has."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesmith.operators import hdbscan as hdb
-from sitesmith.operators import mesh, points, reconcile
+from sitesmith.operators import mesh, points
 from sitesmith.operators.graph import shared_table
 from sitesmith.plans import bind
 from sitesmith.sources import artefacts, ply
@@ -79,13 +79,13 @@ def scene_metadata(spark: SparkSession, d: str) -> DataFrame:
 def _scene_zones(spark, d):
     k = F.col("material_id")
     cat = F.element_at(F.array(*[F.lit(c) for c in artefacts.BASE_COLOURS]), (k % 4 + 1).cast("int"))
-    return bind.zones(spark, d).where("project_id < 500").select(
+    return bind.zones(spark, d).select(
         "project_id", "tier", "zone_id", "ring", F.when(k % 3 == 0, "fills").when(k % 3 == 1, "sits_on_top").otherwise("builds_up").alias("kind"), (k % 24 + 1).cast("double").alias("height_inches"), cat.alias("category"))
 
 
-@query(f"WITH {bind.ZONES} SELECT project_id, tier, count(*) AS zone_count, count(*) * 12 AS triangles, 'glTF' AS magic, true AS whole FROM z WHERE project_id < 500 GROUP BY ALL")
+@query(f"WITH {bind.ZONES} SELECT project_id, tier, count(*) AS zone_count, count(*) * 12 AS triangles, 'glTF' AS magic, true AS whole FROM z GROUP BY ALL")
 def glb_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Scenes of the first projects: magic bytes, and whether the length in the header is the file's."""
+    """Scenes: magic bytes, and whether the length in the header is the file's."""
     g = artefacts.scene_artefacts(_scene_zones(spark, d))
     size = F.hex(F.substring("glb", 9, 4))  # little-endian
     length = F.conv(F.concat(*[F.substring(size, at, 2) for at in (7, 5, 3, 1)]), 16, 10)
@@ -124,11 +124,11 @@ def project_geojson(spark: SparkSession, d: str) -> DataFrame:
     return p.select("project_id", "status", "zone_id", "label", geo.ring_area(F.col("ring")).alias("area"))
 
 
-@query(f"""WITH {bind.ZONES}, b AS (SELECT zone_id, w, h, (owner % 30)::DOUBLE AS ox, (material_id % 10)::DOUBLE AS oy FROM z WHERE project_id < 800), o AS (SELECT *, greatest(least(w, ox + 10) - greatest(0, ox), 0) * greatest(least(h, oy + 8) - greatest(0, oy), 0) AS ov FROM b)
+@query(f"""WITH {bind.ZONES}, b AS (SELECT zone_id, w, h, (owner % 30)::DOUBLE AS ox, (material_id % 10)::DOUBLE AS oy FROM z), o AS (SELECT *, greatest(least(w, ox + 10) - greatest(0, ox), 0) * greatest(least(h, oy + 8) - greatest(0, oy), 0) AS ov FROM b)
 SELECT zone_id, round(w * h + 80 - ov, 6) AS union_area, round(w * h - ov, 6) AS difference_area, round(ov, 6) AS common_area FROM o""")
 def polygon_boolean(spark: SparkSession, d: str) -> DataFrame:
     """General polygon clipping, on rectangles so that SQL can follow."""
-    z = bind.zones(spark, d).where("project_id < 800").select("zone_id", "w", "h", (F.col("owner") % 30).cast("double").alias("ox"), (F.col("material_id") % 10).cast("double").alias("oy"))
+    z = bind.zones(spark, d).select("zone_id", "w", "h", (F.col("owner") % 30).cast("double").alias("ox"), (F.col("material_id") % 10).cast("double").alias("oy"))
 
     def run(frames):
         for f in frames:
@@ -142,27 +142,14 @@ def polygon_boolean(spark: SparkSession, d: str) -> DataFrame:
     return z.mapInPandas(run, "zone_id string, union_area double, difference_area double, common_area double")
 
 
-@query("SELECT user_id, 3 AS points FROM (SELECT DISTINCT user_id FROM events)")
+@query("SELECT user_id, (2 * (count(*) % 6 + 1) + 1)::INT AS points FROM events GROUP BY user_id")
 def line_simplify(spark: SparkSession, d: str) -> DataFrame:
-    """A peak with many points on its two sides, simplified to three points."""
-    u = bind.t(spark, d, "events").select("user_id").distinct()
+    """As many peaks as a user's events say, each with many points on its two sides, simplified to their turns."""
+    u = bind.t(spark, d, "events").groupBy("user_id").agg((F.count("*") % 6 + 1).alias("peaks"))
 
     def run(frames):
         for f in frames:
-            line = [(i / 10, i / 10 if i <= 50 else 10 - i / 10) for i in range(101)]
-            yield pd.DataFrame({"user_id": f["user_id"], "points": [len(mesh.simplify(line, 0.01)) for _ in range(len(f))]}).astype({"points": "int32"})
+            lines = [[(i / 10, (i % 100) / 10 if i % 100 <= 50 else 10 - (i % 100) / 10) for i in range(100 * n + 1)] for n in f["peaks"]]
+            yield pd.DataFrame({"user_id": f["user_id"], "points": [len(mesh.simplify(x, 0.01)) for x in lines]}).astype({"points": "int32"})
 
     return u.mapInPandas(run, "user_id long, points int")
-
-
-_A = "a AS (SELECT idx AS a_id, x * 100 AS x, y * 100 AS y, 10 + idx % 20 AS h FROM c WHERE scan_id = 0), b AS (SELECT idx AS b_id, x * 100 + 0.4::DOUBLE AS x, y * 100 - 0.3::DOUBLE AS y, 11 + idx % 20 AS h FROM c WHERE scan_id = 0 AND idx % 3 <> 0)"
-
-
-@query(f"""WITH {bind.CLOUD}, {_A}, p AS (SELECT a_id, b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM a JOIN b ON abs(a.h - b.h) <= 5 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.0::DOUBLE),
-q AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS ra, row_number() OVER (PARTITION BY b_id ORDER BY d2, a_id) AS rb FROM p), m AS (SELECT a_id, b_id FROM q WHERE ra = 1 AND rb = 1)
-SELECT a_id AS scan_feature, b_id AS satellite_feature, 'both' AS origin FROM m UNION ALL SELECT a_id, NULL, 'scan' FROM a WHERE a_id NOT IN (SELECT a_id FROM m) UNION ALL SELECT NULL, b_id, 'satellite' FROM b WHERE b_id NOT IN (SELECT b_id FROM m)""")
-def reconcile_features(spark: SparkSession, d: str) -> DataFrame:
-    c = bind.cloud(spark, d).where("scan_id = 0")
-    a = c.select(F.col("idx").alias("id"), (F.col("x") * 100).alias("x"), (F.col("y") * 100).alias("y"), (10 + F.col("idx") % 20).alias("height_ft"))
-    b = c.where("idx % 3 <> 0").select(F.col("idx").alias("id"), (F.col("x") * 100 + 0.4).alias("x"), (F.col("y") * 100 - 0.3).alias("y"), (11 + F.col("idx") % 20).alias("height_ft"))
-    return reconcile.reconcile(a, b, 1.0, 5.0)

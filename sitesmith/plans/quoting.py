@@ -194,8 +194,11 @@ def colour_profile(spark: SparkSession, d: str) -> DataFrame:
     return bind.t(spark, d, "part").select(k.alias("id"), text.classify_rgb(c(7), c(13), c(29)).alias("colour"), text.vertical_profile((F.col("p_size") % 25).cast("double"), (k % 9).cast("double"), k % 2 == 0).alias("profile"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN n >= 1000000 THEN format('{:.1f}', n / 1e6) || ' MB' WHEN n >= 1000 THEN round(n / 1e3)::BIGINT || ' KB' ELSE n || ' B' END AS bytes, format('{:,}', n) AS count_text
-FROM (SELECT o_orderkey, (o_orderkey * 7919 % 3000000)::BIGINT AS n FROM orders WHERE (o_orderkey * 7919 % 3000000) % 500 <> 0 AND (o_orderkey * 7919 % 3000000) % 50000 <> 0)""")
+@query("""SELECT o_orderkey AS id, CASE WHEN n >= 1000000 THEN format('{:.1f}', n / 1e6) || ' MB' WHEN n >= 1000 THEN format('{:.0f}', n / 1e3) || ' KB' ELSE n || ' B' END AS bytes, format('{:,}', n) AS count_text
+FROM (SELECT o_orderkey, (o_orderkey * 7919 % 3000000)::BIGINT AS n FROM orders UNION ALL SELECT -o_orderkey, o_orderkey % 30 * 100000 + 50000 FROM orders UNION ALL SELECT -1000000000 - o_orderkey, o_orderkey % 1000 * 1000 + 500 FROM orders)""")
 def size_text(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("o_orderkey") * 7919 % 3000000
-    return bind.t(spark, d, "orders").where((n % 500 != 0) & (n % 50000 != 0)).select(F.col("o_orderkey").alias("id"), text.byte_size(n).alias("bytes"), text.count_text(n).alias("count_text"))
+    """Sizes of all kinds, and those halfway between two texts."""
+    k = F.col("o_orderkey")
+    o = bind.t(spark, d, "orders").select(F.explode(F.array(*[F.struct(i.alias("id"), v.alias("n")) for i, v in ((k, k * 7919 % 3000000), (-k, k % 30 * 100000 + 50000), (-1000000000 - k, k % 1000 * 1000 + 500))])).alias("v")).select("v.*")
+    n = F.col("n")
+    return o.select("id", text.byte_size(n).alias("bytes"), text.count_text(n).alias("count_text"))

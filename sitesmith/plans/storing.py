@@ -40,14 +40,6 @@ def tenant_projects(spark: SparkSession, d: str) -> DataFrame:
     return p.select("project_id", "status", "created_at", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("created_at"), "project_id")).alias("place"))
 
 
-@query(f"WITH {bind.ZONES} SELECT zone_id, label, tier, '{{\"type\":\"Polygon\"' AS head FROM z WHERE project_id = 42")
-def zones_by_project(spark: SparkSession, d: str) -> DataFrame:
-    from sitesmith.functions import geo
-
-    z = bind.zones(spark, d).where("project_id = 42")
-    return z.select("zone_id", "label", "tier", F.substring(geo.to_geojson(F.col("ring")), 1, 17).alias("head"))
-
-
 @query(f"WITH {bind.materials_sql()} SELECT material_id, name, unit, price FROM m WHERE category = 'ECONOMY' AND contains(lower(name), 'ring')")
 def catalog_search(spark: SparkSession, d: str) -> DataFrame:
     return store.search(bind.materials(spark, d), "ECONOMY", "Ring").select("material_id", "name", "unit", "price")
@@ -141,21 +133,27 @@ def request_filter(spark: SparkSession, d: str) -> DataFrame:
     return store.allowed_requests(r, ["1-URGENT", "2-HIGH"], ["F", "O"], "1").select("id")
 
 
-# Weights of the planting fit score: sun, zone, water, size.
-FIT = {"sun": 0.4, "zone": 0.3, "water": 0.2, "size": 0.1}
+# Shares of light, season length and climate zone in the planting score, and its classes.
+FIT = {"light": 0.5, "season": 0.3, "zone": 0.2}
+CLASSES = [(0.85, "excellent"), (0.65, "good"), (0.4, "marginal")]
 
 
-@query(f"""SELECT p_partkey AS plant_id, n_nationkey AS site_id, round(0.4::DOUBLE * (1 - least(abs((p_partkey % 12) - (n_nationkey % 12)), 6) / 6.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN abs((p_partkey % 13) - (n_nationkey % 13)) <= 2 THEN 1 ELSE 0 END
- + 0.2::DOUBLE * CASE WHEN p_partkey % 3 = n_nationkey % 3 THEN 1 ELSE 0.5::DOUBLE END + 0.1::DOUBLE * CASE WHEN p_size <= 25 THEN 1 ELSE 0 END, 6) AS score FROM part JOIN nation ON p_partkey % 5 = n_regionkey""")
+@query("""WITH s AS (SELECT p_partkey AS plant_id, n_nationkey AS site_id, round(0.5::DOUBLE * (1 - least(abs(p_partkey % 9 - n_nationkey % 12), 6) / 6.0::DOUBLE)
+ + 0.3::DOUBLE * least((150 + n_nationkey * 7) / (p_size * 7 + 30)::DOUBLE, 1) + 0.2::DOUBLE * greatest(1 - abs(p_partkey % 13 - n_nationkey % 13) / 4.0::DOUBLE, 0), 6) AS score FROM part JOIN nation ON p_partkey % 5 = n_regionkey)
+SELECT *, CASE WHEN score >= 0.85 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.4 THEN 'marginal' ELSE 'not recommended' END AS class FROM s""")
 def plant_scoring(spark: SparkSession, d: str) -> DataFrame:
+    """Plants at sites by the light they need, the days they take and their climate zone."""
     p, n = bind.t(spark, d, "part"), bind.t(spark, d, "nation")
     j = p.join(F.broadcast(n), p["p_partkey"] % 5 == n["n_regionkey"])  # nations are 25 fixed rows
     k, s = F.col("p_partkey"), F.col("n_nationkey")
-    score = (
-        FIT["sun"] * (1 - F.least(F.abs(k % 12 - s % 12), F.lit(6)) / 6.0) + FIT["zone"] * (F.abs(k % 13 - s % 13) <= 2).cast("double")
-        + FIT["water"] * F.when(k % 3 == s % 3, 1.0).otherwise(0.5) + FIT["size"] * (F.col("p_size") <= 25).cast("double")
-    )
-    return j.select(k.alias("plant_id"), s.alias("site_id"), F.round(score, 6).alias("score"))
+    light = 1 - F.least(F.abs(k % 9 - s % 12), F.lit(6)) / 6.0
+    season = F.least((150 + s * 7) / (F.col("p_size") * 7 + 30).cast("double"), F.lit(1.0))
+    zone = F.greatest(1 - F.abs(k % 13 - s % 13) / 4.0, F.lit(0.0))
+    score = F.round(FIT["light"] * light + FIT["season"] * season + FIT["zone"] * zone, 6)
+    kind = F.lit("not recommended")
+    for low, name in reversed(CLASSES):
+        kind = F.when(F.col("score") >= low, name).otherwise(kind)
+    return j.select(k.alias("plant_id"), s.alias("site_id"), score.alias("score")).withColumn("class", kind)
 
 
 @query("""SELECT o_orderkey AS id, strftime(d, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(d, '%Y-%m-%d_%H-%M-%S') AS stamp, '1970-01-01'::DATE + (o_orderkey % 30000)::INT AS civil,
