@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sitesmith.llm.common import drop_path, free_shuffles, maybe_broadcast, new_path, pieces_of, remembered, signed, stored, table, turn_to
 
 #: Characters of a gram. They are code points as they are, digits as one; NUL stands before and after a text.
-ORDER = 5
+ORDER = 4
 #: Trusted text is dealt over so many folds; a trusted document is scored by the models of the other folds only.
 FOLDS = 2
 POOLED = "*"
@@ -29,7 +29,7 @@ BROADCAST_GRAMS = 4_000_000
 #: Bytes of text of a block of that join.
 BLOCK_BYTES = 16 << 20
 #: Orders whose probabilities are written before the next is begun.
-STORED = (3, ORDER)
+STORED = (2, ORDER)
 HEAD, TAIL = b"\0\0\0\0" * (ORDER - 1), b"\0\0\0\0"
 
 
@@ -364,9 +364,7 @@ def fitted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, limit
     threshold is the quantile, over the language's trusted documents, of the nll a character
     after adding PRIOR characters of mean text. All trusted documents count.
     """
-    spark = docs.sparkSession
-    ids = stored(trusted_ids(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
-    ids = maybe_broadcast(ids)
+    ids = maybe_broadcast(trusted_ids(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of().alias("mark"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left")
     good = rows.where("fold is not null").select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "fold", "text")
     counts = gram_counts(good)

@@ -231,17 +231,19 @@ def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, simi
     mid = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
     lo, hi = F.col("lo"), F.col("hi")
-    small = buckets.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, mid), pair(mid, hi)))).alias("p")).select("p.*").distinct()
-    links = similar(small)
+    pairs = buckets.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, mid), pair(mid, hi)))).alias("p")).select("p.*")
     open_ = kept(all_.join(maybe_broadcast(buckets.where("n > 3").select("key")), "key", "left_semi"), "near-open")
-    while not open_.isEmpty():
+    names = ["l0", "l1", "l2", "l3"]
+    ends = F.array(*names)
+    while links is None or not open_.isEmpty():
         other = F.col("node").bitwiseXOR(F.lit(OTHER))
         leaders = open_.groupBy("key").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3"))
-        names = ["l0", "l1", "l2", "l3"]
         now = open_.join(leaders.where("l0 < l1"), "key")
-        ends = F.array(*names)
-        pairs = now.select("node", F.explode(ends).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
-        links = links.unionByName(similar(pairs.join(links, ["u", "v"], "left_anti")))
+        led = now.select("node", F.explode(ends).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))
+        if links is None:
+            links = similar(pairs.unionByName(led).distinct())
+        else:
+            links = links.unionByName(similar(led.distinct().join(links, ["u", "v"], "left_anti")))
         # a node goes on where it is like none of its bucket's leaders; these themselves are done
         rest = now.where(~F.array_contains(ends, F.col("node")))
         for name in names:

@@ -339,14 +339,15 @@ def test_passages_links_of_all_pairs(spark):
 # --- 4 Kneser-Ney ---
 def slow_grams(t):
     t = re.sub("[0-9]", "0", t or "")
-    s = "\0" * 4 + t + "\0"
-    return [s[i : i + 5] for i in range(len(s) - 4)] if t.encode().strip() else []
+    k = kneser_ney.ORDER
+    s = "\0" * (k - 1) + t + "\0"
+    return [s[i : i + k] for i in range(len(s) - k + 1)] if t.encode().strip() else []
 
 
 def slow_model(texts):
-    """Interpolated modified Kneser-Ney probability of a gram of five characters, written out."""
+    """Interpolated modified Kneser-Ney probability of a gram of ORDER characters, written out."""
     counts = [Counter(g for t in texts for g in slow_grams(t))]
-    for _ in range(4):
+    for _ in range(kneser_ney.ORDER - 1):
         counts.append(Counter(g[1:] for g in counts[-1]))
 
     def level(c, lower):
