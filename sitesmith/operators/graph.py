@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back; a folder of our own only where none is set."""
+    """df written to the folder in spark.checkpoint.dir and read back. Where none is set a local session gets a temporary one; on a cluster that is an error."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sitesmith-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -21,6 +23,15 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table (some 50 bytes a row) is broadcast; beyond it joins shuffle.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most `limit` rows, counted first; otherwise as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(a, b) links among nodes (id) -> (id, label), label the smallest id reachable.
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitesmith.operators.graph import shared_table, small
+
 #: The hierarchy of a scan needs n^2 distances (never a matrix); larger scans are refused rather than sampled.
 MAX_POINTS = 200_000
 
@@ -14,7 +16,7 @@ MAX_POINTS = 200_000
 def vectors(points: DataFrame, features: DataFrame, weight: float = 1.0) -> DataFrame:
     """scan_id, idx, v: position scaled to 0..1 by the scan's box (a range of at least 1e-10) times weight, then planarity, linearity, sphericity."""
     box = points.groupBy("scan_id").agg(*[f(d).alias(f"{n}{d}") for d in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    j = points.join(features.select("scan_id", "idx", "planarity", "linearity", "sphericity"), ["scan_id", "idx"]).join(F.broadcast(box), "scan_id")
+    j = points.join(features.select("scan_id", "idx", "planarity", "linearity", "sphericity"), ["scan_id", "idx"]).join(small(shared_table(box, "boxes")), "scan_id")
     pos = [(F.col(d) - F.col(f"lo{d}")) / F.greatest(F.col(f"hi{d}") - F.col(f"lo{d}"), F.lit(1e-10)) * weight for d in "xyz"]
     return j.select("scan_id", "idx", F.array(*pos, "planarity", "linearity", "sphericity").alias("v"))
 

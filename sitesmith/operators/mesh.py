@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitesmith.operators.graph import shared_table, small
+
 NO_COLOUR = (0, 128, 0)
 
 
@@ -80,7 +82,7 @@ def decimate(vertices: DataFrame, triangles: DataFrame, target: int = 50_000) ->
     grow = 1.0
     for _ in range(40):
         cell = box.join(n, "scan_id").select("scan_id", F.when(F.col("tris") > target, grow * F.sqrt(2 * F.greatest("area", F.lit(1e-12)) / target)).alias("cell"))
-        v = vertices.join(F.broadcast(cell), "scan_id")  # a row a scan
+        v = vertices.join(small(shared_table(cell, "cells")), "scan_id")
         key = F.when(F.col("cell").isNull(), F.col("idx").cast("string")).otherwise(F.concat_ws(",", *[F.floor(F.col(d) / F.col("cell")) for d in "xyz"]))
         v = v.withColumn("k", key)
         new = v.groupBy("scan_id", "k").agg(F.min("idx").alias("new"), *[F.avg(d).alias(d) for d in "xyz"], *[F.floor(F.avg(c)).cast("int").alias(c) for c in "rgb"])

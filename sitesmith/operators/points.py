@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sitesmith.functions import text
 from sitesmith.functions.geo import FEET_PER_METRE
-from sitesmith.operators.graph import components, shared_table
+from sitesmith.operators.graph import components, shared_table, small
 from sitesmith.operators.joins import knn_join, radius_join
 
 XYZ = ["x", "y", "z"]
@@ -57,37 +57,73 @@ def remove_outliers(points: DataFrame, k: int, sigma: float) -> DataFrame:
     """Points whose mean distance is at most the scan's mean + sigma population deviations; scans of k points or fewer stay whole."""
     d = shared_table(knn_mean_distance(points, k), "knn")
     cut = d.groupBy("scan_id").agg((F.avg("mean_d") + sigma * F.stddev_pop("mean_d")).alias("cut"), F.count("*").alias("n"))
-    keep = d.join(F.broadcast(cut), "scan_id").where((F.col("n") <= k) | (F.round("mean_d", 9) <= F.round("cut", 9))).select("scan_id", "idx")
+    keep = d.join(small(shared_table(cut, "cuts")), "scan_id").where((F.col("n") <= k) | (F.round("mean_d", 9) <= F.round("cut", 9))).select("scan_id", "idx")
     return points.join(keep, ["scan_id", "idx"], "left_semi")
 
 
-def triples(n: int, iterations: int, seed: int = 1) -> list[tuple[int, int, int, int]]:
-    """(iteration, three different places below n) by modular steps; the same on every engine."""
-    out = []
-    for it in range(iterations):
-        k = it + seed * 1000003
-        first, second, third = k * 7919 % n, 1 + k * 104729 % (n - 1), 1 + k * 15485863 % (n - 2)
-        third += third >= second
-        out.append((it, first, (first + second) % n, (first + third) % n))
-    return out
+#: Hypotheses up to which all of them are sent to every task (40 bytes each); beyond it they meet their scans in groups.
+SENT_PLANES = 1_000_000
+#: Points of a scan in such a group, on average.
+GROUP_POINTS = 65_536
+
+
+def hypotheses(sizes: DataFrame, iterations: int, seed: int = 1) -> DataFrame:
+    """(scan_id, n) -> scan_id, iteration, at: three different places below n by modular steps, the same on every engine."""
+    h = sizes.where("n >= 3").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    k = F.col("iteration").cast("long") + seed * 1000003
+    h = h.withColumns({"i0": k * 7919 % F.col("n"), "o1": 1 + k * 104729 % (F.col("n") - 1), "o2": 1 + k * 15485863 % (F.col("n") - 2)})
+    o2 = F.col("o2") + (F.col("o2") >= F.col("o1")).cast("long")
+    return h.select("scan_id", "iteration", F.array(F.col("i0"), (F.col("i0") + F.col("o1")) % F.col("n"), (F.col("i0") + o2) % F.col("n")).alias("at"))
+
+
+def _votes(xyz: np.ndarray, normals: np.ndarray, offsets: np.ndarray, threshold: float) -> np.ndarray:
+    total = np.zeros(len(offsets), np.int64)
+    for at in range(0, len(xyz), 4096):
+        total += (np.abs(np.round(xyz[at : at + 4096] @ normals.T + offsets, 9)) <= threshold).sum(axis=0)
+    return total
+
+
+def _inliers(points: DataFrame, planes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(scan_id, iteration, n) of stored planes: sent to the tasks that read the points if they are few, else dealt with the points of their scan in groups of bounded size."""
+    spark, kind = points.sparkSession, dict(points.dtypes)["scan_id"]
+    ddl = f"scan_id {kind}, iteration int, n long"
+    if planes.limit(SENT_PLANES + 1).count() <= SENT_PLANES:
+        held = {s: (g["iteration"].to_numpy(), g[["nx", "ny", "nz"]].to_numpy(), g["d"].to_numpy()) for s, g in planes.toPandas().groupby("scan_id")}
+        sent = spark.sparkContext.broadcast(held)
+
+        def count(frames):
+            total: dict = {}
+            for f in frames:
+                for s, g in f.groupby("scan_id"):
+                    if s in sent.value:
+                        total[s] = total.get(s, 0) + _votes(g[XYZ].to_numpy(), *sent.value[s][1:], threshold)
+            for s, n in total.items():
+                yield pd.DataFrame({"scan_id": s, "iteration": sent.value[s][0], "n": n})
+
+        votes = points.select("scan_id", *XYZ).mapInPandas(count, ddl)
+    else:
+        parts = sizes.select("scan_id", F.ceil(F.col("n") / GROUP_POINTS).cast("int").alias("parts"))
+        own = points.select("scan_id", "idx", *XYZ).join(parts, "scan_id").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int")).drop("parts", "idx")
+        theirs = planes.join(parts, "scan_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def meet(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"scan_id": h["scan_id"], "iteration": h["iteration"], "n": _votes(p[XYZ].to_numpy(float).reshape(-1, 3), h[["nx", "ny", "nz"]].to_numpy(), h["d"].to_numpy(), threshold)})
+
+        votes = own.groupBy("scan_id", "part").cogroup(theirs.groupBy("scan_id", "part")).applyInPandas(meet, ddl)
+    return votes.groupBy("scan_id", "iteration").agg(F.sum("n").alias("n"))
 
 
 def ground_planes(points: DataFrame, iterations: int, threshold: float, seed: int = 1) -> DataFrame:
     """RANSAC per scan -> scan_id, nx, ny, nz, d, inliers, iteration; nz >= 0; scans of fewer than 3 points or without a plane are left out.
 
-    The hypotheses of a scan (three points by place, `iterations` of them) are known before the
-    points are read again; each batch of points is counted against all of them at once and
-    only counts are summed over tasks. The first of equally good hypotheses wins.
+    The hypotheses of a scan (three points by place, `iterations` of them) are a table made from
+    the scans' sizes; their corners come from a join by place. Every batch of points is counted
+    against all hypotheses of its scan at once and only counts are summed over tasks. The first of equally good hypotheses wins.
     """
-    spark = points.sparkSession
-    sizes = {r["scan_id"]: r["n"] for r in points.groupBy("scan_id").agg(F.count("*").alias("n")).collect()}  # a row a scan
-    wanted = [(s, it, j, at) for s, n in sizes.items() if n >= 3 for it, *ats in triples(n, iterations, seed) for j, at in enumerate(ats)]
-    if not wanted:
-        return spark.createDataFrame([], "scan_id int, nx double, ny double, nz double, d double, inliers long, iteration int")
-    kind = dict(points.dtypes)["scan_id"]
-    want = spark.createDataFrame(wanted, f"scan_id {kind}, iteration int, j int, idx long")
     # idx is the place of a point in its scan
-    corners = points.select("scan_id", F.col("idx").cast("long").alias("idx"), *XYZ).join(F.broadcast(want), ["scan_id", "idx"])
+    sizes = shared_table(points.groupBy("scan_id").agg(F.count("*").alias("n")), "sizes")
+    want = hypotheses(sizes, iterations, seed).select("scan_id", "iteration", F.posexplode("at").alias("j", "idx"))
+    corners = points.select("scan_id", F.col("idx").cast("long").alias("idx"), *XYZ).join(want, ["scan_id", "idx"])
     corners = corners.groupBy("scan_id", "iteration").agg(*[F.max(F.when(F.col("j") == j, F.struct(*XYZ))).alias(f"p{j}") for j in range(3)]).where("p0 is not null and p1 is not null and p2 is not null")
     d = lambda a, c: F.col(f"p{a}.{c}") - F.col(f"p0.{c}")
     planes = corners.select(
@@ -97,30 +133,14 @@ def ground_planes(points: DataFrame, iterations: int, threshold: float, seed: in
     flip = F.when(F.col("cz") < 0, -1.0).otherwise(1.0)
     planes = planes.select("scan_id", "iteration", *[(F.col(c) / F.col("len") * flip).alias(n) for c, n in (("cx", "nx"), ("cy", "ny"), ("cz", "nz"))], "p")
     planes = shared_table(planes.withColumn("d", -F.expr("nx * p.x + ny * p.y + nz * p.z")).drop("p"), "planes")
-    held = {s: (g["iteration"].to_numpy(), g[["nx", "ny", "nz"]].to_numpy(), g["d"].to_numpy()) for s, g in planes.toPandas().groupby("scan_id")}  # scans x iterations
-    sent = spark.sparkContext.broadcast(held)
-
-    def count(frames):
-        total: dict = {}
-        for f in frames:
-            for s, g in f.groupby("scan_id"):
-                if s in sent.value:
-                    _, normal, off = sent.value[s]
-                    xyz = g[XYZ].to_numpy()
-                    for at in range(0, len(xyz), 4096):
-                        near = np.abs(np.round(xyz[at : at + 4096] @ normal.T + off, 9)) <= threshold
-                        total[s] = total.get(s, 0) + near.sum(axis=0)
-        for s, n in total.items():
-            yield pd.DataFrame({"scan_id": s, "iteration": sent.value[s][0], "n": n})
-
-    votes = points.select("scan_id", *XYZ).mapInPandas(count, f"scan_id {kind}, iteration int, n long").groupBy("scan_id", "iteration").agg(F.sum("n").alias("n"))
+    votes = _inliers(points, planes, sizes, threshold)
     best = votes.groupBy("scan_id").agg(F.max(F.struct("n", (-F.col("iteration")).alias("i"))).alias("v")).select("scan_id", F.col("v.n").alias("inliers"), (-F.col("v.i")).alias("iteration"))
     return planes.join(best, ["scan_id", "iteration"]).where("inliers > 0").select("scan_id", "nx", "ny", "nz", "d", "inliers", "iteration")
 
 
 def split_ground(points: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
     """points with is_ground: within the threshold of their scan's plane on either side. Planes are a row a scan."""
-    p = points.join(F.broadcast(planes.select("scan_id", "nx", "ny", "nz", "d")), "scan_id")
+    p = points.join(small(planes.select("scan_id", "nx", "ny", "nz", "d")), "scan_id")
     off = F.round(F.expr("nx * x + ny * y + nz * z + d"), 9)
     return p.withColumn("is_ground", F.abs(off) <= threshold).withColumn("height", off).drop("nx", "ny", "nz", "d")
 
@@ -185,7 +205,7 @@ def candidates(points: DataFrame, planes: DataFrame) -> DataFrame:
     feet; density counts points per cubic metre of a box no thinner than 1 cm.
     """
     key = ["scan_id", "cluster_id"]
-    p = points.where("cluster_id is not null").join(F.broadcast(planes.select("scan_id", "nx", "ny", "nz", "d")), "scan_id")
+    p = points.where("cluster_id is not null").join(small(planes.select("scan_id", "nx", "ny", "nz", "d")), "scan_id")
     has = F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
     n = F.sum(has.cast("long"))
     mean = lambda c: F.when(n > 0, F.floor(F.sum(F.when(has, F.col(c).cast("long"))) / n)).cast("int").alias(f"m{c}")
@@ -240,7 +260,7 @@ def gaps(cands: DataFrame, planes: DataFrame, max_distance_ft: float = 30.0) ->
     ).where(F.round("distance_ft", 9) <= max_distance_ft)
     g = g.withColumn("clear_width_ft", F.col("distance_ft") - (F.col("sa") / 2 + F.col("sb") / 2)).where(F.round("clear_width_ft", 9) > 0)
     g = g.withColumn("clear_length_ft", F.least("sa", "sb")).withColumn("area_sqft", F.col("clear_width_ft") * F.col("clear_length_ft"))
-    g = g.join(F.broadcast(planes.select("scan_id", "nx", "ny", "nz", "d")), "scan_id")
+    g = g.join(small(planes.select("scan_id", "nx", "ny", "nz", "d")), "scan_id")
     ground = F.when(F.abs("nz") < 1e-6, 0.0).otherwise(-F.expr("(nx * mx + ny * my + d) / nz") * FEET_PER_METRE)
     return g.withColumn("ground_ft", ground).select("scan_id", "feature_a", "feature_b", "distance_ft", "clear_width_ft", "clear_length_ft", "area_sqft", "ground_ft", "mx", "my")
 

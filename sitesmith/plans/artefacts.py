@@ -10,6 +10,7 @@ from sitesmith.operators import hdbscan as hdb
 from sitesmith.operators import mesh, points
 from sitesmith.operators.graph import shared_table
 from sitesmith.plans import bind
+from sitesmith.plans.scanning import _EIGEN
 from sitesmith.sources import artefacts, ply
 
 Q, SQL = {}, {}
@@ -32,20 +33,28 @@ def _feature_vectors(spark, d):
 
 @query()
 def hdbscan(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of each label's points; checked by properties and against a brute-force hierarchy in tests."""
+    """Clusters of each label's points; a hierarchy has no SQL, tests hold it against one written out."""
     return hdb.hdbscan(_feature_vectors(spark, d), 8, 4)
 
 
-@query(f"""WITH {bind.CLOUD}, b AS (SELECT scan_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM c GROUP BY scan_id)
-SELECT scan_id, idx, round((x - lx) / greatest(hx - lx, 1e-10), 6) AS vx, round((y - ly) / greatest(hy - ly, 1e-10), 6) AS vy, round((z - lz) / greatest(hz - lz, 1e-10), 6) AS vz FROM c JOIN b USING (scan_id)""")
+@query(f"""WITH {bind.CLOUD}, {_EIGEN}, b AS (SELECT scan_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM c GROUP BY scan_id)
+SELECT scan_id, idx, round((x - lx) / greatest(hx - lx, 1e-10), 6) AS vx, round((y - ly) / greatest(hy - ly, 1e-10), 6) AS vy, round((z - lz) / greatest(hz - lz, 1e-10), 6) AS vz,
+ round((l2 - l3) / l1, 4) AS planarity, round((l1 - l2) / l1, 4) AS linearity, round(l3 / l1, 4) AS sphericity FROM c JOIN b USING (scan_id) JOIN e USING (scan_id, idx) WHERE n >= 3 AND l1 >= 1e-10""")
 def hdbscan_vectors(spark: SparkSession, d: str) -> DataFrame:
     c = bind.cloud(spark, d)
-    flat = c.select("scan_id", "idx", *[F.lit(0.0).alias(f) for f in ("planarity", "linearity", "sphericity")])
-    return hdb.vectors(c, flat).select("scan_id", "idx", *[F.round(F.col("v")[i], 6).alias(f"v{a}") for i, a in enumerate("xyz")])
+    e = shared_table(points.covariance_features(c, 8).where("n >= 3 and l1 >= 1e-10"), "eigen")
+    return hdb.vectors(c, e).select("scan_id", "idx", *[F.round(F.col("v")[i], 6 if i < 3 else 4).alias(n) for i, n in enumerate(("vx", "vy", "vz", "planarity", "linearity", "sphericity"))])
 
 
-@query()
+#: A point is on the hull if all others lie within half a turn of it: a triangulation of n points, h of them there, has 2n - 2 - h triangles.
+_HULL = """an AS (SELECT p.scan_id, p.idx, atan2(q.y - p.y, q.x - p.x) AS a FROM c p JOIN c q ON p.scan_id = q.scan_id AND p.idx <> q.idx),
+gp AS (SELECT scan_id, idx, a, lead(a) OVER (PARTITION BY scan_id, idx ORDER BY a) AS b, min(a) OVER (PARTITION BY scan_id, idx) AS f FROM an),
+hu AS (SELECT scan_id, idx, max(coalesce(b, f + 2 * pi()) - a) >= pi() - 1e-12 AS edge FROM gp GROUP BY ALL)"""
+
+
+@query(f"WITH {bind.CLOUD}, {_HULL} SELECT scan_id, 2 * count(*) - 2 - count(*) FILTER (WHERE edge) AS triangles FROM hu GROUP BY scan_id HAVING count(*) >= 3")
 def terrain_mesh(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles of each scan's terrain, as many as Euler's formula asks for."""
     t = mesh.triangulate(bind.cloud(spark, d))
     return t.groupBy("scan_id").agg(F.count("*").alias("triangles"))
 

@@ -20,8 +20,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its files have fewer splits than there are cores: then reading is no measure of the work that follows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores) if len(files) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def zones(spark: SparkSession, d: str) -> DataFrame:

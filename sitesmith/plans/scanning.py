@@ -94,17 +94,28 @@ def ground_split(spark: SparkSession, d: str) -> DataFrame:
     return points.split_ground(c, p, THR).select("scan_id", "idx", "is_ground", F.round("height", 6).alias("height"))
 
 
-@query(f"""WITH {bind.CLOUD}, {_KNN}, {_MEAN}, {_CUT}, {_PLANES}, {_SPLIT},
+SMALL_VOX = 0.25
+_RAW = bind.CLOUD.replace("c AS (", "raw AS (", 1)
+# centres are rounded, so that both engines go on from the same cloud
+_SMALL = f"""vx AS (SELECT scan_id, min(idx) AS first, round(avg(x) + 3e-10, 6) AS x, round(avg(y) + 3e-10, 6) AS y, round(avg(z) + 3e-10, 6) AS z FROM raw GROUP BY scan_id, floor(x * (1.0::DOUBLE / {SMALL_VOX}::DOUBLE)), floor(y * (1.0::DOUBLE / {SMALL_VOX}::DOUBLE)), floor(z * (1.0::DOUBLE / {SMALL_VOX}::DOUBLE))),
+c AS (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY first) - 1 AS idx, x, y, z FROM vx)"""
+
+
+@query(f"""WITH {_RAW}, {_SMALL}, {_KNN}, {_MEAN}, {_CUT}, {_PLANES}, {_SPLIT},
 s AS (SELECT scan_id, count(*) FILTER (WHERE is_ground) AS ground, count(*) FILTER (WHERE NOT is_ground) AS obstacles,
  coalesce((max(x) FILTER (WHERE is_ground) - min(x) FILTER (WHERE is_ground)) * (max(y) FILTER (WHERE is_ground) - min(y) FILTER (WHERE is_ground)), 0) AS area,
  min(height) FILTER (WHERE NOT is_ground) AS lo, max(height) FILTER (WHERE NOT is_ground) AS hi FROM sp GROUP BY scan_id),
-n AS (SELECT scan_id, count(*) AS points FROM c GROUP BY scan_id), o AS (SELECT scan_id, count(*) AS clean FROM ok GROUP BY scan_id)
-SELECT scan_id, points, points AS voxels, clean, points - clean AS outliers, 1.0::DOUBLE AS retained, ground, obstacles, round(area, 6) AS ground_area_m2, round(lo, 6) AS obstacle_low, round(hi, 6) AS obstacle_high
-FROM n JOIN o USING (scan_id) JOIN s USING (scan_id)""")
+n AS (SELECT scan_id, count(*) AS points FROM raw GROUP BY scan_id), v AS (SELECT scan_id, count(*) AS voxels FROM c GROUP BY scan_id), o AS (SELECT scan_id, count(*) AS clean FROM ok GROUP BY scan_id)
+SELECT scan_id, points, voxels, clean, voxels - clean AS outliers, round(voxels / points::DOUBLE, 9) AS retained, ground, obstacles, round(area, 6) AS ground_area_m2, round(lo, 6) AS obstacle_low, round(hi, 6) AS obstacle_high
+FROM n JOIN v USING (scan_id) JOIN o USING (scan_id) JOIN s USING (scan_id)""")
 def scan_report(spark: SparkSession, d: str) -> DataFrame:
-    c, p = _planes(spark, d)
-    r = points.scan_report(c, c, points.remove_outliers(c, K, SIGMA), points.split_ground(c, p, THR))
-    return r.select("scan_id", "points", "voxels", "clean", "outliers", "retained", "ground", "obstacles", *[F.round(x, 6).alias(x) for x in ("ground_area_m2", "obstacle_low", "obstacle_high")])
+    """Counts and measures of each step, from the cloud of voxel centres on."""
+    raw = bind.cloud(spark, d)
+    v = points.voxel_downsample(raw, SMALL_VOX).select("scan_id", "idx", *[F.round(F.col(c) + 3e-10, 6).alias(c) for c in points.XYZ], "r", "g", "b")
+    c = shared_table(points.reindexed(v), "voxels")
+    p = shared_table(points.ground_planes(c, ITER, THR), "planes")
+    r = points.scan_report(raw, c, points.remove_outliers(c, K, SIGMA), points.split_ground(c, p, THR))
+    return r.select("scan_id", "points", "voxels", "clean", "outliers", F.round("retained", 9).alias("retained"), "ground", "obstacles", *[F.round(x, 6).alias(x) for x in ("ground_area_m2", "obstacle_low", "obstacle_high")])
 
 
 _DB = f"""ln AS (SELECT a.scan_id, a.idx AS a, b.idx AS b FROM c a JOIN c b ON a.scan_id = b.scan_id AND {_D2} <= {EPS}::DOUBLE * {EPS}::DOUBLE),
@@ -122,6 +133,16 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return points.dbscan(bind.cloud(spark, d), EPS, MIN)
 
 
+@query(f"""WITH RECURSIVE {bind.CLOUD}, {_DB}, sd AS (SELECT scan_id, cluster_id, min(idx) AS seed FROM db WHERE is_core GROUP BY ALL),
+fc AS (SELECT b.scan_id, b.idx, min(q.cluster_id) AS won FROM db b JOIN db q ON q.scan_id = b.scan_id AND q.is_core AND NOT b.is_core AND (q.x - b.x) * (q.x - b.x) + (q.y - b.y) * (q.y - b.y) + (q.z - b.z) * (q.z - b.z) <= {EPS}::DOUBLE * {EPS}::DOUBLE
+ JOIN sd ON sd.scan_id = q.scan_id AND sd.cluster_id = q.cluster_id WHERE q.idx = seed OR b.idx > seed GROUP BY ALL)
+SELECT scan_id, idx, is_core, CASE WHEN is_core THEN cluster_id ELSE won END AS cluster_id FROM db LEFT JOIN fc USING (scan_id, idx)""")
+def dbscan_first_come(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters with the border rule of a scan in order."""
+    c = bind.cloud(spark, d)
+    return points.first_come(c, EPS, shared_table(points.dbscan(c, EPS, MIN), "clusters"))
+
+
 @query(f"""WITH RECURSIVE {bind.CLOUD}, {_DB} SELECT scan_id, cluster_id, count(*) AS n, round(avg(x) + 3e-10, 6) AS cx, round(avg(y) + 3e-10, 6) AS cy, round(avg(z) + 3e-10, 6) AS cz, min(x) AS min_x, max(x) AS max_x FROM db WHERE cluster_id IS NOT NULL GROUP BY ALL""")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     c = bind.cloud(spark, d)
@@ -202,12 +223,14 @@ def best_gap(spark: SparkSession, d: str) -> DataFrame:
     return j.select("scan_id", "feature_a", "feature_b", F.round("area_sqft", 5).alias("area_sqft"), F.round(geo.ring_area(ring), 5).alias("rectangle_sqft"))
 
 
-@query(f"""WITH {bind.CLOUD}, {_KNN}, cv AS (SELECT nn.scan_id, nn.idx, count(*) AS n, var_pop(c.x) AS xx, var_pop(c.y) AS yy, var_pop(c.z) AS zz, covar_pop(c.x, c.y) AS xy, covar_pop(c.x, c.z) AS xz, covar_pop(c.y, c.z) AS yz
+_EIGEN = f"""{_KNN}, cv AS (SELECT nn.scan_id, nn.idx, count(*) AS n, var_pop(c.x) AS xx, var_pop(c.y) AS yy, var_pop(c.z) AS zz, covar_pop(c.x, c.y) AS xy, covar_pop(c.x, c.z) AS xz, covar_pop(c.y, c.z) AS yz
  FROM nn JOIN c ON c.scan_id = nn.scan_id AND c.idx = other WHERE rank <= 8 GROUP BY ALL),
 q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cv), p AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
 f AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 AS phi FROM p),
-l AS (SELECT scan_id, idx, n, q + 2 * p * cos(phi) AS l1, greatest(q + 2 * p * cos(phi + 2.0943951023931953), 0) AS l3, 3 * q AS t FROM f), e AS (SELECT *, t - l1 - l3 AS l2 FROM l)
-SELECT scan_id, idx, round((l2 - l3) / l1, 4) AS planarity, round((l1 - l2) / l1, 4) AS linearity, round(l3 / l1, 4) AS sphericity, round(l3 / (l1 + l2 + l3), 4) AS curvature FROM e WHERE n >= 3 AND l1 >= 1e-10""")
+l AS (SELECT scan_id, idx, n, q + 2 * p * cos(phi) AS l1, greatest(q + 2 * p * cos(phi + 2.0943951023931953), 0) AS l3, 3 * q AS t FROM f), e AS (SELECT *, t - l1 - l3 AS l2 FROM l)"""
+
+
+@query(f"""WITH {bind.CLOUD}, {_EIGEN} SELECT scan_id, idx, round((l2 - l3) / l1, 4) AS planarity, round((l1 - l2) / l1, 4) AS linearity, round(l3 / l1, 4) AS sphericity, round(l3 / (l1 + l2 + l3), 4) AS curvature FROM e WHERE n >= 3 AND l1 >= 1e-10""")
 def eigen_features(spark: SparkSession, d: str) -> DataFrame:
     e = points.covariance_features(bind.cloud(spark, d), 8)
     return e.where("n >= 3 and l1 >= 1e-10").select("scan_id", "idx", *[F.round(c, 4).alias(c) for c in ("planarity", "linearity", "sphericity", "curvature")])
