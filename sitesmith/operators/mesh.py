@@ -53,7 +53,28 @@ def delaunay(xy: np.ndarray) -> np.ndarray:
     a, b, c = (xy[tri[:, i]] for i in range(3))
     cross = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
     tri[cross < 0] = tri[cross < 0][:, [0, 2, 1]]
-    return tri[np.abs(cross) > 0]
+    tri = tri[np.abs(cross) > 0]
+    return np.vstack([tri, rim(xy, tri)])
+
+
+def rim(xy: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Triangles that fill the dents of a triangulation's edge up to the convex hull: flat ones there have circles too large for the triangle swept from."""
+    ends = {(a, b) for t in tri.tolist() for a, b in zip(t, t[1:] + t[:1])}
+    after = {a: b for a, b in ends if (b, a) not in ends}
+    if not after:
+        return np.empty((0, 3), np.int64)
+    turn = lambda a, b, c: (xy[b, 0] - xy[a, 0]) * (xy[c, 1] - xy[a, 1]) - (xy[b, 1] - xy[a, 1]) * (xy[c, 0] - xy[a, 0])
+    first = min(after, key=lambda i: (xy[i, 0], xy[i, 1]))
+    way, out, at = [first], [], after[first]
+    # an extreme point starts and ends the walk, so the dents lie between
+    while True:
+        while len(way) > 1 and turn(way[-2], way[-1], at) < 0:
+            out.append((way[-2], at, way[-1]))
+            way.pop()
+        if at == first:
+            return np.array(out, np.int64).reshape(-1, 3)
+        way.append(at)
+        at = after[at]
 
 
 def triangulate(points: DataFrame) -> DataFrame:
