@@ -84,6 +84,19 @@ def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20)
         at = to
 
 
+#: Rows that are sent to Python at a time where they hold texts: a batch is built outside the heap, and its buffers double as they grow.
+TEXT_ROWS = 1000
+
+
+def in_batches(df: DataFrame, run, ddl) -> DataFrame:
+    """mapInArrow over rows with texts, in batches of TEXT_ROWS; the session keeps a smaller setting of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df.mapInArrow(run, ddl)
+
+
 class WordHash(dict):
     """word -> XXH64, remembered for up to `limit` words."""
 

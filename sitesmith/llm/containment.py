@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import SHINGLE, SIMILARITY, WordHash, known_words, pieces_of, rolled, table, word_hashes
+from sitesmith.llm.common import SHINGLE, SIMILARITY, in_batches, known_words, pieces_of, rolled, table, word_hashes, WordHash
 
 #: MinHash functions, each a band of one row. A block holds an item whole in at most four times the
 #: item's size, so a wholly contained item is missed with probability 0.75 ** 32 = 1e-4 at worst.
@@ -149,7 +149,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARI
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        got = cols.mapInArrow(run, ddl)
+        got = in_batches(cols, run, ddl)
         out = got if out is None else out.unionByName(got)
     out = spark.createDataFrame([], ddl) if out is None else out
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
@@ -166,7 +166,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
                 texts = (t.encode() if isinstance(t, str) else t for t in b.column("text").to_pylist())
                 yield b.filter(pa.array([next(sent.value.search(t, known, threshold), None) is None for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_batches(docs, run, docs.schema)
     return docs
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import drop_path, free_shuffles, maybe_broadcast, new_path, pieces_of, remembered, signed, stored, table, turn_to
+from sitesmith.llm.common import drop_path, free_shuffles, in_batches, maybe_broadcast, new_path, pieces_of, remembered, signed, stored, table, turn_to
 
 #: Characters of a gram. They are code points as they are, digits as one; NUL stands before and after a text.
 ORDER = 4
@@ -122,7 +122,7 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
 
     Each task sends a row per distinct gram, fold and block.
     """
-    own = trusted.select("lang", F.col("fold").cast("int").alias("fold"), F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, fold int, g string, n long")
+    own = in_batches(trusted.select("lang", F.col("fold").cast("int").alias("fold"), F.col("text").cast("binary").alias("text")), _count, "lang string, fold int, g string, n long")
     own = stored(own.groupBy("lang", "g").agg(*[F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(FOLDS)]), "grams")
     pooled = own.groupBy("g").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(FOLDS)])
     return own.where(F.col("lang") != POOLED).unionByName(pooled.withColumn("lang", F.lit(POOLED)))
@@ -326,7 +326,7 @@ def scores(docs: DataFrame, counts: DataFrame, limit: int = BROADCAST_GRAMS) ->
     meet its texts in one group of bounded size.
     """
     spark = docs.sparkSession
-    asked = stored(docs.select("lang", "text").mapInArrow(_distinct, "lang string, g string").distinct(), "grams-asked")
+    asked = stored(in_batches(docs.select("lang", "text"), _distinct, "lang string, g string").distinct(), "grams-asked")
     p = probabilities(counts, asked)
     # a fold without text of the language takes another's word
     nll = [F.coalesce(*[-F.log(f"p{(i + j) % FOLDS}") for j in range(FOLDS)]).alias(f"f{i}") for i in range(FOLDS)]
@@ -338,7 +338,7 @@ def scores(docs: DataFrame, counts: DataFrame, limit: int = BROADCAST_GRAMS) ->
         got = known.toArrow()
         key = got.column("key").to_numpy().view(np.uint64)
         sent = spark.sparkContext.broadcast(Table(key, np.stack([got.column(f"f{i}").to_numpy() for i in range(FOLDS)], axis=1)))
-        return docs.mapInArrow(partial(_scores, sent=sent), SCORE_DDL)
+        return in_batches(docs, partial(_scores, sent=sent), SCORE_DDL)
     blocks = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     wanted = dealt.select("block", "lang", "text").repartition("block").mapInArrow(_block_grams, "block long, key long").distinct()

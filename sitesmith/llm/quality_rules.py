@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import WordHash, known_words, maybe_broadcast, pieces_of, rolled, stored, table, word_hashes
+from sitesmith.llm.common import in_batches, known_words, maybe_broadcast, pieces_of, rolled, stored, table, word_hashes, WordHash
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -82,7 +82,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=["doc_id", "lang", *NAMES])
 
     cols = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary").alias("text"))
-    out = cols.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in NAMES))
+    out = in_batches(cols, run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in NAMES))
     return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import SIMILARITY, drop_path, free_shuffles, known_words, maybe_broadcast, mixed, new_path, pieces_of, shingle_hashes, split_words, stored, table, turn_to
+from sitesmith.llm.common import SIMILARITY, drop_path, free_shuffles, in_batches, known_words, maybe_broadcast, mixed, new_path, pieces_of, shingle_hashes, split_words, stored, table, turn_to
 from sitesmith.llm.components import connected_components
 
 SEED = 42
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 [b.column("doc_id").cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
 
 
 def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -150,7 +150,7 @@ def sketches(docs: DataFrame, tables: int, width: int) -> DataFrame:
                 cols = np.array(rows, np.int64).reshape(-1, tables).T
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("mark"), pa.array(nodes, pa.int64()), *(pa.array(c) for c in cols)], names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return in_batches(docs, run, ", ".join(f"{n} long" for n in names))
 
 
 def _shingle_sets(batches):
@@ -166,8 +166,8 @@ def _similar(similarity: float):
     def run(batches):
         for b in batches:
             ok = []
-            for x, y in zip(b.column("s").to_pylist(), b.column("s2").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("s"), b.column("s2")):  # a pair's bytes at a time, not copied
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
@@ -218,9 +218,9 @@ def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, simi
         apart = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
         likely = kept(bits.where(apart <= far).select("u", "v", "mu", "mv"), "near-likely")
         needed = likely.select(F.col("mu").alias("mark")).unionByName(likely.select(F.col("mv").alias("mark"))).distinct()
-        sets = kept(texts.join(maybe_broadcast(needed), "mark", "left_semi").select("text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "near-sets")
+        sets = kept(in_batches(texts.join(maybe_broadcast(needed), "mark", "left_semi").select("text"), _shingle_sets, "node long, s binary").dropDuplicates(["node"]), "near-sets")
         both = likely.select("u", "v").join(sets.withColumnRenamed("node", "u"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("s2")), "v")
-        out = stored(both.mapInArrow(_similar(similarity), "u long, v long, ok boolean").where("ok").select("u", "v"), "near-links")
+        out = stored(in_batches(both, _similar(similarity), "u long, v long, ok boolean").where("ok").select("u", "v"), "near-links")
         free_shuffles(spark)
         return out
 

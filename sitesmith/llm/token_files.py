@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesmith.llm.common import new_path, pieces_of, remembered, table, turn_to
+from sitesmith.llm.common import in_batches, new_path, pieces_of, remembered, table, turn_to
 
 MAGIC = b"SSTOK\x00\x01\x00"
 #: Ids of a block; ids after which an image ends (at a document's end).
@@ -202,7 +202,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         for number, n, data in images(rows, encode, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["file", "image", "n_ids", "data"])
 
-    ordered.mapInArrow(run, "file int, image int, n_ids long, data binary").write.parquet(path)
+    in_batches(ordered, run, "file int, image int, n_ids long, data binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
