@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesmith.operators.graph import shared_table
+from sitesmith.operators.graph import shared_table, small
 
 
 def _cells(df: DataFrame, dims: list[str], size: float, prefix: str) -> DataFrame:
@@ -55,12 +56,12 @@ def _tile_knn(own: np.ndarray, near: np.ndarray, k: int, reach: float, whole: bo
     A row is certain if its k-th distance is within reach of its tile's halo, or near holds the whole group.
     """
     rows, cols, d2s, sure = [], [], [], np.zeros(len(own), bool)
-    k = min(k, len(near))
+    enough, k = len(near) >= k, min(k, len(near))
     for at in range(0, len(own), ROWS_AT_ONCE):
         part = own[at : at + ROWS_AT_ONCE]
         d2 = sum((part[:, i, None] - near[None, :, i]) ** 2 for i in range(own.shape[1]))
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        sure[at : at + len(part)] = whole | (np.sqrt(kth) <= reach)
+        sure[at : at + len(part)] = whole | (enough & (np.sqrt(kth) <= reach))
         i, j = np.nonzero(d2 <= kth[:, None])
         v = d2[i, j]
         order = np.lexsort((j, v, i))
@@ -71,27 +72,40 @@ def _tile_knn(own: np.ndarray, near: np.ndarray, k: int, reach: float, whole: bo
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(d2s), sure
 
 
-def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, cell: float | None = None, tile_points: int = 4096, max_rounds: int = 60) -> DataFrame:
+def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, cell: float | None = None, tile_points: int = 512, max_rounds: int = 60, fold: tuple[Callable, str] | None = None) -> DataFrame:
     """The k nearest of each point in its `by` group, itself included: the by columns, key, other, d2, rank (1..k), ties by the other's key.
 
-    Keys are numbers or strings, different within a group. Space is cut into tiles of about tile_points points at mean density; every tile meets a copy
+    Keys are numbers or strings, different within a group. Space is cut into tiles of about tile_points points at the group's mean density; every tile meets a copy
     of the points in a halo around it and compares in blocks of bounded size. What lies beyond
     the halo cannot be nearer than the halo is wide, so points whose k-th neighbour is within
     that are done. The others go again with twice the halo, which only copies points into the
     tiles that still have some. Groups of k points or fewer give all they have.
+
+    With fold, a function and the DDL of what it returns, neighbours are summed up where they are found: given the
+    coordinates, the starts of each point's stretch of neighbours, their places and squared distances, it gives columns of a value
+    a point, and the rows are the by columns, key and these.
     """
     by = by or []
     kinds = dict(points.dtypes)
     cols = points.select(F.col(key).alias("key"), *by, *[F.col(d).cast("double").alias(d) for d in dims])
-    extent = reduce(lambda x, y: x * y, [F.greatest(F.max(d) - F.min(d), F.lit(1e-6)) for d in dims])
-    # one number for all groups: the side of a cube that holds tile_points in the middling group
-    side = cols.groupBy(*by).agg(F.pow(extent * tile_points / F.count("*"), F.lit(1.0 / len(dims))).alias("s")).agg(F.percentile_approx("s", 0.5)).first()[0]
-    side = float(side or 1.0)
-    halo = float(cell) if cell else side * (min(1.0, 4.0 * k / tile_points)) ** (1.0 / len(dims))
-    sizes = cols.groupBy(*by).agg(F.count("*").alias("__n"))
-    cols = _cells(cols, dims, side, "__c").join(F.broadcast(sizes), by) if by else _cells(cols, dims, side, "__c").crossJoin(F.broadcast(sizes))  # a row a group
+    # the side of a tile in each group, as if its points filled a line, a plane or a space, whichever is largest
+    spans = F.reverse(F.array_sort(F.array(*[F.max(d) - F.min(d) for d in dims])))
+    filled = [F.pow(reduce(lambda x, y: x * y, [spans[i] for i in range(m)]) * tile_points / F.count("*"), F.lit(1.0 / m)) for m in range(1, len(dims) + 1)]
+    side = F.greatest(*filled) if len(filled) > 1 else filled[0]
+    sizes = cols.groupBy(*by).agg(F.count("*").alias("__n"), F.when(side > 0, side).otherwise(1.0).alias("__s"))
+    if by:
+        cols = cols.join(small(shared_table(sizes, "sizes")), by)
+    else:
+        n, s = sizes.first()
+        cols = cols.withColumns({"__n": F.lit(n), "__s": F.lit(float(s))})
+    halo = float(cell) if cell else (min(1.0, 4.0 * k / tile_points)) ** (1.0 / len(dims))
+    wide = lambda h: F.lit(h) if cell else F.lit(h) * F.col("__s")
+    for i, d in enumerate(dims):
+        cols = cols.withColumn(f"__c{i}", F.floor(F.col(d) / F.col("__s")).cast("long"))
     tile = [f"__c{i}" for i in range(len(dims))]
-    out_ddl = f"key {kinds[key]}, {''.join(f'{c} {kinds[c]}, ' for c in by)}other {kinds[key]}, d2 double, rank int, left boolean"
+    made = fold[1] if fold else f"other {kinds[key]}, d2 double, rank int"
+    values = [x.split()[0] for x in made.split(", ")]
+    out_ddl = f"key {kinds[key]}, {''.join(f'{c} {kinds[c]}, ' for c in by)}{made}, left boolean"
     rest, done = cols.withColumn("__own", F.lit(True)), None
 
     for _ in range(max_rounds):
@@ -100,26 +114,31 @@ def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str]
         def run(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values("key").reset_index(drop=True)
             own = g.index[g["__own"]].to_numpy()
-            i, j, d2, sure = _tile_knn(g.loc[own, dims].to_numpy(float), g[dims].to_numpy(float), k, reach, len(g) == g["__n"].iloc[0])
+            i, j, d2, sure = _tile_knn(g.loc[own, dims].to_numpy(float), g[dims].to_numpy(float), k, reach if cell else reach * g["__s"].iloc[0], len(g) == g["__n"].iloc[0])
             keys = g["key"].to_numpy()
-            rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
-            out = pd.DataFrame({"key": keys[own[i]], "other": keys[j], "d2": d2, "rank": rank.astype(np.int32), "left": False})
-            rest = pd.DataFrame({"key": keys[own[~sure]], "other": keys[own[~sure]], "d2": 0.0, "rank": np.int32(0), "left": True})
-            both = pd.concat([out, rest])
+            lost = keys[own[~sure]]
+            if fold:
+                starts = np.flatnonzero(np.diff(i, prepend=-1))
+                cols = fold[0](g[dims].to_numpy(float), starts, j, d2) if len(starts) else {c: np.empty(0) for c in values}
+                out, empty = pd.DataFrame({"key": keys[own[i[starts]]], **cols, "left": False}), dict.fromkeys(values, 0)
+            else:
+                rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                out, empty = pd.DataFrame({"key": keys[own[i]], "other": keys[j], "d2": d2, "rank": rank.astype(np.int32), "left": False}), {"other": lost, "d2": 0.0, "rank": np.int32(0)}
+            both = pd.concat([out, pd.DataFrame({"key": lost, **empty, "left": True})]) if len(lost) else out
             for c in by:
                 both[c] = g[c].iloc[0]
-            return both[["key", *by, "other", "d2", "rank", "left"]]
+            return both[["key", *by, *values, "left"]]
 
         # copies into the tiles around that the halo reaches
         moved = cols
         for d, c in zip(dims, tile):
-            low, high = F.floor((F.col(d) - halo) / side).cast("long"), F.floor((F.col(d) + halo) / side).cast("long")
+            low, high = F.floor((F.col(d) - wide(halo)) / F.col("__s")).cast("long"), F.floor((F.col(d) + wide(halo)) / F.col("__s")).cast("long")
             moved = moved.withColumn("__t", F.explode(F.sequence(low, high))).withColumn(c + "h", F.col("__t")).drop("__t")
         away = reduce(lambda x, y: x | y, [F.col(c) != F.col(c + "h") for c in tile])
-        copies = moved.where(away).select("key", *by, *dims, *[F.col(c + "h").alias(c) for c in tile], "__n", F.lit(False).alias("__own"))
+        copies = moved.where(away).select("key", *by, *dims, *[F.col(c + "h").alias(c) for c in tile], "__n", "__s", F.lit(False).alias("__own"))
         live = rest.select(*by, *tile).distinct()
         inside = cols.withColumn("__own", F.lit(True)) if done is None else cols.join(rest.select(*by, "key", F.lit(True).alias("__r")), [*by, "key"], "left").withColumn("__own", F.coalesce("__r", F.lit(False))).drop("__r")
-        pool = inside.select("key", *by, *dims, *tile, "__n", "__own").unionByName(copies).join(live, [*by, *tile], "left_semi")
+        pool = inside.select("key", *by, *dims, *tile, "__n", "__s", "__own").unionByName(copies).join(live, [*by, *tile], "left_semi")
         got = shared_table(pool.groupBy(*by, *tile).applyInPandas(run, out_ddl), "knn")
         part = got.where("not left").drop("left")
         done = part if done is None else done.unionByName(part)

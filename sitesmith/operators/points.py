@@ -48,9 +48,11 @@ def bounding_box(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def knn_mean_distance(points: DataFrame, k: int) -> DataFrame:
-    """(scan_id, idx) -> mean distance to the k nearest others (k + 1 looked up, the point itself not counted)."""
-    near = knn_join(points, k + 1, XYZ, "idx", by=["scan_id"])
-    return near.where("rank > 1").groupBy("scan_id", F.col("key").alias("idx")).agg((F.sum(F.sqrt("d2")) / k).alias("mean_d"))
+    """(scan_id, idx) -> mean distance to the k nearest others (k + 1 looked up, the point itself not counted), summed up where the neighbours are found."""
+    def mean(xyz, starts, j, d2):
+        return {"mean_d": np.add.reduceat(np.sqrt(d2), starts) / k}  # a point's own distance is zero
+
+    return knn_join(points, k + 1, XYZ, "idx", by=["scan_id"], fold=(mean, "mean_d double")).select("scan_id", F.col("key").alias("idx"), "mean_d")
 
 
 def remove_outliers(points: DataFrame, k: int, sigma: float) -> DataFrame:
@@ -313,11 +315,16 @@ def covariance_features(points: DataFrame, k: int) -> DataFrame:
     """
     if k < 3:
         raise ValueError("k must be at least 3")
-    near = knn_join(points, k, XYZ, "idx", by=["scan_id"])
-    at = points.select("scan_id", F.col("idx").alias("other"), *XYZ)
-    cov = near.join(at, ["scan_id", "other"]).groupBy("scan_id", F.col("key").alias("idx")).agg(
-        F.count("*").alias("n"), *[F.var_pop(d).alias(d * 2) for d in XYZ], *[F.covar_pop(a, b).alias(a + b) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))]
-    )
+    pairs = ("xx", "yy", "zz", "xy", "xz", "yz")
+
+    def moments(xyz, starts, j, d2):
+        n = np.diff(np.append(starts, len(j)))
+        own = xyz[j]
+        own = own - np.repeat(np.add.reduceat(own, starts, axis=0) / n[:, None], n, axis=0)
+        return {"n": n, **{p: np.add.reduceat(own[:, "xyz".index(p[0])] * own[:, "xyz".index(p[1])], starts) / n for p in pairs}}
+
+    ddl = "n long, " + ", ".join(f"{p} double" for p in pairs)
+    cov = knn_join(points, k, XYZ, "idx", by=["scan_id"], fold=(moments, ddl)).withColumnRenamed("key", "idx")
     return with_eigen(cov)
 
 

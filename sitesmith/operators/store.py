@@ -74,6 +74,16 @@ def replaced_for(df: DataFrame, targets: DataFrame, new: DataFrame, keys: list[s
     return df.join(targets.select(*keys).distinct(), keys, "left_anti").select(*df.columns).unionByName(new.join(targets.select(*keys).distinct(), keys, "left_semi").select(*df.columns))
 
 
+def put_objects(objects: DataFrame, path: str, version: int) -> None:
+    """Append (key, data binary) to an object table; a later version of a key takes the place of an earlier one when it is read."""
+    objects.select("key", F.col("data").cast("binary").alias("data"), F.lit(version).cast("long").alias("version")).write.mode("append").parquet(path)
+
+
+def get_objects(spark, path: str) -> DataFrame:
+    """The newest version of each object: key, data."""
+    return spark.read.parquet(path).groupBy("key").agg(F.max_by("data", "version").alias("data"))
+
+
 def write_replaced(new: DataFrame, path: str, keys: list[str]) -> None:
     """Overwrite only the partitions that `new` has."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

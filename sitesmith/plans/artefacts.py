@@ -108,18 +108,27 @@ def terrain_artefacts(spark: SparkSession, d: str) -> DataFrame:
     return a.select("scan_id", "vertices", "triangles", F.substring("glb", 1, 4).cast("string").alias("magic"), F.hex(F.substring("png", 2, 3)).alias("png"))
 
 
-@query(f"WITH {bind.CLOUD} SELECT scan_id, idx, round(x::FLOAT::DOUBLE, 6) AS x, round(y::FLOAT::DOUBLE, 6) AS y, r::SMALLINT AS r FROM c WHERE r IS NOT NULL")
+@query(f"""WITH {bind.CLOUD}, k(encoding) AS (VALUES ('little'), ('big'), ('ascii'))
+SELECT encoding, scan_id, idx, round(x::FLOAT::DOUBLE, 6) AS x, round(y::FLOAT::DOUBLE, 6) AS y, round(z::FLOAT::DOUBLE, 6) AS z, r::SMALLINT AS r, g::SMALLINT AS g, b::SMALLINT AS b FROM c, k WHERE r IS NOT NULL""")
 def ply_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Each scan's coloured points as a PLY file and parsed again."""
+    """Each scan's coloured points as PLY files of all three encodings, parsed again."""
     c = bind.cloud(spark, d).where("r is not null")
+    names = ["x", "y", "z", "r", "g", "b"]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        back = pd.concat(list(ply.parse(ply.ply_bytes(g, ">"))))
-        return pd.DataFrame({"scan_id": g["scan_id"].to_numpy(), "idx": g["idx"].to_numpy(), "x": back["x"].to_numpy(), "y": back["y"].to_numpy(), "r": back["r"].to_numpy()})
+    def ascii_bytes(g: pd.DataFrame) -> bytes:
+        head = "".join(f"property {t} {n}\n" for t, n in (("float", "x"), ("float", "y"), ("float", "z"), ("uchar", "red"), ("uchar", "green"), ("uchar", "blue")))
+        lines = "".join(f"{v.x!r} {v.y!r} {v.z!r} {v.r} {v.g} {v.b}\n" for v in g.itertuples())
+        return f"ply\nformat ascii 1.0\nelement vertex {len(g)}\n{head}end_header\n{lines}".encode()
 
-    out = c.groupBy("scan_id").applyInPandas(run, "scan_id int, idx long, x double, y double, r short")
-    return out.select("scan_id", "idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "r")
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g, out = g.sort_values("idx"), []
+        for encoding, data in (("little", ply.ply_bytes(g, "<")), ("big", ply.ply_bytes(g, ">")), ("ascii", ascii_bytes(g))):
+            back = pd.concat(list(ply.parse(data)))
+            out.append(pd.DataFrame({"encoding": encoding, "scan_id": g["scan_id"].to_numpy(), "idx": g["idx"].to_numpy(), **{n: back[n].to_numpy() for n in names}}))
+        return pd.concat(out)
+
+    out = c.groupBy("scan_id").applyInPandas(run, "encoding string, scan_id int, idx long, x double, y double, z double, r short, g short, b short")
+    return out.select("encoding", "scan_id", "idx", *[F.round(n, 6).alias(n) for n in "xyz"], "r", "g", "b")
 
 
 @query(f"WITH {bind.ZONES} SELECT project_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'quoted' ELSE 'draft' END AS status, zone_id, CASE WHEN label <> 'wall' THEN label END AS label, w * h AS area FROM z JOIN orders ON o_orderkey = project_id")

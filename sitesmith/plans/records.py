@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitesmith.functions import codes, geo, text
 from sitesmith.operators import mesh, points, quote, reconcile, site, store
+from sitesmith.operators.graph import shared_path
 from sitesmith.plans import bind
 from sitesmith.plans.quoting import ROLLUP, TOTALS, _items, _priced
 
@@ -102,6 +103,37 @@ def bulk_zone_replace(spark: SparkSession, d: str) -> DataFrame:
     return store.replaced_for(z, targets, new, ["project_id"])
 
 
+@query("SELECT 'projects/' || o_orderkey || '/status.txt' AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'closed ' || o_orderkey ELSE o_orderstatus END AS text FROM orders")
+def object_store(spark: SparkSession, d: str) -> DataFrame:
+    """An object a project, a fifth of which are put a second time; what is read is the newest."""
+    k = F.col("o_orderkey")
+    o = bind.t(spark, d, "orders").select(F.concat(F.lit("projects/"), k.cast("string"), F.lit("/status.txt")).alias("key"), F.col("o_orderstatus").alias("data"), k)
+    path = shared_path(spark, "objects")
+    store.put_objects(o, path, 1)
+    store.put_objects(o.where(k % 5 == 0).withColumn("data", F.concat(F.lit("closed "), k.cast("string"))), path, 2)
+    return store.get_objects(spark, path).select("key", F.col("data").cast("string").alias("text"))
+
+
+@query("SELECT p_partkey AS id, t AS overrides, CASE WHEN p_partkey % 4 = 1 THEN (p_partkey % 50)::DECIMAL(12,4) END AS price, p_partkey % 4 = 3 AS bad FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '{\"price\": ' || p_partkey % 50 || '}' WHEN 2 THEN '{\"depth_inches\": 4}' ELSE '{price ' || p_partkey END AS t FROM part)")
+def override_json(spark: SparkSession, d: str) -> DataFrame:
+    """Override texts of assignments, those that are no JSON set aside."""
+    k = F.col("p_partkey")
+    num = lambda c: c.cast("string")
+    t = F.when(k % 4 == 1, F.concat(F.lit('{"price": '), num(k % 50), F.lit("}"))).when(k % 4 == 2, '{"depth_inches": 4}').when(k % 4 == 3, F.concat(F.lit("{price "), num(k)))
+    a = bind.t(spark, d, "part").select(k.alias("id"), t.alias("overrides"))
+    bad = quote.bad_overrides(a)
+    good = a.join(bad.select("id"), "id", "left_anti").select("id", "overrides", quote.overrides(F.col("overrides"))["price"].alias("price"), F.lit(False).alias("bad"))
+    return good.unionByName(bad.select("id", "overrides", F.lit(None).cast("decimal(12,4)").alias("price"), F.lit(True).alias("bad")))
+
+
+@query(f"WITH {_priced()}, {TOTALS}, x AS (SELECT project_id, tier, (project_id % 500)::DECIMAL(18,2) AS tax FROM tot WHERE project_id % 3 <> 0) SELECT tot.project_id, tot.tier, items, subtotal, coalesce(x.tax, 0)::DECIMAL(18,2) AS tax, (subtotal + coalesce(x.tax, 0))::DECIMAL(18,2) AS total FROM tot LEFT JOIN x USING (project_id, tier)")
+def quote_tax(spark: SparkSession, d: str) -> DataFrame:
+    """Totals with a tax for two thirds of the projects."""
+    items = _items(spark, d)
+    taxes = items.select("project_id", "tier").distinct().where("project_id % 3 <> 0").withColumn("tax", (F.col("project_id") % 500).cast("decimal(18,2)"))
+    return quote.totals(items, taxes)
+
+
 # --- scenes ---
 @query(f"""WITH {bind.ZONES}, {bind.materials_sql(True)}, j AS (SELECT z.*, m.material_id IS NULL AS lost FROM z LEFT JOIN m ON z.material_id = m.material_id)
 SELECT project_id, tier, count(*) AS zone_count, count(*) * 8 AS vertices, count(*) * 12 AS triangles, 0::BIGINT AS missing FROM j GROUP BY ALL HAVING NOT bool_or(lost)

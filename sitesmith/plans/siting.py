@@ -138,6 +138,18 @@ def seasonal_sun(spark: SparkSession, d: str) -> DataFrame:
     return out.select("site_id", *[F.round(c, 6).alias(c) for c in ("avg_hours", "min_hours", "max_hours")], "midnight_sun_days", "polar_night_days", "days")
 
 
+_YEAR = "generate_series('2024-01-01'::TIMESTAMP, '2024-12-31'::TIMESTAMP, INTERVAL 1 DAY)::DATE[]"
+
+
+@query(f"""WITH {_days_sql(_YEAR)}, {_sun('dd0')}, {_DAILY}
+SELECT site_id, round(sum(sun_hours), 5) AS hours, round(avg(sun_hours), 6) AS avg_hours, count(*) FILTER (WHERE midnight_sun) AS midnight_sun_days, count(*) FILTER (WHERE polar_night) AS polar_night_days, count(*) AS days FROM dy GROUP BY site_id""")
+def annual_sun(spark: SparkSession, d: str) -> DataFrame:
+    """Every day of a leap year, the last included."""
+    s = _sites(spark, d).withColumn("day", F.explode(F.expr("sequence(DATE'2024-01-01', DATE'2024-12-31', INTERVAL 1 DAY)")))
+    out = solar.seasonal_summary(solar.daily_sun(s, ["site_id"]), ["site_id"])
+    return out.select("site_id", F.round(F.col("avg_hours") * F.col("days"), 5).alias("hours"), F.round("avg_hours", 6).alias("avg_hours"), "midnight_sun_days", "polar_night_days", "days")
+
+
 @query(f"""WITH {_days_sql(_SOLSTICES)}, {_sun('dd0')}, {_DAILY}, c AS (SELECT site_id, day, CASE WHEN sun_hours >= 6 THEN 'full_sun' WHEN sun_hours >= 4 THEN 'part_sun' WHEN sun_hours >= 2 THEN 'part_shade' ELSE 'full_shade' END AS category FROM dy)
 SELECT *, CASE category WHEN 'full_sun' THEN 'Full Sun' WHEN 'part_sun' THEN 'Part Sun' WHEN 'part_shade' THEN 'Part Shade' ELSE 'Full Shade' END AS label,
  CASE category WHEN 'full_sun' THEN '6+ hours' WHEN 'part_sun' THEN '4-6 hours' WHEN 'part_shade' THEN '2-4 hours' ELSE '<2 hours' END AS hours FROM c""")

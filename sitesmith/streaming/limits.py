@@ -78,20 +78,29 @@ def session_limit(requests: DataFrame, limit: int = MAX_IN_SESSION) -> DataFrame
     return requests.select("key", "id", "ms").withColumn("count", n).withColumn("allowed", F.col("count") <= limit)
 
 
-def stream_session_limit(requests: DataFrame, limit: int = MAX_IN_SESSION) -> DataFrame:
+def stream_session_limit(requests: DataFrame, limit: int = MAX_IN_SESSION, idle_ms: int = 86_400_000) -> DataFrame:
+    """Streaming form: a count per key in state. A key that was idle for idle_ms is forgotten, but for one that has used up its
+    limit, which stays refused."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, frames, state: GroupState):
         n = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            if n < limit:
+                state.remove()
+            else:
+                state.setTimeoutDuration(idle_ms)
+            return
         for f in frames:
             g = f.sort_values(["ms", "id"])
             count = range(n + 1, n + 1 + len(g))
             n += len(g)
             yield g.assign(count=list(count), allowed=[c <= limit for c in count])[["key", "id", "ms", "count", "allowed"]]
         state.update((n,))
+        state.setTimeoutDuration(idle_ms)
 
     rows = requests.select(F.col("key").cast("string"), F.col("id").cast("long"), F.col("ms").cast("long"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, id long, ms long, count int, allowed boolean", "n int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, id long, ms long, count int, allowed boolean", "n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def job_states(events: DataFrame) -> DataFrame:
