@@ -197,9 +197,9 @@ def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, simi
     and its one-bit flips; nodes within two bits share such a variant. A variant's bucket is
     aggregated to its size, smallest and largest node and the exclusive or of all: that tells the members of a
     bucket of two or three, which are nearly all. In a larger one all are compared with leaders, its smallest and its largest
-    node by two orders; those that are like none go on with leaders from what is left, until nobody is, so
-    that every node is either linked in each of its buckets or like none of the nodes that led
-    there. All bits together rule out unlike pairs first; shingle sets are read again for the
+    node by two orders, unless links found before have made them one group; those that are like none go on with leaders
+    from what is left, until nobody is, so that in each of its buckets every node is either of one group with a leader or like none of
+    the nodes that led there. All bits together rule out unlike pairs first; shingle sets are read again for the
     others. The joins have one row a key on one side, so a bucket of any size is split by AQE.
     """
     spark = nodes.sparkSession
@@ -232,23 +232,28 @@ def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, simi
     pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
     lo, hi = F.col("lo"), F.col("hi")
     pairs = buckets.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, mid), pair(mid, hi)))).alias("p")).select("p.*")
-    open_ = kept(all_.join(maybe_broadcast(buckets.where("n > 3").select("key")), "key", "left_semi"), "near-open")
-    names = ["l0", "l1", "l2", "l3"]
-    ends = F.array(*names)
-    while links is None or not open_.isEmpty():
+    large = buckets.where("n > 3").select("key", "lo")
+    open_ = kept(all_.join(maybe_broadcast(large.select("key")), "key", "left_semi"), "near-open")
+    first = open_.join(large, "key").where("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v"))
+    links = similar(pairs.unionByName(first).distinct())
+    while not open_.isEmpty():
+        # who is in one group already need not be compared
+        group = connected_components(links).withColumnRenamed("component", "g")
         other = F.col("node").bitwiseXOR(F.lit(OTHER))
-        leaders = open_.groupBy("key").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3"))
-        now = open_.join(leaders.where("l0 < l1"), "key")
-        led = now.select("node", F.explode(ends).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))
-        if links is None:
-            links = similar(pairs.unionByName(led).distinct())
-        else:
-            links = links.unionByName(similar(led.distinct().join(links, ["u", "v"], "left_anti")))
+        leaders = open_.groupBy("key").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3")).where("l0 < l1")
+        led = open_.join(leaders.select("key", F.array_distinct(F.array("l0", "l1", "l2", "l3")).alias("ends")), "key").where(~F.array_contains("ends", F.col("node")))
+        led = led.unionByName(leaders.select(F.col("l0").alias("node"), "key", F.array_distinct(F.array("l1", "l2", "l3")).alias("ends")).where(~F.array_contains("ends", F.col("node"))))
+        met = led.select("key", "node", F.explode("ends").alias("end")).join(group.select(F.col("id").alias("node"), "g"), "node", "left").join(group.select(F.col("id").alias("end"), F.col("g").alias("eg")), "end", "left")
+        met = met.select("key", "node", "end", (F.coalesce("g", "node") == F.coalesce("eg", "end")).alias("one"))
+        met = kept(met.groupBy("key", "node").agg(F.max("one").alias("done"), F.collect_list("end").alias("ends")).where("not done"), "near-met")  # four at most
+        tried = met.select(F.col("node"), F.explode("ends").alias("end"), "key")
+        found = similar(tried.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct())
+        links = links.unionByName(found)
         # a node goes on where it is like none of its bucket's leaders; these themselves are done
-        rest = now.where(~F.array_contains(ends, F.col("node")))
-        for name in names:
-            rest = rest.withColumn("u", F.least("node", name)).withColumn("v", F.greatest("node", name)).join(links, ["u", "v"], "left_anti")
-        open_ = kept(rest.select("node", "key"), "near-open")
+        sides = found.select(F.col("u").alias("node"), F.col("v").alias("end")).unionByName(found.select(F.col("v").alias("node"), F.col("u").alias("end")))
+        like = tried.join(sides, ["node", "end"], "left_semi").select("key", "node").distinct()
+        ended = leaders.select("key", F.explode(F.array("l0", "l1", "l2", "l3")).alias("node")).distinct()
+        open_ = kept(met.select("key", "node").join(like, ["key", "node"], "left_anti").join(ended, ["key", "node"], "left_anti"), "near-open")
         free_shuffles(spark)
     links = stored(links.distinct(), "near-links")
     for path in paths:

@@ -86,13 +86,17 @@ class Image:
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|]*)\Z")
 
 
+PROBES = ("The cat sat", "Ünïted Words again  and\tAgain", "ab")
+
+
 class WordEncoder:
     """Encodes with a tokenizer of the tokenizers library whose pre-tokenizer drops white space, one word at a time.
 
     No piece of such a tokenizer crosses white space, so a text's ids are its words' ids in a
     row; words met before are taken from a table. New words of letters, apart from trailing
     punctuation, are given to the library many at a time; `ends` tells where one's ids end.
-    Anything else is encoded by itself.
+    Anything else is encoded by itself. A tokenizer that does not behave so on PROBES (one that tells cases apart, or whose
+    words depend on their neighbours) is given whole texts.
     """
 
     def __init__(self, path: str, limit: int = 100_000):
@@ -103,6 +107,8 @@ class WordEncoder:
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
+        whole = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        self.by_word = all(whole(t) == whole(t.lower()) == [i for w in t.split() for i in whole(w)] and all(self.ends[whole(w)[-1]] for w in t.split()) for t in PROBES)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -134,6 +140,8 @@ class WordEncoder:
             self.known.update(zip(others, self._each([w.decode("utf-8", "replace") for w in others])))
 
     def __call__(self, text: bytes | None) -> np.ndarray:
+        if not self.by_word:
+            return np.array(self.library.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
         words = text.split() if text else []
         try:
             return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")

@@ -614,6 +614,19 @@ def test_word_encoder_is_the_library():
         assert enc(t.encode()).tolist() == enc.library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_encoder_of_another_kind(tmp_path):
+    """A tokenizer that tells cases apart, or keeps white space, is not taken word by word."""
+    import json
+
+    d = json.load(open(token_files.tokenizer_path()))
+    d["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(d))
+    enc = token_files.WordEncoder(str(tmp_path / "cased.json"))
+    assert not enc.by_word and token_files.WordEncoder(token_files.tokenizer_path()).by_word
+    for t in [*HARD, "THE cat Sat"]:
+        assert enc(t.encode()).tolist() == enc.library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_tokens_real(spark, real):
     df, rows = real
     lib = token_files.WordEncoder(token_files.tokenizer_path()).library
@@ -652,6 +665,8 @@ def test_containment_odd(spark):
     bench = spark.createDataFrame([(1, mid.upper()), (2, None), (3, ""), (4, "cat sat"), (5, "one"), (6, mid.replace("w", "z"))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in containment.contained(docs(spark, ODD), bench).collect()}
     assert got == {(6, 1), (7, 1), (8, 4), (4, 5), (5, 5)}
+    # short items take no document out; repeated rows stay or go alike
+    assert sorted((r["doc_id"] for r in containment.keep_uncontaminated(docs(spark, ODD), bench).collect()), key=repr) == sorted([i for i, *_ in ODD if i not in (6, 7)], key=repr)
     assert containment.contained(docs(spark, []), bench).count() == 0 and containment.contained(docs(spark, ODD), bench.limit(0)).count() == 0
     blocks = list(containment.blocks(bench, 100))
     assert len(blocks) > 1 and sum(map(len, blocks)) == 5
