@@ -99,7 +99,7 @@ class WordEncoder:
     words depend on their neighbours) is given whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
