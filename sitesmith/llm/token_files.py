@@ -93,17 +93,17 @@ class WordEncoder:
     """Encodes with a tokenizer of the tokenizers library whose pre-tokenizer drops white space, one word at a time.
 
     No piece of such a tokenizer crosses white space, so a text's ids are its words' ids in a
-    row; words met before are taken from a table. New words of letters, apart from trailing
+    row; up to `words` words met before are taken from a table, and up to `limit` of their parts from another. New words of letters, apart from trailing
     punctuation, are given to the library many at a time; `ends` tells where one's ids end.
     Anything else is encoded by itself. A tokenizer that does not behave so on PROBES (one that tells cases apart, or whose
     words depend on their neighbours) is given whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000, words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.limit, self.known, self.cores = limit, {}, {}
+        self.limit, self.words, self.known, self.cores = limit, min(words, limit), {}, {}
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
@@ -147,7 +147,7 @@ class WordEncoder:
             return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
         except KeyError:
             pass
-        if len(self.known) > self.limit:
+        if len(self.known) > self.words:
             self.known.clear()
         parts = []
         for at in range(0, len(words), 20_000):
