@@ -10,8 +10,10 @@ SPAN / 2 windows, a class, shares it.
    later, again and again up to DEPTH; the names of a class's first and last window name all its bytes.
 3. Bucket pointers: a window that has an alone bucket at a later offset inside it is alone itself and
    is not looked at again. In a bucket whose classes all have one name every window is repeated.
-4. What is left, classes of buckets with several names, is refined to single windows: each differing
-   class once, whatever the number of its copies, by the names of DEPTH bytes in their bucket.
+4. What is left, classes of buckets with several names, is refined again, each differing class once
+   whatever the number of its copies: runs of STEPS[0] windows fall into buckets by the bytes that all windows
+   of the run share, and a run alone in its bucket is done with, as are runs whose bytes are all equal;
+   the others are cut once more, at last to single windows, whose bucket decides.
 
 All buckets are aggregations with partial sums where rows are read, so that a passage that a third
 of all documents share is no larger a group than any other.
@@ -27,13 +29,15 @@ from pyspark.sql import functions as F
 from sitesmith.llm.common import drop_path, free_shuffles, in_batches, mixed, new_path, pieces_of, signed, stored, table, turn_to
 
 DEPTH, GRAM, SPAN = 400, 64, 193
+#: Windows to a run, refinement by refinement.
+STEPS = (16, 1)
 #: Windows of a text that are named at a time.
 BLOCK = 1 << 16
 #: Spans, or classes to look up, that are sent to all tasks; where a count finds more, texts are shuffled to them.
 SENT = 500_000
 NO_END = (1 << 31) - 1
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LOW = np.uint64(0xFFFFFFFF)
+_LOW, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(29)
 
 KEY = ["k1", "k2"]
 
@@ -46,12 +50,18 @@ def names(data: np.ndarray, *depths: int) -> list[np.ndarray]:
     x = np.empty(n, np.uint64)
     for r in range(min(8, n)):
         x[r::8] = data[r : r + (len(data) - r) // 8 * 8].view("<u8")
-    now, have, out = mixed(x * _C + _D), 8, []
+    now = before = mixed(x * _C + _D)
+    have, out = 8, []
     for depth in depths:
         while have < depth:
             step = min(have, depth - have)
-            now = mixed(now[:-step] * _C + now[step:]) if len(now) > step else now[:0]
-            have += step
+            if len(now) <= step:
+                now = now[:0]
+            else:
+                now = now[:-step] * _C
+                now += before[step:]
+                now ^= now >> _SHIFT
+            before, have = now, have + step
         out.append(now)
     return out
 
@@ -170,32 +180,74 @@ def pruned(alive: DataFrame, ahead: int) -> DataFrame:
     return alive.mapInArrow(run, out)
 
 
-def windows(texts: DataFrame, depth: int) -> DataFrame:
-    """The name of every window of the wanted classes, from texts that carry them."""
-    schema = pa.schema([("gram", pa.int64()), ("hull", pa.int64()), ("many", pa.bool_()), ("name", pa.int64()), ("back", pa.int32())])
+def cut(texts: DataFrame, depth: int, step: int) -> DataFrame:
+    """The wanted classes in runs of at most `step` windows, cut at multiples of it before the chosen suffix.
+
+    back0 to back1: how far before the suffix (at) the run's windows begin. core: the name of what all windows of
+    a whole run there share; hull: the name of the run's bytes.
+    """
+    cols = ["gram", "owner", "many", "k1", "k2", "at", "back0", "back1", "core", "hull"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def of(data: np.ndarray, k1: int, k2: int, wanted: list[dict]) -> pa.RecordBatch:
+        gram, owner, many, first, last, at = (np.array([w[c] for w in wanted]) for c in ("gram", "hull", "many", "first", "last", "at"))
+        low, high = (at - last) // step, (at - first) // step
+        who = np.repeat(np.arange(len(wanted)), high - low + 1)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[who]
+        back0, back1 = np.maximum(nth * step, (at - last)[who]), np.minimum(nth * step + step - 1, (at - first)[who])
+        core, hull = np.empty(len(who), np.uint64), np.empty(len(who), np.uint64)
+        ends = np.maximum.accumulate(last) + depth
+        for x in np.split(np.arange(len(wanted)), np.flatnonzero(first[1:] >= ends[:-1]) + 1):
+            begin = first[x[0]]
+            inner, wide = names(data[begin : ends[x[-1]]], 8, depth - step + 1, depth)[1:]
+            rows = slice(*np.searchsorted(who, [x[0], x[-1] + 1]))
+            place, from_, to = at[who[rows]] - begin, back0[rows], back1[rows]
+            core[rows] = mixed(inner[place - nth[rows] * step] + nth[rows].astype(np.uint64) * _D)
+            hull[rows] = mixed(wide[place - to] * _C + wide[place - from_] + (from_ << 32 | to).astype(np.uint64) * _D)
+        full = [gram[who], owner[who], many[who], np.full(len(who), k1), np.full(len(who), k2), at[who], back0, back1, signed(core), signed(hull)]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(full, types)], names=cols)
 
     def run(batches):
         turn_to("suffixes")
         for b in (piece for batch in batches for piece in pieces_of(batch, limit=1 << 20)):
-            for text, wanted in zip(b.column("text"), b.column("wanted").to_pylist()):
+            for text, k1, k2, wanted in zip(b.column("text"), b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("wanted").to_pylist()):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                for at in range(0, len(wanted), 256):
-                    rows = []
-                    for w in wanted[at : at + 256]:
-                        got = names(data[w["first"] : w["last"] + depth], 8, depth)[1]
-                        rows.append((np.full(len(got), w["gram"]), np.full(len(got), w["hull"]), np.full(len(got), w["many"]), signed(got), w["at"] - np.arange(w["first"], w["first"] + len(got))))
-                    cols = [np.concatenate(x) for x in zip(*rows)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, schema)], schema=schema)
-
-    return in_batches(texts.select("text", "wanted"), run, "gram long, hull long, many boolean, name long, back int")
+                wanted.sort(key=lambda w: w["first"])
+                for i in range(0, len(wanted), 256):
+                    yield of(data, k1, k2, wanted[i : i + 256])
 
+    return in_batches(texts.select("text", *KEY, "wanted"), run, "gram long, owner long, many boolean, k1 long, k2 long, at int, back0 int, back1 int, core long, hull long")
 
-def with_texts(texts: DataFrame, found: DataFrame, rows: int, sent: int) -> DataFrame:
-    """Texts joined with what was found in them, sent to all tasks if it holds no more than `sent` rows."""
-    return texts.join(F.broadcast(found) if rows <= sent else found, KEY)
 
+def refined(texts: DataFrame, base: DataFrame, items: DataFrame, depth: int, steps: tuple[int, ...], sent: int, paths: list[str]) -> DataFrame:
+    """gram, hull, back0, back1: where the windows of the items begin, before their suffix, that are repeated.
 
-def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = SPAN, sent: int = SENT) -> DataFrame:
+    items: one row a differing class (gram, hull), where a copy of it stands, and whether there are many.
+    """
+    wanted = items.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "hull", "many", "first", "last", "at")).alias("wanted"))
+    paths.append(new_path(items.sparkSession, "suffix-wanted"))
+    wanted = stored(wanted.join(base, KEY).select(*KEY, F.col("doc_id").alias("id"), "wanted"), "", paths[-1])
+    rows = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    found = texts.join(F.broadcast(wanted) if rows <= sent else wanted, KEY).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    paths.append(new_path(items.sparkSession, "suffix-runs"))
+    runs = stored(cut(found, depth, steps[0]), "", paths[-1])
+    buckets = runs.groupBy("gram", "core").agg(F.max("many").alias("several"), F.min("owner").alias("o0"), F.max("owner").alias("o1"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
+    buckets = buckets.where(F.col("several") | (F.col("o0") != F.col("o1"))).select("gram", "core", (F.col("h0") == F.col("h1")).alias("same"))
+    shared = runs.join(buckets, ["gram", "core"])
+    out = ["gram", "owner", "back0", "back1"]
+    if len(steps) == 1:
+        return shared.select(*out).withColumnRenamed("owner", "hull")
+    paths.append(new_path(items.sparkSession, "suffix-open"))
+    shared = stored(shared.drop("core"), "", paths[-1])
+    opened = shared.where(~F.col("same"))
+    here = F.struct(*KEY, (F.col("at") - F.col("back1")).alias("first"), (F.col("at") - F.col("back0")).alias("last"), "at")
+    once = opened.groupBy("gram", "hull").agg((F.max("many") | (F.min("owner") != F.max("owner"))).alias("many"), F.min(here).alias("w")).select("gram", "hull", "many", "w.*")
+    deeper = refined(texts, base, once, depth, steps[1:], sent, paths).withColumnsRenamed({"back0": "from", "back1": "to"})
+    deeper = opened.select("gram", "hull", "owner").join(deeper, ["gram", "hull"]).select("gram", "owner", F.col("from").alias("back0"), F.col("to").alias("back1"))
+    return shared.where("same").select(*out).unionByName(deeper).withColumnRenamed("owner", "hull")
+
+
+def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = SPAN, steps: tuple[int, ...] = STEPS, sent: int = SENT) -> DataFrame:
     """k1, k2 (the key of a text), spans: array<struct<a, b>>, the bytes [a, b) of the text that a repeated window covers.
 
     A window is repeated if its bytes also begin anywhere else, in the same document or another.
@@ -204,9 +256,10 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = S
     if span + gram > depth + 1 or gram < 8:
         raise ValueError("a chosen suffix's first bytes must lie inside its window")
     spark, texts = docs.sparkSession, keyed(docs)
-    paths = [new_path(spark, x) for x in ("suffix-texts", "suffix-classes", "suffix-shared", "suffix-open", "suffix-windows", "suffix-spans")]
+    paths = [new_path(spark, x) for x in ("suffix-texts", "suffix-shared", "suffix-classes")]
     base = stored(texts.select("doc_id", *KEY, F.length("text").alias("n")).groupBy(*KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "", paths[0])
-    found = stored(sampled(texts, depth, gram, span), "", paths[1])
+    classes_path = paths.pop()
+    found = stored(sampled(texts, depth, gram, span), "", classes_path)
     place = F.xxhash64(*KEY, "at")
     real = F.when(F.col("hull").isNotNull(), place)
     buckets = found.groupBy("gram").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.min(real).alias("r0"), F.max(real).alias("r1"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
@@ -214,26 +267,20 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = S
     kind = F.when(F.col("hull").isNull() | ~(F.col("r0") < F.col("r1")), 0).when(F.col("h0") == F.col("h1"), 1).otherwise(2).cast("int")
     buckets = buckets.where(F.col("p0") != F.col("p1")).select("gram", "r0", "r1", "h0", "h1")
     alive = found.join(buckets, "gram").select(*KEY, F.struct("first", "last", "at", "gram", F.coalesce("hull", F.lit(0)).alias("hull"), kind.alias("kind")).alias("c"))
-    shared = stored(pruned(alive.groupBy(*KEY).agg(F.collect_set("c").alias("found")), depth + 1 - span - gram), "", paths[2])
-    drop_path(spark, paths[1])
+    shared = stored(pruned(alive.groupBy(*KEY).agg(F.collect_set("c").alias("found")), depth + 1 - span - gram), "", paths[1])
+    drop_path(spark, classes_path)
     free_shuffles(spark)
 
     opened = shared.select(*KEY, F.explode("open").alias("c")).select(*KEY, "c.*")
     here = F.xxhash64(*KEY, "at")
-    once = opened.groupBy("gram", "hull").agg((F.min(here) != F.max(here)).alias("many"), F.min(F.struct(*KEY, "first", "last", "at")).alias("w"))
-    wanted = once.select("w.k1", "w.k2", F.struct("gram", "hull", "many", "w.first", "w.last", "w.at").alias("c")).groupBy(*KEY).agg(F.collect_list("c").alias("wanted"))
-    wanted = stored(wanted.join(base, KEY).select(*KEY, F.col("doc_id").alias("id"), "wanted"), "", paths[3])
-    rows = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    texts_of = with_texts(texts, wanted, rows, sent).where(F.col("doc_id").eqNullSafe(F.col("id")))
-    named = stored(windows(texts_of, depth), "", paths[4])
-    again = named.groupBy("gram", "name").agg((F.max("many") | (F.min("hull") != F.max("hull"))).alias("again")).where("again").drop("again")
-    backs = named.join(again, ["gram", "name"]).groupBy("gram", "hull").agg(F.collect_set("back").alias("backs"))
-    single = opened.join(backs, ["gram", "hull"]).select(*KEY, F.explode("backs").alias("back"), "at").select(*KEY, (F.col("at") - F.col("back")).alias("a")).select(*KEY, "a", F.col("a").alias("b"))
+    once = opened.groupBy("gram", "hull").agg((F.min(here) != F.max(here)).alias("many"), F.min(F.struct(*KEY, "first", "last", "at")).alias("w")).select("gram", "hull", "many", "w.*")
+    backs = refined(texts, base, once, depth, steps, sent, paths).groupBy("gram", "hull").agg(F.collect_set(F.struct("back0", "back1")).alias("backs"))
+    single = opened.join(backs, ["gram", "hull"]).select(*KEY, F.explode("backs").alias("r"), "at").select(*KEY, (F.col("at") - F.col("r.back1")).alias("a"), (F.col("at") - F.col("r.back0")).alias("b"))
     runs = shared.select(*KEY, F.explode("runs").alias("r")).select(*KEY, "r.a", "r.b")
     several = base.where((F.col("copies") > 1) & (F.col("n") >= depth)).select(*KEY, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
     covered = merged(runs.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("runs")), depth)
-    out = stored(covered.join(several, KEY, "left_anti").unionByName(several), "", paths[5])
-    for p in paths[:1] + paths[2:5]:
+    out = stored(covered.join(several, KEY, "left_anti").unionByName(several), "suffix-spans")
+    for p in paths:
         drop_path(spark, p)
     free_shuffles(spark)
     return out
@@ -258,14 +305,14 @@ def merged(runs: DataFrame, depth: int) -> DataFrame:
     return runs.mapInArrow(run, "k1 long, k2 long, spans array<struct<a: int, b: int>>")
 
 
-def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = SPAN, sent: int = SENT) -> DataFrame:
+def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = SPAN, steps: tuple[int, ...] = STEPS, sent: int = SENT) -> DataFrame:
     """doc_id, n_bytes, spans: array<struct<a, b>>, kept: the text's bytes without the spans; one row for each of docs.
 
     Every byte goes that a string of `depth` bytes covers which also begins anywhere else, the first occurrence
     included. Cuts may fall inside a character, so kept is bytes. Null texts are empty; texts shorter than
     `depth` stay as they are; repeated rows of `depth` bytes or more lose all; rows without an id count as any; extra columns are ignored.
     """
-    spans = repeats(docs, depth, gram, span, sent)
+    spans = repeats(docs, depth, gram, span, steps, sent)
     rows = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     texts = keyed(docs)
     joined = texts.join(F.broadcast(spans), KEY, "left") if rows <= sent else texts.join(spans, KEY, "left")
