@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesmith.llm import containment, fixity, hard_negatives, kneser_ney, line_spread, mixing, passages, pii, quality_rules, simhash, suffix_dedup, token_files
+from sitesmith.llm import containment, conversation_repair, fixity, hard_negatives, kneser_ney, line_spread, mixing, passages, pii, quality_rules, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_pii": pii.op10_pii,
         "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
