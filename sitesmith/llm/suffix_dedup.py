@@ -33,8 +33,8 @@ DEPTH, GRAM, SPAN = 400, 64, 193
 STEPS = (16, 1)
 #: Windows of a text that are named at a time.
 BLOCK = 1 << 16
-#: Spans, or classes to look up, that are sent to all tasks; where a count finds more, texts are shuffled to them.
-SENT = 500_000
+#: Spans, or keys of texts (16 bytes), that are sent to all tasks; where a count finds more, all texts are shuffled to them.
+SENT = 1_000_000
 NO_END = (1 << 31) - 1
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(29)
@@ -219,6 +219,12 @@ def cut(texts: DataFrame, depth: int, step: int) -> DataFrame:
     return in_batches(texts.select("text", *KEY, "wanted"), run, "gram long, owner long, many boolean, k1 long, k2 long, at int, back0 int, back1 int, core long, hull long")
 
 
+def having(texts: DataFrame, found: DataFrame, sent: int) -> DataFrame:
+    """The texts whose keys are in found, so that others are not shuffled; all texts where more than `sent` keys would have to be sent to find out."""
+    keys = found.select(*KEY)
+    return texts.join(F.broadcast(keys), KEY, "left_semi") if keys.limit(sent + 1).count() <= sent else texts
+
+
 def refined(texts: DataFrame, base: DataFrame, items: DataFrame, depth: int, steps: tuple[int, ...], sent: int, paths: list[str]) -> DataFrame:
     """gram, hull, back0, back1: where the windows of the items begin, before their suffix, that are repeated.
 
@@ -227,10 +233,10 @@ def refined(texts: DataFrame, base: DataFrame, items: DataFrame, depth: int, ste
     wanted = items.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "hull", "many", "first", "last", "at")).alias("wanted"))
     paths.append(new_path(items.sparkSession, "suffix-wanted"))
     wanted = stored(wanted.join(base, KEY).select(*KEY, F.col("doc_id").alias("id"), "wanted"), "", paths[-1])
-    rows = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    found = texts.join(F.broadcast(wanted) if rows <= sent else wanted, KEY).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    found = having(texts, wanted, sent).join(wanted, KEY).where(F.col("doc_id").eqNullSafe(F.col("id")))
     paths.append(new_path(items.sparkSession, "suffix-runs"))
     runs = stored(cut(found, depth, steps[0]), "", paths[-1])
+    free_shuffles(items.sparkSession)
     buckets = runs.groupBy("gram", "core").agg(F.max("many").alias("several"), F.min("owner").alias("o0"), F.max("owner").alias("o1"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
     buckets = buckets.where(F.col("several") | (F.col("o0") != F.col("o1"))).select("gram", "core", (F.col("h0") == F.col("h1")).alias("same"))
     shared = runs.join(buckets, ["gram", "core"])
@@ -259,13 +265,21 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = S
     paths = [new_path(spark, x) for x in ("suffix-texts", "suffix-shared", "suffix-classes")]
     base = stored(texts.select("doc_id", *KEY, F.length("text").alias("n")).groupBy(*KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "", paths[0])
     classes_path = paths.pop()
-    found = stored(sampled(texts, depth, gram, span), "", classes_path)
+    # of a text that many rows hold one row is enough, where the list of such texts can be sent
+    twins = base.where("copies > 1").select(*KEY, F.col("doc_id").alias("id"), F.lit(True).alias("twin"))
+    once = texts
+    if twins.limit(sent + 1).count() <= sent:
+        once = texts.join(F.broadcast(twins), KEY, "left").where(F.col("twin").isNull() | F.col("doc_id").eqNullSafe(F.col("id")))
+    found = stored(sampled(once, depth, gram, span), "", classes_path)
     place = F.xxhash64(*KEY, "at")
     real = F.when(F.col("hull").isNotNull(), place)
     buckets = found.groupBy("gram").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.min(real).alias("r0"), F.max(real).alias("r1"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
     # 0: no two windows, 1: all classes have one name, 2: several names
     kind = F.when(F.col("hull").isNull() | ~(F.col("r0") < F.col("r1")), 0).when(F.col("h0") == F.col("h1"), 1).otherwise(2).cast("int")
     buckets = buckets.where(F.col("p0") != F.col("p1")).select("gram", "r0", "r1", "h0", "h1")
+    paths.append(new_path(spark, "suffix-buckets"))
+    buckets = stored(buckets, "", paths[-1])  # so that a hot bucket's rows can be split over tasks
+    free_shuffles(spark)
     alive = found.join(buckets, "gram").select(*KEY, F.struct("first", "last", "at", "gram", F.coalesce("hull", F.lit(0)).alias("hull"), kind.alias("kind")).alias("c"))
     shared = stored(pruned(alive.groupBy(*KEY).agg(F.collect_set("c").alias("found")), depth + 1 - span - gram), "", paths[1])
     drop_path(spark, classes_path)
@@ -314,8 +328,7 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span:
     """
     spans = repeats(docs, depth, gram, span, steps, sent)
     rows = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    texts = keyed(docs)
-    joined = texts.join(F.broadcast(spans), KEY, "left") if rows <= sent else texts.join(spans, KEY, "left")
+    joined = keyed(docs).join(F.broadcast(spans) if rows <= sent else spans, KEY, "left")
     joined = joined.select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.coalesce("spans", F.expr("cast(array() as array<struct<a: int, b: int>>)")).alias("spans"), "text")
     # what stands before each span, then what stands after the last
     begins = F.concat(F.array(F.lit(0)), F.col("spans.b"))
