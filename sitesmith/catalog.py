@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesmith.plans import artefacts, quoting, records, scanning, siting, storing
+from sitesmith.plans import artefacts, quoting, records, scanning, siting, storing, streams
 
-MODULES = (quoting, siting, scanning, storing, artefacts, records)
+MODULES = (quoting, siting, scanning, storing, artefacts, records, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

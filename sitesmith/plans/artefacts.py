@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitesmith.operators import hdbscan as hdb
 from sitesmith.operators import mesh, points
-from sitesmith.operators.graph import shared_table
+from sitesmith.operators.graph import shared_path, shared_table
 from sitesmith.plans import bind
 from sitesmith.plans.scanning import _EIGEN
 from sitesmith.sources import artefacts, ply
@@ -109,26 +109,25 @@ def terrain_artefacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {bind.CLOUD}, k(encoding) AS (VALUES ('little'), ('big'), ('ascii'))
-SELECT encoding, scan_id, idx, round(x::FLOAT::DOUBLE, 6) AS x, round(y::FLOAT::DOUBLE, 6) AS y, round(z::FLOAT::DOUBLE, 6) AS z, r::SMALLINT AS r, g::SMALLINT AS g, b::SMALLINT AS b FROM c, k WHERE r IS NOT NULL""")
+SELECT encoding, scan_id, idx, round(x::FLOAT::DOUBLE, 6) AS x, round(y::FLOAT::DOUBLE, 6) AS y, round(z::FLOAT::DOUBLE, 6) AS z, r::SMALLINT AS r, g::SMALLINT AS g, b::SMALLINT AS b FROM c, k""")
 def ply_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Each scan's coloured points as PLY files of all three encodings, parsed again."""
-    c = bind.cloud(spark, d).where("r is not null")
-    names = ["x", "y", "z", "r", "g", "b"]
-
-    def ascii_bytes(g: pd.DataFrame) -> bytes:
-        head = "".join(f"property {t} {n}\n" for t, n in (("float", "x"), ("float", "y"), ("float", "z"), ("uchar", "red"), ("uchar", "green"), ("uchar", "blue")))
-        lines = "".join(f"{v.x!r} {v.y!r} {v.z!r} {v.r} {v.g} {v.b}\n" for v in g.itertuples())
-        return f"ply\nformat ascii 1.0\nelement vertex {len(g)}\n{head}end_header\n{lines}".encode()
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, out = g.sort_values("idx"), []
-        for encoding, data in (("little", ply.ply_bytes(g, "<")), ("big", ply.ply_bytes(g, ">")), ("ascii", ascii_bytes(g))):
-            back = pd.concat(list(ply.parse(data)))
-            out.append(pd.DataFrame({"encoding": encoding, "scan_id": g["scan_id"].to_numpy(), "idx": g["idx"].to_numpy(), **{n: back[n].to_numpy() for n in names}}))
-        return pd.concat(out)
-
-    out = c.groupBy("scan_id").applyInPandas(run, "encoding string, scan_id int, idx long, x double, y double, z double, r short, g short, b short")
-    return out.select("encoding", "scan_id", "idx", *[F.round(n, 6).alias(n) for n in "xyz"], "r", "g", "b")
+    """Every scan written as PLY files of all three encodings, with and without colours, and read by ranges of few vertices."""
+    c, out = bind.cloud(spark, d), None
+    for encoding in ("little", "big", "ascii"):
+        path = shared_path(spark, f"ply-{encoding}")
+        ply.write_scans(c, path, encoding, vertices=1000)
+        back = ply.read_scans(spark, path, vertices=300, range_bytes=8192).withColumn("encoding", F.lit(encoding))
+        out = back if out is None else out.unionByName(back)
+    return out.select("encoding", F.col("scan_id").cast("int").alias("scan_id"), "idx", *[F.round(n, 6).alias(n) for n in "xyz"], "r", "g", "b")
+
+
+@query(f"WITH {bind.BIG_CLOUD} SELECT scan_id, min(x::FLOAT::DOUBLE) AS min_x, max(x::FLOAT::DOUBLE) AS max_x, min(z::FLOAT::DOUBLE) AS min_z, max(z::FLOAT::DOUBLE) AS max_z, count(*) AS n FROM c GROUP BY scan_id")
+def ply_extent(spark: SparkSession, d: str) -> DataFrame:
+    """Extents from written scans; y and the colours are never converted."""
+    path = shared_path(spark, "ply-extent")
+    ply.write_scans(bind.big_cloud(spark, d), path, vertices=50_000)
+    back = ply.read_scans(spark, path, vertices=20_000, columns="scan_id string, x double, z double")
+    return back.groupBy(F.col("scan_id").cast("int").alias("scan_id")).agg(*[f(c).alias(f"{n}_{c}") for c in "xz" for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("n"))
 
 
 @query(f"WITH {bind.ZONES} SELECT project_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'quoted' ELSE 'draft' END AS status, zone_id, CASE WHEN label <> 'wall' THEN label END AS label, w * h AS area FROM z JOIN orders ON o_orderkey = project_id")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 WINDOW_MS, MAX_IN_WINDOW, MAX_IN_SESSION = 60_000, 60, 200
 JOB_ORDER = ["pending", "processing", "complete", "failed"]
@@ -30,77 +32,152 @@ def decide(times: list[int], kept: list[int], window_ms: int = WINDOW_MS, limit:
     return ok, left, reset, log
 
 
+def count_up(times: list[int], kept: list[int], limit: int, idle_ms: int | None) -> tuple[list[int], list[bool], list[int]]:
+    """Counts over sorted times, whether each is within the limit, and [count, last time] after.
+
+    A key that was idle for idle_ms starts anew, but for one that has used up its limit, which stays refused.
+    """
+    n, last = kept or (0, 0)
+    counts, ok = [], []
+    for t in times:
+        if idle_ms is not None and n < limit and t - last >= idle_ms:
+            n = 0
+        n, last = n + 1, t
+        counts.append(n)
+        ok.append(n <= limit)
+    return counts, ok, [n, last]
+
+
 OUT = "key string, id long, ms long, allowed boolean, remaining int, reset_ms long"
+SESSION_OUT = "key string, id long, ms long, count int, allowed boolean"
 
 
-def sliding_limit(requests: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_IN_WINDOW) -> DataFrame:
-    """Batch form over (key, id, ms): rows sorted by key and time stream through each task; a log of at most `limit` times is all that is held, so a hot key needs no memory."""
+class Sliding:
+    """The sliding-window log as a step over a key's requests in order."""
+
+    def __init__(self, window_ms: int, limit: int):
+        self.window_ms, self.limit = window_ms, limit
+
+    def __call__(self, times: list[int], held: list[int]) -> tuple[dict, list[int]]:
+        ok, left, reset, log = decide(times, held, self.window_ms, self.limit)
+        return {"allowed": np.array(ok, bool), "remaining": np.array(left, np.int32), "reset_ms": np.array(reset, np.int64)}, log
+
+    def forget_at(self, held: list[int]) -> int | None:
+        return held[-1] + self.window_ms if held else None
+
+
+class Session:
+    """The session counter as a step over a key's requests in order."""
+
+    def __init__(self, limit: int, idle_ms: int | None):
+        self.limit, self.idle_ms = limit, idle_ms
+
+    def __call__(self, times: list[int], held: list[int]) -> tuple[dict, list[int]]:
+        counts, ok, held = count_up(times, held, self.limit, self.idle_ms)
+        return {"count": np.array(counts, np.int32), "allowed": np.array(ok, bool)}, held
+
+    def forget_at(self, held: list[int]) -> int | None:
+        return held[1] + self.idle_ms if held and self.idle_ms is not None and held[0] < self.limit else None
+
+
+def requests_of(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").cast("string"), F.col("id").cast("long"), F.col("ms").cast("long")).where("key is not null and ms is not null")
+
+
+def in_order(requests: DataFrame, step, ddl: str) -> DataFrame:
+    """Batch form: rows sorted by key and time stream through each task; what a step holds is bounded, so a hot key needs no memory."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, log = None, []
+        key, held = None, []
         for f in frames:
             parts = []
             for k, g in f.groupby("key", sort=False):
                 if k != key:
-                    key, log = k, []
-                ok, left, reset, log = decide(g["ms"].tolist(), log, window_ms, limit)
-                parts.append(g.assign(allowed=ok, remaining=left, reset_ms=reset))
+                    key, held = k, []
+                cols, held = step(g["ms"].tolist(), held)
+                parts.append(g.assign(**cols))
             if parts:
                 yield pd.concat(parts)
 
-    rows = requests.select(F.col("key").cast("string"), F.col("id").cast("long"), F.col("ms").cast("long")).where("key is not null")
-    return rows.repartition("key").sortWithinPartitions("key", "ms", "id").mapInPandas(run, OUT)
+    return requests_of(requests).repartition("key").sortWithinPartitions("key", "ms", "id").mapInPandas(run, ddl)
 
 
-def stream_sliding_limit(requests: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_IN_WINDOW) -> DataFrame:
-    """Streaming form: one log per key in state, which is dropped a window after the key's last request."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class InOrder(StatefulProcessor):
+    """Streaming form: a key's requests wait in state until the watermark has passed them and are then decided in order of
+    time and id, so that what is decided depends neither on the order of arrival nor on batches, and a replay gives the same rows.
 
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        for f in frames:
-            g = f.sort_values(["ms", "id"])
-            ok, left, reset, log = decide(g["ms"].tolist(), log, window_ms, limit)
-            yield g.assign(allowed=ok, remaining=left, reset_ms=reset)[["key", "id", "ms", "allowed", "remaining", "reset_ms"]]
-        state.update((log,))
-        state.setTimeoutDuration(window_ms)
+    A timer stands at the first waiting request, or, where none waits, at the time at which the step's
+    state may be forgotten: a key without requests leaves no state behind.
+    """
 
-    rows = requests.select(F.col("key").cast("string"), F.col("id").cast("long"), F.col("ms").cast("long")).where("key is not null")
-    return rows.groupBy("key").applyInPandasWithState(run, OUT, "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def __init__(self, step):
+        self.step = step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, id long")
+        self.held = handle.getListState("held", "value long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for f in rows:
+            self.waiting.appendList(list(zip(f["ms"].tolist(), f["id"].tolist())))
+            self.handle.registerTimer(int(f["ms"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in waiting if r[0] <= now]
+        held = [r[0] for r in self.held.get()] if self.held.exists() else []
+        if due:
+            times, ids = map(list, zip(*due))
+            cols, held = self.step(times, held)
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(due), dtype=object), "id": np.array(ids, np.int64), "ms": np.array(times, np.int64), **cols})
+        if len(waiting) > len(due):
+            self.waiting.put(waiting[len(due) :])
+            self.handle.registerTimer(int(waiting[len(due)][0]))
+        elif due:
+            self.waiting.clear()
+        gone = self.step.forget_at(held)
+        if gone is not None and gone <= now and len(waiting) == len(due):
+            self.held.clear()
+        elif due and held:
+            self.held.put([(v,) for v in held])
+            if gone is not None and len(waiting) == len(due):
+                self.handle.registerTimer(int(gone))
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(requests: DataFrame, step, ddl: str, late: str) -> DataFrame:
+    """Requests that come later than `late` behind the newest are left out, as no decision waits for them."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = requests_of(requests).withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
+    return rows.groupBy("key").transformWithStateInPandas(InOrder(step), ddl, "Append", "EventTime")
 
 
-def session_limit(requests: DataFrame, limit: int = MAX_IN_SESSION) -> DataFrame:
-    """Lifetime count per key, refusals included; allowed up to `limit`."""
-    n = F.row_number().over(Window.partitionBy("key").orderBy("ms", "id"))
-    return requests.select("key", "id", "ms").withColumn("count", n).withColumn("allowed", F.col("count") <= limit)
+def sliding_limit(requests: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_IN_WINDOW) -> DataFrame:
+    """Batch form of the sliding-window log over (key, id, ms)."""
+    return in_order(requests, Sliding(window_ms, limit), OUT)
 
 
-def stream_session_limit(requests: DataFrame, limit: int = MAX_IN_SESSION, idle_ms: int = 86_400_000) -> DataFrame:
-    """Streaming form: a count per key in state. A key that was idle for idle_ms is forgotten, but for one that has used up its
-    limit, which stays refused."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def stream_sliding_limit(requests: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_IN_WINDOW, late: str = "10 seconds") -> DataFrame:
+    """Streaming form; a log is forgotten a window after the key's last request."""
+    return stateful(requests, Sliding(window_ms, limit), OUT, late)
 
-    def run(key, frames, state: GroupState):
-        n = state.get[0] if state.exists else 0
-        if state.hasTimedOut:
-            if n < limit:
-                state.remove()
-            else:
-                state.setTimeoutDuration(idle_ms)
-            return
-        for f in frames:
-            g = f.sort_values(["ms", "id"])
-            count = range(n + 1, n + 1 + len(g))
-            n += len(g)
-            yield g.assign(count=list(count), allowed=[c <= limit for c in count])[["key", "id", "ms", "count", "allowed"]]
-        state.update((n,))
-        state.setTimeoutDuration(idle_ms)
 
-    rows = requests.select(F.col("key").cast("string"), F.col("id").cast("long"), F.col("ms").cast("long"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, id long, ms long, count int, allowed boolean", "n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def session_limit(requests: DataFrame, limit: int = MAX_IN_SESSION, idle_ms: int | None = None) -> DataFrame:
+    """Count per key, refusals included; allowed up to `limit`. Without idle_ms counts never end."""
+    if idle_ms is not None:
+        return in_order(requests, Session(limit, idle_ms), SESSION_OUT)
+    n = F.row_number().over(Window.partitionBy("key").orderBy("ms", "id"))
+    return requests.select("key", "id", "ms").withColumn("count", n).withColumn("allowed", F.col("count") <= limit)
+
+
+def stream_session_limit(requests: DataFrame, limit: int = MAX_IN_SESSION, idle_ms: int = 86_400_000, late: str = "10 seconds") -> DataFrame:
+    """Streaming form; a key that was idle for idle_ms is forgotten, but for one that has used up its limit."""
+    return stateful(requests, Session(limit, idle_ms), SESSION_OUT, late)
 
 
 def job_states(events: DataFrame) -> DataFrame:
@@ -110,11 +187,6 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(last.alias("v"), F.count("*").alias("events")).select("job_id", F.col("v.status").alias("status"), F.col("v.ms").alias("ms"), "events")
 
 
-def on_upload(spark, folder: str, schema: str, handle, checkpoint: str):
-    """Start a stream that hands each batch of new Parquet files in a folder to handle(df, batch_id)."""
-    return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str | None = None) -> DataFrame:
     """Events by type and tumbling (or sliding) window of `ts`; with `late`, a watermark for streams."""
     e = events.withWatermark("ts", late) if late else events
