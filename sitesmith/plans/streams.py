@@ -173,7 +173,7 @@ def processed(cloud: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {_CLEAN} SELECT * FROM (WITH c AS (SELECT * FROM cc), {scanning._PLANES}, {scanning._SPLIT}
-SELECT scan_id, count(*) AS points, count(*) FILTER (WHERE is_ground) AS ground, count(*) FILTER (WHERE NOT is_ground) AS obstacles, any_value(inliers) AS inliers, any_value(iteration)::INT AS iteration FROM sp GROUP BY scan_id)""")
+SELECT scan_id, count(*) AS points, count(*) FILTER (WHERE is_ground) AS ground, count(*) FILTER (WHERE NOT is_ground) AS obstacles, any_value(inliers) AS inliers, any_value(iteration)::INT AS iteration FROM sp JOIN gp USING (scan_id) GROUP BY scan_id)""")
 def upload_scans(spark: SparkSession, d: str) -> DataFrame:
     """Scans uploaded as PLY files, taken four at a time by a stream that is stopped between batches, each processed once."""
     folder, path, checkpoint = (shared_path(spark, t) for t in ("uploaded", "processed", "processed-checkpoint"))
