@@ -288,8 +288,9 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, span: int = S
     opened = shared.select(*KEY, F.explode("open").alias("c")).select(*KEY, "c.*")
     here = F.xxhash64(*KEY, "at")
     once = opened.groupBy("gram", "hull").agg((F.min(here) != F.max(here)).alias("many"), F.min(F.struct(*KEY, "first", "last", "at")).alias("w")).select("gram", "hull", "many", "w.*")
-    paths.append(new_path(spark, "suffix-backs"))
-    backs = stored(refined(texts, base, once, depth, steps, sent, paths).groupBy("gram", "hull").agg(F.collect_set(F.struct("back0", "back1")).alias("backs")), "", paths[-1])
+    backs_path = new_path(spark, "suffix-backs")
+    backs = stored(refined(texts, base, once, depth, steps, sent, paths).groupBy("gram", "hull").agg(F.collect_set(F.struct("back0", "back1")).alias("backs")), "", backs_path)
+    paths.append(backs_path)
     single = opened.join(backs, ["gram", "hull"]).select(*KEY, F.explode("backs").alias("r"), "at").select(*KEY, (F.col("at") - F.col("r.back1")).alias("a"), (F.col("at") - F.col("r.back0")).alias("b"))
     runs = shared.select(*KEY, F.explode("runs").alias("r")).select(*KEY, "r.a", "r.b")
     several = base.where((F.col("copies") > 1) & (F.col("n") >= depth)).select(*KEY, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
