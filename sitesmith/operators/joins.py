@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from itertools import product
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesmith.operators.graph import shared_table, small
+from sitesmith.operators.tiles import around, block_names, cell_names, tiled
 
 
 def _cells(df: DataFrame, dims: list[str], size: float, prefix: str) -> DataFrame:
@@ -46,22 +48,25 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: list[str
     return j.withColumn("d2", distance2(dims)).where(F.col("d2") <= radius * radius).select("a", "b", "d2")
 
 
-#: Points of a tile that are compared with a tile and its halo at a time.
-ROWS_AT_ONCE = 1024
+#: Distances that are computed at a time.
+AT_ONCE = 1 << 22
+#: Levels by which a tile can be finer than tiles of even density would be.
+FINER = 6
 
 
-def _tile_knn(own: np.ndarray, near: np.ndarray, k: int, reach: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile_knn(own: np.ndarray, near: np.ndarray, k: int, reach: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each own row its k nearest of near, which is in order of key: (own row, near row, d2) and which own rows are certain.
 
-    A row is certain if its k-th distance is within reach of its tile's halo, or near holds the whole group.
+    A row is certain if its k-th distance is below the reach of its tile's halo, or near holds the whole group.
     """
     rows, cols, d2s, sure = [], [], [], np.zeros(len(own), bool)
     enough, k = len(near) >= k, min(k, len(near))
-    for at in range(0, len(own), ROWS_AT_ONCE):
-        part = own[at : at + ROWS_AT_ONCE]
+    step = max(1, min(1024, AT_ONCE // max(1, len(near))))
+    for at in range(0, len(own), step):
+        part = own[at : at + step]
         d2 = sum((part[:, i, None] - near[None, :, i]) ** 2 for i in range(own.shape[1]))
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        sure[at : at + len(part)] = whole | (enough & (np.sqrt(kth) <= reach))
+        sure[at : at + len(part)] = whole | (enough & (np.sqrt(kth) < reach))
         i, j = np.nonzero(d2 <= kth[:, None])
         v = d2[i, j]
         order = np.lexsort((j, v, i))
@@ -69,85 +74,84 @@ def _tile_knn(own: np.ndarray, near: np.ndarray, k: int, reach: float, whole: bo
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         ok = (rank < k) & sure[at + i]
         rows.append(i[ok] + at), cols.append(j[ok]), d2s.append(v[ok])
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), sure
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(d2s), sure
 
 
-def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, cell: float | None = None, tile_points: int = 512, max_rounds: int = 60, fold: tuple[Callable, str] | None = None) -> DataFrame:
+def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, tile_points: int = 2048, fold: tuple[Callable, str] | None = None) -> DataFrame:
     """The k nearest of each point in its `by` group, itself included: the by columns, key, other, d2, rank (1..k), ties by the other's key.
 
-    Keys are numbers or strings, different within a group. Space is cut into tiles of about tile_points points at the group's mean density; every tile meets a copy
-    of the points in a halo around it and compares in blocks of bounded size. What lies beyond
+    Keys are numbers or strings, different within a group. Space is cut into tiles of at most tile_points points
+    (finer where points are dense); every tile meets a copy of the points in a halo around it and compares in blocks of bounded size. What lies beyond
     the halo cannot be nearer than the halo is wide, so points whose k-th neighbour is within
-    that are done. The others go again with twice the halo, which only copies points into the
-    tiles that still have some. Groups of k points or fewer give all they have.
+    that are done. The others go again with twice the halo, copied into the
+    tiles that still have some. Groups of k points or fewer give all they have; a group of tile_points or fewer is one tile.
 
     With fold, a function and the DDL of what it returns, neighbours are summed up where they are found: given the
     coordinates, the starts of each point's stretch of neighbours, their places and squared distances, it gives columns of a value
     a point, and the rows are the by columns, key and these.
     """
-    by = by or []
+    by, n = by or [], len(dims)
     kinds = dict(points.dtypes)
     cols = points.select(F.col(key).alias("key"), *by, *[F.col(d).cast("double").alias(d) for d in dims])
-    # the side of a tile in each group, as if its points filled a line, a plane or a space, whichever is largest
-    spans = F.reverse(F.array_sort(F.array(*[F.max(d) - F.min(d) for d in dims])))
-    filled = [F.pow(reduce(lambda x, y: x * y, [spans[i] for i in range(m)]) * tile_points / F.count("*"), F.lit(1.0 / m)) for m in range(1, len(dims) + 1)]
-    side = F.greatest(*filled) if len(filled) > 1 else filled[0]
-    sizes = cols.groupBy(*by).agg(F.count("*").alias("__n"), F.when(side > 0, side).otherwise(1.0).alias("__s"))
-    if by:
-        cols = cols.join(small(shared_table(sizes, "sizes")), by)
-    else:
-        n, s = sizes.first()
-        cols = cols.withColumns({"__n": F.lit(n), "__s": F.lit(float(s))})
-    halo = float(cell) if cell else (min(1.0, 4.0 * k / tile_points)) ** (1.0 / len(dims))
-    wide = lambda h: F.lit(h) if cell else F.lit(h) * F.col("__s")
+    widest = F.greatest(*[F.max(d) - F.min(d) for d in dims]) if n > 1 else F.max(dims[0]) - F.min(dims[0])
+    sizes = shared_table(cols.groupBy(*by).agg(F.count("*").alias("__n"), F.when(widest > 0, widest).otherwise(1.0).alias("__w"), *[F.min(d).alias(f"__m{i}") for i, d in enumerate(dims)]), "sizes")
+    most = sizes.agg(F.max("__n")).first()[0] or 0
+    cols = cols.join(small(sizes), by) if by else cols.withColumns({c: F.lit(v) for c, v in (sizes.first() or {}).asDict().items()})
+    depth = max(0, math.ceil(math.log2(max(1.0, most / tile_points)) / n)) + FINER if most > tile_points else 0
     for i, d in enumerate(dims):
-        cols = cols.withColumn(f"__c{i}", F.floor(F.col(d) / F.col("__s")).cast("long"))
-    tile = [f"__c{i}" for i in range(len(dims))]
+        cell = F.floor((F.col(d) - F.col(f"__m{i}")) / F.col("__w") * F.lit(1 << depth)).cast("long")
+        cols = cols.withColumn(f"__c{i}", F.least(cell, F.lit((1 << depth) - 1).cast("long")))
+    cells, blocks = cell_names(n), block_names(n)
+    cols = cols.select("key", *by, *dims, *cells, "__n", "__w")
     made = fold[1] if fold else f"other {kinds[key]}, d2 double, rank int"
     values = [x.split()[0] for x in made.split(", ")]
     out_ddl = f"key {kinds[key]}, {''.join(f'{c} {kinds[c]}, ' for c in by)}{made}, left boolean"
-    rest, done = cols.withColumn("__own", F.lit(True)), None
-
-    for _ in range(max_rounds):
-        reach = halo
-
-        def run(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values("key").reset_index(drop=True)
-            own = g.index[g["__own"]].to_numpy()
-            i, j, d2, sure = _tile_knn(g.loc[own, dims].to_numpy(float), g[dims].to_numpy(float), k, reach if cell else reach * g["__s"].iloc[0], len(g) == g["__n"].iloc[0])
-            keys = g["key"].to_numpy()
-            lost = keys[own[~sure]]
-            if fold:
-                starts = np.flatnonzero(np.diff(i, prepend=-1))
-                cols = fold[0](g[dims].to_numpy(float), starts, j, d2) if len(starts) else {c: np.empty(0) for c in values}
-                out, empty = pd.DataFrame({"key": keys[own[i[starts]]], **cols, "left": False}), dict.fromkeys(values, 0)
-            else:
-                rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
-                out, empty = pd.DataFrame({"key": keys[own[i]], "other": keys[j], "d2": d2, "rank": rank.astype(np.int32), "left": False}), {"other": lost, "d2": 0.0, "rank": np.int32(0)}
-            both = pd.concat([out, pd.DataFrame({"key": lost, **empty, "left": True})]) if len(lost) else out
-            for c in by:
-                both[c] = g[c].iloc[0]
-            return both[["key", *by, *values, "left"]]
-
-        # copies into the tiles around that the halo reaches
-        moved = cols
-        for d, c in zip(dims, tile):
-            low, high = F.floor((F.col(d) - wide(halo)) / F.col("__s")).cast("long"), F.floor((F.col(d) + wide(halo)) / F.col("__s")).cast("long")
-            moved = moved.withColumn("__t", F.explode(F.sequence(low, high))).withColumn(c + "h", F.col("__t")).drop("__t")
-        away = reduce(lambda x, y: x | y, [F.col(c) != F.col(c + "h") for c in tile])
-        copies = moved.where(away).select("key", *by, *dims, *[F.col(c + "h").alias(c) for c in tile], "__n", "__s", F.lit(False).alias("__own"))
-        live = rest.select(*by, *tile).distinct()
-        inside = cols.withColumn("__own", F.lit(True)) if done is None else cols.join(rest.select(*by, "key", F.lit(True).alias("__r")), [*by, "key"], "left").withColumn("__own", F.coalesce("__r", F.lit(False))).drop("__r")
-        pool = inside.select("key", *by, *dims, *tile, "__n", "__s", "__own").unionByName(copies).join(live, [*by, *tile], "left_semi")
-        got = shared_table(pool.groupBy(*by, *tile).applyInPandas(run, out_ddl), "knn")
-        part = got.where("not left").drop("left")
-        done = part if done is None else done.unionByName(part)
-        open_ = got.where("left").select(*by, "key")
-        if open_.isEmpty():
+    part = min(1.0, 2 * (k / tile_points) ** (1.0 / n))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("key").reset_index(drop=True)
+        own = g.index[g["__own"]].to_numpy()
+        side = g["__w"].iloc[0] / (1 << depth)
+        i, j, d2, sure = _tile_knn(g.loc[own, dims].to_numpy(float), g[dims].to_numpy(float), k, g["__reach"].iloc[0] * side, len(g) == g["__n"].iloc[0])
+        keys = g["key"].to_numpy()
+        lost = keys[own[~sure]]
+        if fold:
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            found = fold[0](g[dims].to_numpy(float), starts, j, d2) if len(starts) else {c: np.empty(0) for c in values}
+            out, empty = pd.DataFrame({"key": keys[own[i[starts]]], **found, "left": False}), dict.fromkeys(values, 0)
+        else:
+            rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+            out, empty = pd.DataFrame({"key": keys[own[i]], "other": keys[j], "d2": d2, "rank": rank.astype(np.int32), "left": False}), {"other": lost, "d2": 0.0, "rank": np.int32(0)}
+        both = pd.concat([out, pd.DataFrame({"key": lost, **empty, "left": True})]) if len(lost) else out
+        for c in by:
+            both[c] = g[c].iloc[0]
+        return both[["key", *by, *values, "left"]]
+
+    if not depth:  # every group is one tile
+        pool = cols.withColumns({"__own": F.lit(True), "__reach": F.lit(0.0)})
+        return (pool.groupBy(*by) if by else pool.groupBy(F.lit("all"))).applyInPandas(run, out_ddl).drop("left")
+
+    cols, tiles = tiled(cols, by, n, depth, tile_points)
+    cols = shared_table(cols, "tiled")
+    rest, done = None, None
+    while True:
+        reach = F.ceil(F.lit(part) * F.pow(F.lit(2.0), F.col("__l")))
+        pool = around(cols.drop("__l", *blocks), tiles, by, n, depth, reach).withColumn("__own", F.col("__gap") == 0)
+        if rest is not None:
+            mine = rest.select(*by, "key", F.lit(True).alias("__open"))
+            pool = pool.join(mine, [*by, "key"], "left").withColumn("__own", F.col("__own") & F.coalesce("__open", F.lit(False))).drop("__open")
+        pool = pool.withColumn("__reach", reach.cast("double"))
+        got = shared_table(pool.groupBy(*by, "__l", *blocks).applyInPandas(run, out_ddl), "knn")
+        settled = got.where("not left").drop("left")
+        done = settled if done is None else done.unionByName(settled)
+        rest = got.where("left").select(*by, "key")
+        if rest.isEmpty():
             return done
-        rest = cols.join(open_, [*by, "key"], "left_semi").withColumn("__own", F.lit(True))
-        halo *= 2
-    raise RuntimeError("nearest neighbours did not settle")
+        # halos double until they hold a whole group, so this ends; only tiles with open points go on
+        tiles = shared_table(cols.join(rest, [*by, "key"], "left_semi").groupBy(*by, "__l", *blocks).agg(F.count("*").alias("__m")), "open-tiles")
+        part *= 2
 
 
 def band_join(df: DataFrame, bands: DataFrame, value: str, low: str = "low", high: str = "high", cell: float = 1.0) -> DataFrame:

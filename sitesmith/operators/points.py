@@ -6,6 +6,7 @@ cell, so one scan spreads over tasks. z is up.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from sitesmith.functions import text
 from sitesmith.functions.geo import FEET_PER_METRE
 from sitesmith.operators.graph import components, shared_table, small
 from sitesmith.operators.joins import knn_join, radius_join
+from sitesmith.operators.tiles import around, block_names, cell_names, tiled
 
 XYZ = ["x", "y", "z"]
 
@@ -147,27 +149,205 @@ def split_ground(points: DataFrame, planes: DataFrame, threshold: float) -> Data
     return p.withColumn("is_ground", F.abs(off) <= threshold).withColumn("height", off).drop("nx", "ny", "nz", "d")
 
 
-def dbscan(points: DataFrame, eps: float = 0.3, min_points: int = 50) -> DataFrame:
+#: Points of a tile in which clusters are looked for.
+CLUSTER_TILE = 16_384
+
+
+def dbscan(points: DataFrame, eps: float = 0.3, min_points: int = 50, tile_points: int = CLUSTER_TILE) -> DataFrame:
     """(scan_id, idx, x, y, z) -> scan_id, idx, is_core, cluster_id: 0, 1, ... by smallest core idx in a scan; null for noise.
 
     Core points have min_points neighbours within eps, themselves included. Cores within eps of each
     other are one cluster; a border point joins the one with the lowest number that has a core in reach.
+
+    Space is cut into cells whose points are all within eps of each other (side eps / sqrt(3)), so that a cell of
+    min_points is all core and the cores of a cell are one node. Tiles of cells are balanced by counts; each finds its
+    nodes and their links in numpy, joins linked nodes at once and gives a row for each node and each border
+    point. What is linked across tiles meets by node. A scan of tile_points or fewer is one tile and is done there.
+    """
+    side = eps / math.sqrt(3) * (1 - 1e-9)
+    kind = dict(points.dtypes)["scan_id"]
+    sizes = shared_table(points.groupBy("scan_id").agg(F.count("*").alias("__n"), *[F.min(d).alias(f"__m{i}") for i, d in enumerate(XYZ)], *[F.max(d).alias(f"__x{i}") for i, d in enumerate(XYZ)]), "sizes")
+    p = points.select("scan_id", "idx", *XYZ).join(small(sizes.select("scan_id", *[f"__m{i}" for i in range(3)])), "scan_id")
+    cells, blocks = cell_names(3), block_names(3)
+    for c, d, i in zip(cells, XYZ, range(3)):
+        p = p.withColumn(c, F.floor((F.col(d) - F.col(f"__m{i}")) / side).cast("long"))
+    p = p.select("scan_id", F.col("idx").cast("long").alias("idx"), *XYZ, *cells)
+    most, widest = sizes.agg(F.max("__n"), F.max(F.greatest(*[F.col(f"__x{i}") - F.col(f"__m{i}") for i in range(3)]))).first()
+    out_ddl = f"scan_id {kind}, idx long, node long, is_core boolean, link boolean"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        found = cells_linked(g[XYZ].to_numpy(float), g[cells].to_numpy(np.int64), g["idx"].to_numpy(), g["__gap"].to_numpy(), eps, min_points)
+        return pd.DataFrame(found).assign(scan_id=g["scan_id"].iloc[0])[["scan_id", "idx", "node", "is_core", "link"]]
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        f = pd.DataFrame(cells_linked(g[XYZ].to_numpy(float), g[cells].to_numpy(np.int64), g["idx"].to_numpy(), np.zeros(len(g), np.int64), eps, min_points))
+        f = f[~f["link"]]
+        number = {n: i for i, n in enumerate(np.unique(f["node"][f["is_core"]]).tolist())}  # a node is named by its cluster's smallest core
+        f = f.assign(cluster_id=f["node"].map(number)).groupby("idx").agg({"is_core": "max", "cluster_id": "min"})
+        out = g[["scan_id", "idx"]].join(f, on="idx")
+        return out.assign(is_core=out["is_core"].fillna(False).astype(bool), cluster_id=out["cluster_id"].astype("Int32"))
+
+    ddl = f"scan_id {kind}, idx long, is_core boolean, cluster_id int"
+    if not most or most <= tile_points:
+        return p.groupBy("scan_id").applyInPandas(whole, ddl)
+    depth = max(3, math.ceil(math.log2(max(2.0, widest / side + 1))))
+    placed, tiles = tiled(p, ["scan_id"], 3, depth, tile_points, least=2)
+    placed = shared_table(placed.drop("__l", *blocks), "tiled")
+    pool = around(placed, tiles, ["scan_id"], 3, depth, F.lit(4))  # two cells hold all that is within eps; two more their neighbours
+    found = shared_table(pool.groupBy("scan_id", "__l", *blocks).applyInPandas(run, out_ddl), "nodes")
+    node = lambda c: F.struct("scan_id", F.col(c).alias("idx"))
+    links = found.where("link").select(node("idx").alias("a"), node("node").alias("b"))
+    cores = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    label = components(links.where("a <> b").distinct(), cores)
+    number = label.select("label").distinct().withColumn("cluster_id", F.row_number().over(Window.partitionBy("label.scan_id").orderBy("label.idx")) - 1)
+    number = shared_table(label.join(number, "label").select(F.col("id.scan_id").alias("scan_id"), F.col("id.idx").alias("node"), "cluster_id"), "clusters")
+    of = found.where("not link").join(number, ["scan_id", "node"]).groupBy("scan_id", "idx").agg(F.max("is_core").alias("is_core"), F.min("cluster_id").alias("cluster_id"))
+    out = placed.select("scan_id", "idx").join(of, ["scan_id", "idx"], "left")
+    return out.select("scan_id", "idx", F.coalesce("is_core", F.lit(False)).alias("is_core"), F.col("cluster_id").cast("int").alias("cluster_id"))
+
+
+#: Pairs of points that are compared at a time.
+PAIRS = 1 << 21
+AROUND = np.array([(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3)])
+
+
+def pairs_of(left: np.ndarray, starts: np.ndarray, counts: np.ndarray):
+    """Each left row with the rows starts .. starts + counts of the right side, some PAIRS at a time: (left rows, right rows)."""
+    at, ends = 0, np.cumsum(counts)
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = counts[at:to]
+        yield np.repeat(left[at:to], n), np.repeat(starts[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = to
+
+
+def cells_linked(xyz: np.ndarray, cells: np.ndarray, idx: np.ndarray, gap: np.ndarray, eps: float, min_points: int) -> dict[str, np.ndarray]:
+    """Nodes of a tile and its halo. gap: cells between a point and the tile; what lies within two has all its neighbours here.
+
+    Rows (idx, node, is_core, link): own core points with their node, own border points with each node in reach, and, as links,
+    the nodes (named by their smallest core) with the smallest node that they are linked with here.
     """
-    pts = points.select(F.struct("scan_id", "idx").alias("id"), "scan_id", "idx", *XYZ)
-    links = radius_join(pts, pts, eps, XYZ, by=["scan_id"]).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    links = shared_table(links, "eps-links")
-    core = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("id")
-    core = shared_table(core, "cores")
-    from_core = links.join(core.withColumnRenamed("id", "a"), "a")
-    inner = from_core.join(core.withColumnRenamed("id", "b"), "b").where("a <> b")
-    label = components(inner, core)
-    seeds = label.select("label").distinct()
-    # a row a cluster; numbered within its scan
-    number = seeds.withColumn("cluster_id", F.row_number().over(Window.partitionBy("label.scan_id").orderBy("label.idx")) - 1)
-    cores = shared_table(label.join(number, "label").select("id", "cluster_id"), "clusters")
-    border = from_core.join(cores.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("cluster_id").alias("border"))
-    out = pts.select("id").join(cores, "id", "left").join(border, "id", "left")
-    return out.select("id.scan_id", "id.idx", F.col("cluster_id").isNotNull().alias("is_core"), F.coalesce("cluster_id", "border").alias("cluster_id"))
+    order = np.lexsort((idx, *cells.T[::-1]))
+    xyz, cells, idx, gap = xyz[order], cells[order], idx[order], gap[order]
+    new = np.append(True, (np.diff(cells, axis=0) != 0).any(axis=1)) if len(cells) else np.empty(0, bool)
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(cells)))
+    cell_of = np.cumsum(new) - 1
+    low = cells.min(0) - 2
+    span = cells.max(0) - low + 3
+    code = lambda c: ((c - low) @ np.array([span[1] * span[2], span[2], 1])).astype(np.int64)
+    codes, near = code(cells[starts]), gap[starts]
+
+    def beside(offset: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the cells `who` those with a cell at the offset, and that cell."""
+        want = codes[who] + int(offset @ np.array([span[1] * span[2], span[2], 1]))
+        at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+        ok = codes[at] == want
+        return who[ok], at[ok]
+
+    def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((xyz[a] - xyz[b]) ** 2).sum(1) <= eps * eps
+
+    def row_pairs(rows: np.ndarray, of: np.ndarray, to_cells: np.ndarray, limit: int | None = None, skip: int = 0):
+        """Rows (each of the cell of[i]) with the points of to_cells."""
+        n = counts[to_cells] - skip if limit is None else np.clip(counts[to_cells] - skip, 0, limit)
+        some = n > 0
+        yield from pairs_of(rows[some], (starts[to_cells] + skip)[some], n[some])
+
+    core = counts[cell_of] >= min_points
+    open_rows = np.flatnonzero(~core & (gap <= 2))
+    seen = np.zeros(len(xyz), np.int64)
+    seen[open_rows] = counts[cell_of[open_rows]]
+    for offset in AROUND:
+        if not offset.any() or not len(open_rows):
+            continue
+        own_cells = np.unique(cell_of[open_rows])
+        have, other = beside(offset, own_cells)
+        target = np.full(len(starts), -1)
+        target[have] = other
+        skip = 0
+        rows = open_rows[target[cell_of[open_rows]] >= 0]
+        while len(rows):  # a dense cell some points at a time, until a point has enough
+            to = target[cell_of[rows]]
+            for a, b in row_pairs(rows, rows, to, 256, skip):
+                seen += np.bincount(a[within(a, b)], minlength=len(xyz))
+            skip += 256
+            rows = rows[(seen[rows] < min_points) & (counts[to] > skip)]
+        open_rows = open_rows[seen[open_rows] < min_points]
+    core |= (seen >= min_points) & (gap <= 2)
+    core &= gap <= 2
+
+    # nodes: cells with a core, named by their smallest core
+    core_rows = np.flatnonzero(core)
+    core_cells, first = np.unique(cell_of[core_rows], return_index=True)
+    c_starts, c_counts = first, np.diff(np.append(first, len(core_rows)))
+    place = np.full(len(starts), -1)
+    place[core_cells] = np.arange(len(core_cells))
+    name = np.array([idx[core_rows[a : a + n]].min() for a, n in zip(c_starts, c_counts)], np.int64)
+    up = np.arange(len(core_cells))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for offset in AROUND[len(AROUND) // 2 + 1 :]:
+        have, other = beside(offset, core_cells)
+        a, b = place[have], place[other]
+        ok = (b >= 0) & ((near[have] == 0) | (near[other] == 0))
+        a, b = a[ok], b[ok]
+        small_ = c_counts[a] * c_counts[b] <= 4096
+        linked = np.zeros(len(a), bool)
+        pick = np.flatnonzero(small_)
+        # each core of a with all cores of b, for pairs of small nodes at once
+        mine = np.repeat(pick, c_counts[a[pick]])
+        rows = np.repeat(c_starts[a[pick]] - (np.cumsum(c_counts[a[pick]]) - c_counts[a[pick]]), c_counts[a[pick]]) + np.arange(c_counts[a[pick]].sum())
+        for at, y in pairs_of(np.arange(len(mine)), c_starts[b[mine]], c_counts[b[mine]]):
+            linked[mine[at][within(core_rows[rows[at]], core_rows[y])]] = True
+        for i in np.flatnonzero(~small_):
+            linked[i] = root(a[i]) == root(b[i]) or any_within(xyz[core_rows[c_starts[a[i]] : c_starts[a[i]] + c_counts[a[i]]]], xyz[core_rows[c_starts[b[i]] : c_starts[b[i]] + c_counts[b[i]]]], eps)
+        for i in np.flatnonzero(linked):
+            x, y = root(a[i]), root(b[i])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    roots = np.array([root(i) for i in range(len(up))], np.int64)
+    least = np.full(len(up), np.iinfo(np.int64).max)
+    np.minimum.at(least, roots, name)
+    joined = least[roots]
+
+    own_core = core_rows[gap[core_rows] == 0]
+    rim = np.flatnonzero(~core & (gap == 0))
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    for offset in AROUND:
+        have, other = beside(offset, np.unique(cell_of[rim])) if len(rim) else (np.empty(0, int), np.empty(0, int))
+        target = np.full(len(starts), -1)
+        target[have] = place[other]
+        rows = rim[target[cell_of[rim]] >= 0]
+        to = target[cell_of[rows]]
+        for a, b in pairs_of(np.arange(len(rows)), c_starts[to], c_counts[to]):
+            ok = within(rows[a], core_rows[b])
+            hit = np.unique(a[ok])
+            got.append((idx[rows[hit]], joined[to[hit]]))
+    edge_i, edge_n = (np.concatenate(x) for x in zip(*got)) if got else (np.empty(0, np.int64),) * 2
+    edge = np.unique(np.stack([edge_i, edge_n]), axis=1)
+    return {
+        "idx": np.concatenate([idx[own_core], edge[0], name]), "node": np.concatenate([joined[place[cell_of[own_core]]], edge[1], joined]),
+        "is_core": np.repeat([True, False, False], [len(own_core), edge.shape[1], len(name)]), "link": np.repeat([False, False, True], [len(own_core), edge.shape[1], len(name)]),
+    }
+
+
+def any_within(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether two sets have a pair within eps; points farther than eps from the other's box are left out first."""
+    for x, y in ((0, 1), (1, 0)):
+        sets = [a, b]
+        gap = np.maximum(np.maximum(sets[y].min(0) - sets[x], sets[x] - sets[y].max(0)), 0)
+        sets[x] = sets[x][(gap**2).sum(1) <= eps * eps]
+        a, b = sets
+        if not len(a) or not len(b):
+            return False
+    step = max(1, PAIRS // len(b))
+    return any((((a[i : i + step, None] - b[None]) ** 2).sum(2) <= eps * eps).any() for i in range(0, len(a), step))
 
 
 def first_come(points: DataFrame, eps: float, clusters: DataFrame) -> DataFrame:
