@@ -82,7 +82,7 @@ def entities(mention: Column, kind: Column) -> Column:
     the title's gender, a family name with all that bear it.
     """
     one = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
-    rest = F.substring(mention, F.length(title_of(mention)) + 1, F.lit(1000))
+    rest = F.substring(mention, F.length(title_of(mention)) + 1, F.length(mention))
     given = F.when(mention.rlike(FEMALE), "given_f").otherwise("given_m")
     name = F.when(rest.contains(" "), F.array(one(given, F.substring_index(rest, " ", 1)), one(F.lit("family"), F.substring_index(rest, " ", -1)))).otherwise(F.array(one(F.lit("family"), rest)))
     canon = (
@@ -262,7 +262,7 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
     made = raws.join(replacements(raws, key), ["kind", "canon"]).groupBy("raw", "mkind").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("parts"))
     made = made.withColumn("parts", F.col("parts")["surrogate"]).withColumn("new", rendered(F.col("raw"), F.col("mkind"), F.col("parts")))
     # what a name is without its title: the whole of it, and the family name
-    bare = F.substring(F.col("raw"), F.length(title_of(F.col("raw"))) + 1, F.lit(1000))
+    bare = F.substring(F.col("raw"), F.length(title_of(F.col("raw"))) + 1, F.length("raw"))
     also = F.when(F.col("mkind") == "name", F.array_distinct(F.array(F.struct(bare.alias("raw"), F.array_join("parts", " ").alias("new")), F.struct(F.substring_index(bare, " ", -1).alias("raw"), F.element_at("parts", -1).alias("new")))))
     made = made.select("raw", "new", also.alias("also"))
     lists = found.join(made, "raw").groupBy("doc_id").agg(F.collect_set(F.struct("raw", "new")).alias("own"), F.array_distinct(F.flatten(F.collect_set("also"))).alias("also"))
