@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitesmith.functions import money
+from sitesmith.functions import geo, money
 
 TIERS = ["good", "better", "best"]
 
@@ -147,3 +147,41 @@ def value_scores(scenarios: DataFrame) -> DataFrame:
     """(area, minutes, integration, polish) -> minutes x stars / 10 by area, with the total in a last row."""
     s = scenarios.withColumn("value", F.col("minutes") * (F.col("integration") + F.col("polish")) / 10.0)
     return s.rollup("area").agg(F.count("*").alias("scenarios"), F.round(F.sum("value"), 4).alias("value")).select(F.coalesce("area", F.lit("total")).alias("area"), "scenarios", "value")
+
+
+# What a planter of each tier is made of: name, unit, price of a unit or, with a spacing, of a plant, depth and spacing in inches.
+PLANTER_MATERIALS = [
+    ("good", "Echeveria 'Lola' (8\" spacing)", "sq_ft", 5.00, None, 8),
+    ("good", "Planting soil", "cu_yd", 45.00, 6.0, None),
+    ("better", "Carex praegracilis (12\" spacing)", "sq_ft", 8.00, None, 12),
+    ("better", "Planting soil", "cu_yd", 45.00, 6.0, None),
+    ("best", "Mixed annuals (6\" spacing)", "sq_ft", 3.00, None, 6),
+    ("best", "Planting soil", "cu_yd", 45.00, 6.0, None),
+    ("best", "Steel edging", "linear_ft", 3.25, None, None),
+]
+
+
+def planter_materials(spark) -> DataFrame:
+    """tier and a material a row; plants are priced by the square foot that their spacing leaves them."""
+    rows = [(t, f"{t}/{n}", n, u, p, d, s) for t, n, u, p, d, s in PLANTER_MATERIALS]
+    m = spark.createDataFrame(rows, "tier string, material_id string, name string, unit string, plant_price double, depth_inches double, spacing int")
+    by_foot = F.when(F.col("spacing").isNotNull(), F.col("plant_price") * 144 / (F.col("spacing") * F.col("spacing"))).otherwise(F.col("plant_price"))
+    return m.select("tier", "material_id", "name", "unit", F.round(by_foot, 4).cast("decimal(12,4)").alias("price"), "depth_inches")
+
+
+def gap_quotes(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A scan's gap as a planter bed between its two features, in three tiers: line items with project_id the scan.
+
+    gaps: a row a scan, as of points.best_gap().
+    """
+    at = lambda n: candidates.select("scan_id", F.col("cluster_id").alias(f"feature_{n}"), F.col("cx").alias(f"{n}x"), F.col("cy").alias(f"{n}y"))
+    j = gaps.join(at("a"), ["scan_id", "feature_a"]).join(at("b"), ["scan_id", "feature_b"])
+    ring = geo.gap_rectangle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("clear_length_ft"), F.col("clear_width_ft"))
+    zones = j.select(F.col("scan_id").alias("project_id"), F.col("scan_id").cast("string").alias("zone_id"), F.lit("Planter").alias("label"), ring.alias("ring"))
+    zones = zones.withColumn("area", geo.ring_area(F.col("ring"))).withColumn("perimeter", geo.ring_perimeter(F.col("ring")))
+    materials = planter_materials(gaps.sparkSession)
+    none = [F.lit(None).cast("decimal(12,4)").alias("price_override"), F.lit(None).cast("double").alias("depth_override")]
+    # a handful of fixed rows: each zone gets the materials of every tier
+    tiers = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(f"{t}/{n}").alias("material_id")) for t, n, *_ in PLANTER_MATERIALS])).alias("m")
+    assignments = zones.select("project_id", "zone_id", tiers).select("project_id", "zone_id", "m.tier", "m.material_id", *none)
+    return line_items(assignments, zones, materials)

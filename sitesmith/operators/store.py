@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +86,78 @@ def get_objects(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("key").agg(F.max_by("data", "version").alias("data"))
 
 
-def write_replaced(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Overwrite only the partitions that `new` has."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+class Conflict(RuntimeError):
+    """Another replacement was committed first."""
+
+
+class Groups:
+    """A table on files whose groups (rows of equal keys) are replaced whole and seen at once.
+
+    Rows lie in a folder a write; a manifest, itself a table, names for each group the write that it lives in. A
+    replacement writes its rows, then a manifest, and one rename makes that the newest. What was opened
+    before goes on with the older one; a group that is replaced by nothing is in no manifest any more. Keys are not null.
+    """
+
+    def __init__(self, spark, path: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _store(self):
+        return self._at("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The newest manifest, -1 where there is none."""
+        store, at = self._store(), self._at("manifests")
+        names = [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+        return max([int(n[1:]) for n in names if n.startswith("v")], default=-1)
+
+    def manifest(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/manifests/v{version:09d}")
+
+    def replace(self, rows: DataFrame, targets: DataFrame | None = None) -> int:
+        """Replace the groups of `targets` (those of rows where it is None) by rows, of which others than the targets' are left out; the new version."""
+        version, write = self.version(), f"w{uuid.uuid4().hex}"
+        if targets is not None:
+            targets = targets.select(*self.keys).distinct()
+            rows = rows.join(targets, self.keys, "left_semi").select(*rows.columns)
+        rows.write.parquet(f"{self.path}/rows/write={write}")
+        mine = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/write={write}").select(*self.keys).distinct()
+        live = mine.withColumn("write", F.lit(write))
+        if version >= 0:
+            live = self.manifest(version).join(mine if targets is None else targets, self.keys, "left_anti").unionByName(live)
+        live.write.parquet(f"{self.path}/manifests/_{write}")
+        self._commit(f"manifests/_{write}", version + 1)
+        return version + 1
+
+    def _commit(self, made: str, version: int) -> None:
+        store, to = self._store(), self._at(f"manifests/v{version:09d}")
+        if store.exists(to) or not store.rename(self._at(made), to):
+            store.delete(self._at(made), True)
+            raise Conflict(f"version {version} of {self.path} is there already")
+
+    def read(self, schema: str | None = None) -> DataFrame:
+        """The rows as of now, and as of now for as long as the result is used."""
+        version = self.version()
+        if version < 0:
+            raise FileNotFoundError(self.path)
+        live = self.manifest(version)
+        rows = self.spark.read.option("basePath", f"{self.path}/rows")
+        rows = (rows.schema(f"{schema}, write string") if schema else rows).parquet(f"{self.path}/rows")
+        return rows.join(live, [*self.keys, "write"], "left_semi").drop("write")
+
+    def vacuum(self) -> int:
+        """Delete writes that the newest manifest does not name, and older manifests; who still reads these fails."""
+        version, store, n = self.version(), self._store(), 0
+        live = {r["write"] for r in self.manifest(version).select("write").distinct().collect()}  # a row a write
+        for f in store.listStatus(self._at("rows")):
+            if f.getPath().getName().removeprefix("write=") not in live:
+                n += store.delete(f.getPath(), True)
+        for f in store.listStatus(self._at("manifests")):
+            if f.getPath().getName() != f"v{version:09d}":
+                store.delete(f.getPath(), True)
+        return n
 
 
 def conflicts(df: DataFrame, keys: list[str]) -> DataFrame:

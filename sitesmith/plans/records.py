@@ -103,6 +103,22 @@ def bulk_zone_replace(spark: SparkSession, d: str) -> DataFrame:
     return store.replaced_for(z, targets, new, ["project_id"])
 
 
+@query(f"""WITH {bind.ZONES}, a AS (SELECT project_id, count(*) AS zones FROM z GROUP BY project_id),
+b AS (SELECT project_id, CASE WHEN project_id % 20 = 4 THEN 1 ELSE zones END AS zones FROM a WHERE project_id % 20 <> 14)
+SELECT 'before' AS seen, * FROM a UNION ALL SELECT 'after', * FROM b""")
+def zone_replace_on_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same replacement on stored zones: a reader that was there before sees the old zones, one that comes after the new."""
+    z = bind.zones(spark, d).select("project_id", "zone_id", "label")
+    table = store.Groups(spark, shared_path(spark, "zone-groups"), ["project_id"])
+    table.replace(z)
+    before = table.read()
+    targets = before.where("project_id % 10 = 4").select("project_id").distinct()
+    new = targets.where("project_id % 20 = 4").select("project_id", F.concat(F.lit("new-"), F.col("project_id").cast("string")).alias("zone_id"), F.lit("lawn").alias("label"))
+    table.replace(new, targets)
+    n = lambda df, seen: df.groupBy("project_id").agg(F.count("*").alias("zones")).select(F.lit(seen).alias("seen"), "project_id", "zones")
+    return n(before, "before").unionByName(n(table.read(), "after"))
+
+
 @query("SELECT 'projects/' || o_orderkey || '/status.txt' AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'closed ' || o_orderkey ELSE o_orderstatus END AS text FROM orders")
 def object_store(spark: SparkSession, d: str) -> DataFrame:
     """An object a project, a fifth of which are put a second time; what is read is the newest."""

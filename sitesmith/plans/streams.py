@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesmith.operators import points
-from sitesmith.operators.graph import shared_path
+from sitesmith.operators import points, quote
+from sitesmith.operators.graph import shared_path, shared_table
 from sitesmith.plans import bind, scanning, storing
 from sitesmith.sources import ply
 from sitesmith.streaming import jobs, limits, once
@@ -182,3 +182,39 @@ def upload_scans(spark: SparkSession, d: str) -> DataFrame:
     ply.write_scans(cloud.withColumns({c: F.lit(None).cast("int") for c in "rgb"}), folder)
     stopped_once(lambda before: once.on_upload(spark, folder, path, checkpoint, processed, files=4, before=before))
     return once.read_once(spark, path, SCAN_OUT).withColumn("scan_id", F.col("scan_id").cast("int"))
+
+
+def scene(spark: SparkSession, d: str) -> DataFrame:
+    """Scans of a paved site: half the line items are ground, the others stand on seven heaps four metres apart."""
+    k, p, cents = F.col("l_orderkey"), F.col("l_partkey"), F.round(F.col("l_extendedprice") * 100).cast("long")
+    ground = k % 2 == 0
+    x = F.when(ground, k * 7 % 301 / 10.0).otherwise(F.col("l_linenumber") * 4 + cents % 50 / 100.0)
+    y = F.when(ground, p % 101 / 10.0).otherwise(5 + p % 50 / 100.0)
+    z = F.when(ground, F.col("l_suppkey") % 3 / 1000.0).otherwise(0.3 + cents % 101 / 100.0)
+    li = bind.t(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("scan_id"), *[c.cast("float").cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))], k.alias("k"), "l_linenumber", p.alias("p"), cents.alias("c"))
+    idx = F.row_number().over(Window.partitionBy("scan_id").orderBy("k", "l_linenumber", "p", "c")) - 1
+    return li.select("scan_id", idx.cast("long").alias("idx"), "x", "y", "z", *[F.lit(None).cast("int").alias(c) for c in "rgb"])
+
+
+SCENE = points.ScanConfig(0.5, scanning.K, 3.0, scanning.ITER, scanning.THR)
+EPS, MIN, FAR = 0.83, 2, 30.0
+
+
+@query()
+def scan_to_quote(spark: SparkSession, d: str) -> DataFrame:
+    """From PLY files to quotes: read, cleaned, ground split off, obstacles clustered, the largest gap found and planted in three tiers.
+
+    The SQL of all steps in one takes minutes on the smallest tables; the test holds what it gave there.
+    """
+    folder = shared_path(spark, "site-scans")
+    ply.write_scans(scene(spark, d), folder)
+    cloud = shared_table(ply.read_scans(spark, folder).withColumn("scan_id", F.col("scan_id").cast("int")), "site-cloud")
+    split, planes = points.process_scan(cloud, SCENE)
+    obstacles = shared_table(split.where("not is_ground"), "obstacles")
+    clusters = points.dbscan(obstacles, EPS, MIN).drop("is_core")
+    cands = shared_table(points.candidates(obstacles.join(clusters, ["scan_id", "idx"]), planes), "candidates")
+    best = shared_table(points.best_gap(points.gaps(cands, planes, FAR)), "best-gaps")
+    items = quote.gap_quotes(best, cands)
+    total = items.groupBy("project_id", "tier").agg(F.count("*").alias("items"), F.sum("line_total").alias("total"))
+    j = total.join(best.select(F.col("scan_id").alias("project_id"), "area_sqft"), "project_id")
+    return j.select(F.col("project_id").alias("scan_id"), "tier", "items", F.round("area_sqft", 4).alias("area_sqft"), F.round(F.col("total").cast("double"), 0).alias("dollars"))

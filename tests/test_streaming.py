@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitesmith.streaming import limits
+from sitesmith.streaming import limits, once
 
 
 def requests(spark):
@@ -12,18 +12,49 @@ def requests(spark):
     return spark.createDataFrame(rows, "key string, id long, ms long")
 
 
-def run_stream(spark, build, tmp_path, name):
-    requests(spark).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema("key string, id long, ms long").parquet(str(tmp_path / "in"))
-    q = build(src).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return sorted(map(tuple, spark.table(name).collect()))
+def run_stream(spark, build, tmp_path, name, before=None):
+    """The requests in files by time, the last of which pushes the watermark past all others."""
+    rows = requests(spark)
+    path = str(tmp_path / "in")
+    for low, high in ((0, 4000), (4000, 100_000), (100_000, 10**9)):
+        rows.where((rows.ms >= low) & (rows.ms < high)).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([("last", -1, 10**12)], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    src = spark.readStream.schema("key string, id long, ms long").option("maxFilesPerTrigger", 1).parquet(path)
+    stream = build(src)
+    once.until_done(lambda: once.write_once(stream, str(tmp_path / f"out-{name}"), str(tmp_path / f"cp-{name}"), before=before))
+    cols = [f"{c} {t}" for c, t in stream.dtypes]
+    return sorted(tuple(r) for r in once.read_once(spark, str(tmp_path / f"out-{name}"), ", ".join(cols)).where("key <> 'last'").collect())
+
+
+def stopper(at):
+    stopped = []
+
+    def before(batch):
+        if batch == at and not stopped:
+            stopped.append(batch)
+            raise InterruptedError
+
+    return before
 
 
 def test_sliding_limit(spark, tmp_path):
+    """Equal to the batch twin, though the stream is stopped before its ledger has a batch."""
     batch = sorted(map(tuple, limits.sliding_limit(requests(spark), 60_000, 5).collect()))
     assert [r[3] for r in batch if r[0] == "a"] == [True] * 5 + [False] * 3 and all(r[3] for r in batch if r[0] == "b")
-    assert run_stream(spark, lambda s: limits.stream_sliding_limit(s, 60_000, 5), tmp_path, "sliding") == batch
+    assert run_stream(spark, lambda s: limits.stream_sliding_limit(s, 60_000, 5), tmp_path, "sliding", stopper(2)) == batch
+
+
+def test_late_rows_and_replays(spark, tmp_path):
+    """Rows out of order within the delay are decided in order of time; one that comes after the watermark is left out."""
+    path = str(tmp_path / "in")
+    files = [[("a", 1, 5000), ("a", 2, 1000)], [("a", 3, 3000), ("a", 4, 30_000)], [("a", 6, 2000), ("a", 5, 28_000)], [("last", -1, 10**12)]]
+    for f in files:
+        spark.createDataFrame(f, "key string, id long, ms long").coalesce(1).write.mode("append").parquet(path)
+    src = spark.readStream.schema("key string, id long, ms long").option("maxFilesPerTrigger", 1).parquet(path)
+    s = limits.stream_sliding_limit(src, 10_000, 2, late="5 seconds")
+    once.write_once(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = [tuple(r)[1:4] for r in once.read_once(spark, str(tmp_path / "out"), limits.OUT).where("key = 'a'").orderBy("ms").collect()]
+    assert got == [(2, 1000, True), (3, 3000, True), (1, 5000, False), (5, 28_000, True), (4, 30_000, True)]
 
 
 def test_refusals_are_not_recorded():
@@ -31,16 +62,45 @@ def test_refusals_are_not_recorded():
     assert ok == [True, True, False, True, True]
 
 
+def test_idle_sessions_start_anew_but_for_used_up_ones():
+    assert limits.count_up([0, 10, 200, 201, 202, 900], [], 3, 100) == ([1, 2, 1, 2, 3, 4], [True] * 5 + [False], [4, 900])
+
+
 def test_session_limit(spark, tmp_path):
-    batch = sorted(map(tuple, limits.session_limit(requests(spark), 3).collect()))
-    assert run_stream(spark, lambda s: limits.stream_session_limit(s, 3), tmp_path, "session") == batch
+    batch = sorted(map(tuple, limits.session_limit(requests(spark), 3, 50_000).collect()))
+    assert [r[3] for r in batch if r[0] == "b"] == [1, 1, 1, 1]
+    assert run_stream(spark, lambda s: limits.stream_session_limit(s, 3, 50_000), tmp_path, "session", stopper(1)) == batch
+
+
+def test_a_batch_is_written_once(spark, tmp_path):
+    """The ledger's batches are not run again; one that was written and not entered is written over."""
+    path, runs = str(tmp_path / "in"), []
+    for i in range(3):
+        spark.createDataFrame([(i,)], "n long").coalesce(1).write.mode("append").parquet(path)
+    src = spark.readStream.schema("n long").option("maxFilesPerTrigger", 1).parquet(path)
+
+    def handle(df):
+        runs.append(1)
+        return df
+
+    start = lambda: once.write_once(src, str(tmp_path / "out"), str(tmp_path / "cp"), handle, before=stop)
+    stop = stopper(1)
+    once.until_done(start)
+    assert sorted(r["n"] for r in once.read_once(spark, str(tmp_path / "out"), "n long").collect()) == [0, 1, 2] and len(runs) == 4
+    once.write_once(src, str(tmp_path / "out"), str(tmp_path / "another-checkpoint"), handle).awaitTermination()
+    assert once.read_once(spark, str(tmp_path / "out"), "n long").count() == 3 and len(runs) == 4
+    assert once.read_once(spark, str(tmp_path / "nothing"), "n long").count() == 0
+
+
+def test_scan_to_quote(spark):
+    """The whole way from files, held against what DuckDB's SQL of all its steps gave on these tables."""
+    from conftest import SF
 
+    from sitesmith.plans import streams
 
-def test_upload_trigger(spark, tmp_path):
-    requests(spark).write.parquet(str(tmp_path / "drop"))
-    seen = []
-    limits.on_upload(spark, str(tmp_path / "drop"), "key string, id long, ms long", lambda df, n: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(60)
-    assert sum(seen) == 12
+    want = {0: (5.4499, 66.0, 48.0, 240.0), 1: (3.8383, 46.0, 34.0, 220.0), 2: (5.6556, 68.0, 50.0, 243.0), 3: (6.1443, 74.0, 54.0, 250.0)}
+    rows = [(s, t, 3 if t == "best" else 2, a, d) for s, (a, *by) in want.items() for t, d in zip(("good", "better", "best"), by)]
+    assert sorted(map(tuple, streams.scan_to_quote(spark, SF).collect())) == sorted(rows)
 
 
 def test_job_state_of_equal_times(spark):

@@ -109,12 +109,27 @@ def test_inliers_in_groups(spark, monkeypatch):
     assert points.ground_planes(c, 50, 0.02).collect() == want and want
 
 
-def test_write_replaced(spark, tmp_path):
-    path = f"file://{tmp_path}/zones"
-    old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "project_id long, zone string")
-    store.write_replaced(old, path, ["project_id"])
-    store.write_replaced(spark.createDataFrame([(2, "d"), (3, "e")], "project_id long, zone string"), path, ["project_id"])
-    assert sorted((r["project_id"], r["zone"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (1, "b"), (2, "d"), (3, "e")]
+def test_groups_are_replaced_at_once(spark, tmp_path):
+    """A reader keeps what it has opened; a group can end up empty; rows of other groups do not slip in; who comes second fails."""
+    t = store.Groups(spark, f"file://{tmp_path}/zones", ["project_id"])
+    make = lambda rows: spark.createDataFrame(rows, "project_id long, zone string")
+    rows = lambda df: sorted((r["project_id"], r["zone"]) for r in df.collect())
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    assert t.replace(make([(1, "a"), (1, "b"), (2, "c")])) == 0
+    before = t.read()
+    t.replace(make([(2, "d"), (3, "e")]))
+    middle = t.read()
+    t.replace(make([(2, "x"), (4, "stray")]), make([(1, ""), (2, "")]))
+    assert rows(before) == [(1, "a"), (1, "b"), (2, "c")] and rows(middle) == [(1, "a"), (1, "b"), (2, "d"), (3, "e")]
+    assert rows(t.read()) == [(2, "x"), (3, "e")]
+    t.replace(make([]), make([(2, "")]))
+    assert rows(t.read()) == [(3, "e")]
+    late = store.Groups(spark, f"file://{tmp_path}/zones", ["project_id"])
+    late.version = lambda: 0
+    with pytest.raises(store.Conflict):
+        late.replace(make([(9, "late")]))
+    assert rows(t.read()) == [(3, "e")] and t.vacuum() == 4 and rows(t.read()) == [(3, "e")]
 
 
 def test_knn_fold_is_the_sum_of_neighbours(spark):
