@@ -119,9 +119,12 @@ class InOrder(StatefulProcessor):
         self.held = handle.getListState("held", "value long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()  # 0 before there is one
         for f in rows:
-            self.waiting.appendList(list(zip(f["ms"].tolist(), f["id"].tolist())))
-            self.handle.registerTimer(int(f["ms"].min()))
+            f = f[f["ms"] > now]
+            if len(f):
+                self.waiting.appendList(list(zip(f["ms"].tolist(), f["id"].tolist())))
+                self.handle.registerTimer(int(f["ms"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -151,7 +154,7 @@ class InOrder(StatefulProcessor):
 
 
 def stateful(requests: DataFrame, step, ddl: str, late: str) -> DataFrame:
-    """Requests that come later than `late` behind the newest are left out, as no decision waits for them."""
+    """Requests that come later than `late` behind the newest are left out, as no decision waits for them; so are those of 1970's first moment and before."""
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = requests_of(requests).withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
     return rows.groupBy("key").transformWithStateInPandas(InOrder(step), ddl, "Append", "EventTime")

@@ -8,7 +8,7 @@ from sitesmith.streaming import limits, once
 
 
 def requests(spark):
-    rows = [("a", i, 1000 * i) for i in range(8)] + [("b", 100 + i, 61_000 * i) for i in range(4)]
+    rows = [("a", i, 1000 * i + 1) for i in range(8)] + [("b", 100 + i, 61_000 * i + 1) for i in range(4)]
     return spark.createDataFrame(rows, "key string, id long, ms long")
 
 
