@@ -72,8 +72,14 @@ def compare_tiers(items: DataFrame) -> DataFrame:
     return per.select("project_id", "zone_id", "label", *TIERS)
 
 
-def zone_rollup(items: DataFrame) -> DataFrame:
-    """Per project, tier and zone: its materials by name, joined by commas, and their number."""
+def zone_rollup(items: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Per project, tier and zone: its materials by name, joined by commas, and their number.
+
+    With a catalog (material_id, name), names are those of today's catalog; what is not in it keeps the line item's own name.
+    """
+    if catalog is not None:
+        now = catalog.select("material_id", F.col("name").alias("__name"))
+        items = items.join(now, "material_id", "left").withColumn("material_name", F.coalesce("__name", "material_name")).drop("__name")
     return items.groupBy("project_id", "tier", "zone_id", "label").agg(
         F.array_join(F.array_sort(F.collect_list(F.coalesce("material_name", F.lit("")))), ", ").alias("materials"), F.count("*").alias("n_materials")
     )

@@ -85,6 +85,14 @@ def tier_comparison(spark: SparkSession, d: str) -> DataFrame:
     return quote.compare_tiers(items.withColumn("zone_id", F.concat_ws("/", "label", F.col("material_id") % 5)))
 
 
+@query(f"""WITH {_priced()}, cat AS (SELECT p_partkey AS material_id, upper(p_name) AS name FROM part WHERE p_partkey % 13 <> 0)
+SELECT project_id, tier, zone_id, label, string_agg(coalesce(cat.name, material_name), ', ' ORDER BY coalesce(cat.name, material_name)) AS materials, count(*) AS n_materials FROM i LEFT JOIN cat USING (material_id) GROUP BY ALL""")
+def rollup_names(spark: SparkSession, d: str) -> DataFrame:
+    """Materials of zones by the names of a catalog that has changed since the quote, in which a thirteenth of them is gone."""
+    catalog = bind.materials(spark, d, gaps=True).select("material_id", F.upper("name").alias("name"))
+    return quote.zone_rollup(_items(spark, d), catalog)
+
+
 ROLLUP = "ru AS (SELECT project_id, tier, zone_id, label, string_agg(coalesce(material_name, ''), ', ' ORDER BY material_name) AS materials, count(*) AS n_materials FROM i GROUP BY ALL)"
 
 
