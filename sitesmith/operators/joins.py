@@ -79,14 +79,14 @@ def _tile_knn(own: np.ndarray, near: np.ndarray, k: int, reach: float, whole: bo
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(d2s), sure
 
 
-def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, tile_points: int = 2048, fold: tuple[Callable, str] | None = None) -> DataFrame:
+def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str] | None = None, tile_points: int = 512, fold: tuple[Callable, str] | None = None) -> DataFrame:
     """The k nearest of each point in its `by` group, itself included: the by columns, key, other, d2, rank (1..k), ties by the other's key.
 
     Keys are numbers or strings, different within a group. Space is cut into tiles of at most tile_points points
     (finer where points are dense); every tile meets a copy of the points in a halo around it and compares in blocks of bounded size. What lies beyond
     the halo cannot be nearer than the halo is wide, so points whose k-th neighbour is within
     that are done. The others go again with twice the halo, copied into the
-    tiles that still have some. Groups of k points or fewer give all they have; a group of tile_points or fewer is one tile.
+    tiles that still have some. Groups of k points or fewer give all they have; where no group is larger than four tiles each is one.
 
     With fold, a function and the DDL of what it returns, neighbours are summed up where they are found: given the
     coordinates, the starts of each point's stretch of neighbours, their places and squared distances, it gives columns of a value
@@ -99,7 +99,7 @@ def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str]
     sizes = shared_table(cols.groupBy(*by).agg(F.count("*").alias("__n"), F.when(widest > 0, widest).otherwise(1.0).alias("__w"), *[F.min(d).alias(f"__m{i}") for i, d in enumerate(dims)]), "sizes")
     most = sizes.agg(F.max("__n")).first()[0] or 0
     cols = cols.join(small(sizes), by) if by else cols.withColumns({c: F.lit(v) for c, v in (sizes.first() or {}).asDict().items()})
-    depth = max(0, math.ceil(math.log2(max(1.0, most / tile_points)) / n)) + FINER if most > tile_points else 0
+    depth = max(0, math.ceil(math.log2(max(1.0, most / tile_points)) / n)) + FINER if most > 4 * tile_points else 0
     for i, d in enumerate(dims):
         cell = F.floor((F.col(d) - F.col(f"__m{i}")) / F.col("__w") * F.lit(1 << depth)).cast("long")
         cols = cols.withColumn(f"__c{i}", F.least(cell, F.lit((1 << depth) - 1).cast("long")))
@@ -108,7 +108,7 @@ def knn_join(points: DataFrame, k: int, dims: list[str], key: str, by: list[str]
     made = fold[1] if fold else f"other {kinds[key]}, d2 double, rank int"
     values = [x.split()[0] for x in made.split(", ")]
     out_ddl = f"key {kinds[key]}, {''.join(f'{c} {kinds[c]}, ' for c in by)}{made}, left boolean"
-    part = min(1.0, 2 * (k / tile_points) ** (1.0 / n))
+    part = min(1.0, (4.0 * k / tile_points) ** (1.0 / n))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("key").reset_index(drop=True)
