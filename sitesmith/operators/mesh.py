@@ -92,37 +92,68 @@ def triangulate(points: DataFrame) -> DataFrame:
     return points.groupBy("scan_id").applyInPandas(run, f"scan_id {kind}, tri long, i0 long, i1 long, i2 long")
 
 
-def decimate(vertices: DataFrame, triangles: DataFrame, target: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """Vertex clustering to at most `target` triangles a scan: vertices of a cell become their mean, triangles that collapse go.
+#: Cell sizes of the pyramid: each this much larger than the one before.
+GROWTH, LEVELS = 1.25, 40
+
+
+def corners(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """triangles with the places p0, p1, p2 of their corners; those without one of them are left out."""
+    t = triangles
+    for i in range(3):
+        t = t.join(vertices.select("scan_id", F.col("idx").alias(f"i{i}"), F.struct("x", "y", "z").alias(f"p{i}")), ["scan_id", f"i{i}"])
+    return t
+
+
+def levels(vertices: DataFrame, triangles: DataFrame, target: int) -> DataFrame:
+    """Scans of more than `target` triangles -> scan_id, level, cell: the finest of LEVELS cell sizes that leaves `target` triangles or fewer.
 
-    Meshes at or below the target pass unchanged. The cell starts from the area a triangle may
-    have and grows until every scan meets the target; all steps are aggregations.
+    One pass over the triangles counts all sizes of the pyramid together: a triangle survives those
+    that put its corners in three cells. Where none does, level is LEVELS and cell null: all in one.
     """
-    n = triangles.groupBy("scan_id").agg(F.count("*").alias("tris"))
+    n = triangles.groupBy("scan_id").agg(F.count("*").alias("tris")).where(F.col("tris") > target)
     box = vertices.groupBy("scan_id").agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
-    grow = 1.0
-    for _ in range(40):
-        cell = box.join(n, "scan_id").select("scan_id", F.when(F.col("tris") > target, grow * F.sqrt(2 * F.greatest("area", F.lit(1e-12)) / target)).alias("cell"))
-        v = vertices.join(small(shared_table(cell, "cells")), "scan_id")
-        key = F.when(F.col("cell").isNull(), F.col("idx").cast("string")).otherwise(F.concat_ws(",", *[F.floor(F.col(d) / F.col("cell")) for d in "xyz"]))
-        v = v.withColumn("k", key)
-        new = v.groupBy("scan_id", "k").agg(F.min("idx").alias("new"), *[F.avg(d).alias(d) for d in "xyz"], *[F.floor(F.avg(c)).cast("int").alias(c) for c in "rgb"])
-        to = v.select("scan_id", "idx", "k").join(new.select("scan_id", "k", "new"), ["scan_id", "k"])
-        t = triangles
-        for c in ("i0", "i1", "i2"):
-            t = t.join(to.select("scan_id", F.col("idx").alias(c), F.col("new").alias(c + "n")), ["scan_id", c]).drop(c).withColumnRenamed(c + "n", c)
-        t = t.where("i0 <> i1 and i1 <> i2 and i0 <> i2").withColumn("s", F.array_sort(F.array("i0", "i1", "i2"))).dropDuplicates(["scan_id", "s"]).drop("s")
-        if t.groupBy("scan_id").agg(F.count("*").alias("n")).where(F.col("n") > target).isEmpty():
-            return new.select("scan_id", F.col("new").alias("idx"), "x", "y", "z", "r", "g", "b"), t.select("scan_id", "tri", "i0", "i1", "i2")
-        grow *= 1.25
-    raise RuntimeError("decimation did not reach its target")
+    base = small(shared_table(box.join(n, "scan_id").select("scan_id", F.sqrt(2 * F.greatest("area", F.lit(1e-12)) / target).alias("base")), "mesh-sizes"))
+    steps = F.array(*[F.lit(GROWTH**k) for k in range(LEVELS)])
+
+    def apart(p, q, size):
+        differs = [F.floor(F.col(p)[d] / size) != F.floor(F.col(q)[d] / size) for d in "xyz"]
+        return differs[0] | differs[1] | differs[2]
+
+    def stays(k):
+        size = F.col("base") * F.get("steps", k)
+        return apart("p0", "p1", size) & apart("p1", "p2", size) & apart("p0", "p2", size)
+
+    every = lambda last: F.sequence(F.lit(0), F.lit(last))
+    left = corners(vertices, triangles).join(base, "scan_id").withColumn("steps", steps).select("scan_id", F.explode(F.filter(every(LEVELS - 1), stays)).alias("level"))
+    many = left.groupBy("scan_id", "level").agg(F.count("*").alias("n")).where(F.col("n") > target).groupBy("scan_id").agg(F.collect_set("level").alias("many"))
+    found = base.join(many, "scan_id", "left").withColumn("level", F.array_min(F.array_except(every(LEVELS), F.coalesce("many", F.array().cast("array<int>")))))
+    return found.withColumn("steps", steps).select("scan_id", "level", (F.col("base") * F.get("steps", F.col("level"))).alias("cell"))
+
+
+def decimate(vertices: DataFrame, triangles: DataFrame, target: int = 50_000, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertex clustering to at most `target` triangles a scan: vertices of a cell become their mean, triangles that collapse go.
+
+    Meshes at or below the target pass unchanged; others take the finest cells of `levels` (or those given in `found`). Of triangles that fall together the
+    first stays. The number of jobs does not depend on the scans.
+    """
+    found = small(shared_table(levels(vertices, triangles, target), "cells") if found is None else found)
+    v = vertices.join(found, "scan_id", "left")
+    at = lambda d: F.when(F.col("level") < LEVELS, F.floor(F.col(d) / F.col("cell"))).otherwise(F.lit(0)).cast("long")
+    whole = F.col("level").isNull()
+    v = v.withColumn("k", F.struct(F.when(whole, F.col("idx")).otherwise(at("x")).alias("x"), F.when(whole, 0).otherwise(at("y")).alias("y"), F.when(whole, 0).otherwise(at("z")).alias("z")))
+    new = v.groupBy("scan_id", "k").agg(F.min("idx").alias("new"), *[F.avg(d).alias(d) for d in "xyz"], *[F.floor(F.avg(c)).cast("int").alias(c) for c in "rgb"])
+    to = shared_table(v.select("scan_id", "idx", "k").join(new.select("scan_id", "k", "new"), ["scan_id", "k"]).select("scan_id", "idx", "new"), "cell-of")
+    t = triangles
+    for c in ("i0", "i1", "i2"):
+        t = t.join(to.select("scan_id", F.col("idx").alias(c), F.col("new").alias(c + "n")), ["scan_id", c]).drop(c).withColumnRenamed(c + "n", c)
+    t = t.where("i0 <> i1 and i1 <> i2 and i0 <> i2").withColumn("s", F.array_sort(F.array("i0", "i1", "i2")))
+    t = t.groupBy("scan_id", "s").agg(F.min(F.struct("tri", "i0", "i1", "i2")).alias("t")).select("scan_id", "t.*")
+    return new.select("scan_id", F.col("new").alias("idx"), "x", "y", "z", "r", "g", "b"), t
 
 
 def vertex_normals(vertices: DataFrame, triangles: DataFrame, up: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
     """Area-weighted normals: triangles' cross products added up per vertex and scaled to one; `up` where they cancel or there are none."""
-    t = triangles
-    for i in range(3):
-        t = t.join(vertices.select("scan_id", F.col("idx").alias(f"i{i}"), F.struct("x", "y", "z").alias(f"p{i}")), ["scan_id", f"i{i}"])
+    t = corners(vertices, triangles)
     e = lambda a, d: f"(p{a}.{d} - p0.{d})"
     cross = [F.expr(f"{e(1, a)} * {e(2, b)} - {e(1, b)} * {e(2, a)}").alias(n) for n, a, b in (("cx", "y", "z"), ("cy", "z", "x"), ("cz", "x", "y"))]
     per = t.select("scan_id", F.explode(F.array("i0", "i1", "i2")).alias("idx"), *cross).groupBy("scan_id", "idx").agg(*[F.sum(c).alias(c) for c in ("cx", "cy", "cz")])

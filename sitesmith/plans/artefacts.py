@@ -59,25 +59,36 @@ def terrain_mesh(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("scan_id").agg(F.count("*").alias("triangles"))
 
 
-@query()
+TARGET = 500
+_APART = lambda p, q: "(" + " OR ".join(f"floor({p}_{d} / (base * step)) <> floor({q}_{d} / (base * step))" for d in "xyz") + ")"
+_STEPS = ", ".join(f"({k}, {mesh.GROWTH**k!r}::DOUBLE)" for k in range(mesh.LEVELS))
+_CELL = ", ".join(f"floor({d} / cell)" for d in "xyz")
+
+
+@query(f"""WITH {bind.GRID}, st(level, step) AS (VALUES {_STEPS}), sz AS (SELECT scan_id, sqrt(2 * greatest((max(x) - min(x)) * (max(y) - min(y)), 1e-12) / {TARGET}) AS base FROM gv WHERE scan_id IN (SELECT scan_id FROM gt GROUP BY scan_id HAVING count(*) > {TARGET}) GROUP BY scan_id),
+lv AS (SELECT scan_id, level, base * step AS cell, count(*) FILTER (WHERE {_APART("a", "b")} AND {_APART("b", "c")} AND {_APART("a", "c")}) AS n FROM gt JOIN sz USING (scan_id), st GROUP BY scan_id, level, base * step),
+ch AS (SELECT scan_id, min(level) AS level, min_by(cell, level) AS cell FROM lv WHERE n <= {TARGET} GROUP BY scan_id),
+ce AS (SELECT gv.scan_id, gv.k AS id, level, CASE WHEN level IS NULL THEN [idx] ELSE [{_CELL}] END AS k FROM gv LEFT JOIN ch USING (scan_id)),
+vn AS (SELECT scan_id, any_value(level) AS level, count(DISTINCT k) AS vertices FROM ce GROUP BY scan_id),
+tn AS (SELECT gt.scan_id, count(DISTINCT list_sort([p.k, q.k, r.k])) AS triangles FROM gt JOIN ce p ON p.id = gt.scan_id * {bind.SIDE**2} + i0 JOIN ce q ON q.id = gt.scan_id * {bind.SIDE**2} + i1 JOIN ce r ON r.id = gt.scan_id * {bind.SIDE**2} + i2 WHERE p.k <> q.k AND q.k <> r.k AND p.k <> r.k GROUP BY gt.scan_id)
+SELECT scan_id, level::INT AS level, vertices, coalesce(triangles, 0)::BIGINT AS triangles FROM vn LEFT JOIN tn USING (scan_id)""")
 def mesh_decimate(spark: SparkSession, d: str) -> DataFrame:
-    c = bind.cloud(spark, d).na.fill({"r": 0, "g": 128, "b": 0})
-    _, t = mesh.decimate(c, shared_table(mesh.triangulate(c), "triangles"), 40)
-    return t.groupBy("scan_id").agg(F.count("*").alias("triangles"))
-
+    """Height fields brought down to 500 triangles: the level of the pyramid that each took, and what it leaves."""
+    v, t = bind.grid(spark, d)
+    v, t = shared_table(v, "grid"), shared_table(t, "grid-triangles")
+    found = shared_table(mesh.levels(v, t, TARGET), "cells")
+    less, left = mesh.decimate(v, t, TARGET, found)
+    n = less.groupBy("scan_id").agg(F.count("*").alias("vertices")).join(left.groupBy("scan_id").agg(F.count("*").alias("triangles")), "scan_id", "left")
+    return n.join(found.select("scan_id", "level"), "scan_id", "left").select("scan_id", "level", "vertices", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
-
-@query(f"""WITH {bind.CLOUD}, nm AS (SELECT scan_id, count(*) AS n FROM c GROUP BY scan_id), gt AS (SELECT a.scan_id, a.idx AS i0, a.idx + 1 AS i1, a.idx + 2 AS i2 FROM c a JOIN nm USING (scan_id) WHERE a.idx + 2 < n AND a.idx % 2 = 0),
-u AS (SELECT gt.*, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, r.x - p.x AS vx, r.y - p.y AS vy, r.z - p.z AS vz FROM gt JOIN c p ON p.scan_id = gt.scan_id AND p.idx = i0 JOIN c q ON q.scan_id = gt.scan_id AND q.idx = i1 JOIN c r ON r.scan_id = gt.scan_id AND r.idx = i2),
+@query(f"""WITH {bind.GRID}, u AS (SELECT *, b_x - a_x AS ux, b_y - a_y AS uy, b_z - a_z AS uz, c_x - a_x AS vx, c_y - a_y AS vy, c_z - a_z AS vz FROM gt),
 k AS (SELECT scan_id, unnest([i0, i1, i2]) AS idx, uy * vz - uz * vy AS cx, uz * vx - ux * vz AS cy, ux * vy - uy * vx AS cz FROM u),
 s AS (SELECT scan_id, idx, sum(cx) AS cx, sum(cy) AS cy, sum(cz) AS cz FROM k GROUP BY ALL)
-SELECT scan_id, idx, round(coalesce(cx / sqrt(cx * cx + cy * cy + cz * cz), 0), 5) AS nx, round(coalesce(cy / sqrt(cx * cx + cy * cy + cz * cz), 0), 5) AS ny, round(coalesce(cz / sqrt(cx * cx + cy * cy + cz * cz), 1), 5) AS nz FROM c LEFT JOIN s USING (scan_id, idx)""")
+SELECT scan_id, idx, round(coalesce(cx / sqrt(cx * cx + cy * cy + cz * cz), 0), 5) AS nx, round(coalesce(cy / sqrt(cx * cx + cy * cy + cz * cz), 0), 5) AS ny, round(coalesce(cz / sqrt(cx * cx + cy * cy + cz * cz), 1), 5) AS nz FROM gv LEFT JOIN s USING (scan_id, idx)""")
 def vertex_normals(spark: SparkSession, d: str) -> DataFrame:
-    c = bind.cloud(spark, d)
-    n = c.groupBy("scan_id").agg(F.count("*").alias("n"))
-    t = c.join(n, "scan_id").where("idx + 2 < n and idx % 2 = 0").select("scan_id", F.col("idx").alias("tri"), F.col("idx").alias("i0"), (F.col("idx") + 1).alias("i1"), (F.col("idx") + 2).alias("i2"))
-    return mesh.vertex_normals(c, t).select("scan_id", "idx", *[F.round(x, 5).alias(x) for x in ("nx", "ny", "nz")])
+    """Normals of height fields in which a vertex belongs to up to six triangles."""
+    return mesh.vertex_normals(*bind.grid(spark, d)).select("scan_id", "idx", *[F.round(x, 5).alias(x) for x in ("nx", "ny", "nz")])
 
 
 @query(f"WITH {bind.ZONES} SELECT project_id, tier, count(*) AS zone_count, count(*) * 8 AS vertices, count(*) * 12 AS triangles FROM z GROUP BY ALL")

@@ -114,3 +114,26 @@ def big_cloud(spark: SparkSession, d: str) -> DataFrame:
 BIG_CLOUD = """c AS (SELECT (l_suppkey % 4)::INT AS scan_id, l_orderkey AS idx, l_quantity / 10 AS x, (round(l_extendedprice * 100)::BIGINT % 997) / 100.0::DOUBLE AS y, l_discount * 10 + 0.0::DOUBLE AS z,
   CASE WHEN l_suppkey % 11 <> 0 THEN (l_partkey * 7 % 256)::INT END AS r, CASE WHEN l_suppkey % 11 <> 0 THEN (l_partkey * 13 % 256)::INT END AS g,
   CASE WHEN l_suppkey % 11 <> 0 THEN (l_partkey * 29 % 256)::INT END AS b FROM lineitem)"""
+
+
+#: Vertices on a side of a scan's grid.
+SIDE = 64
+
+
+def grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and triangles of height fields: a vertex per order, 64 x 64 a scan, two triangles a square whose corners are there."""
+    o = spread(t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"))
+    k, i = F.col("o_orderkey"), F.col("o_orderkey") % SIDE**2
+    shade = lambda m: (F.col("o_custkey") * m % 256).cast("int")
+    v = o.select(F.floor(k / SIDE**2).alias("scan_id"), i.alias("idx"), (i % SIDE + k * 37 % 8 / 16.0).alias("x"), (F.floor(i / SIDE) + k * 91 % 8 / 16.0).alias("y"), (F.round(F.col("o_totalprice") * 100) % 1000 / 400.0).alias("z"), shade(7).alias("r"), shade(13).alias("g"), shade(29).alias("b"))
+    tri = lambda j, a, b, c: F.struct((F.col("idx") * 2 + j).alias("tri"), (F.col("idx") + a).alias("i0"), (F.col("idx") + b).alias("i1"), (F.col("idx") + c).alias("i2"))
+    made = v.where((F.col("idx") % SIDE < SIDE - 1) & (F.col("idx") < SIDE * (SIDE - 1))).select("scan_id", F.explode(F.array(tri(0, 0, 1, SIDE), tri(1, 1, SIDE + 1, SIDE))).alias("t")).select("scan_id", "t.*")
+    for c in ("i0", "i1", "i2"):
+        made = made.join(v.select("scan_id", F.col("idx").alias(c)), ["scan_id", c], "left_semi")
+    return v, made.select("scan_id", "tri", "i0", "i1", "i2")
+
+
+GRID = f"""gv AS (SELECT o_orderkey AS k, o_orderkey // {SIDE**2} AS scan_id, o_orderkey % {SIDE**2} AS idx, o_orderkey % {SIDE} + (o_orderkey * 37 % 8) / 16.0::DOUBLE AS x, (o_orderkey % {SIDE**2}) // {SIDE} + (o_orderkey * 91 % 8) / 16.0::DOUBLE AS y,
+  (round(o_totalprice * 100) % 1000) / 400.0::DOUBLE AS z FROM orders),
+g2 AS (SELECT scan_id, idx * 2 + j AS tri, idx + j AS i0, CASE j WHEN 0 THEN idx + 1 ELSE idx + {SIDE + 1} END AS i1, idx + {SIDE} AS i2 FROM gv, (VALUES (0), (1)) u(j) WHERE idx % {SIDE} < {SIDE - 1} AND idx < {SIDE * (SIDE - 1)}),
+gt AS (SELECT g2.*, p.x AS a_x, p.y AS a_y, p.z AS a_z, q.x AS b_x, q.y AS b_y, q.z AS b_z, r.x AS c_x, r.y AS c_y, r.z AS c_z FROM g2 JOIN gv p ON p.k = g2.scan_id * {SIDE**2} + i0 JOIN gv q ON q.k = g2.scan_id * {SIDE**2} + i1 JOIN gv r ON r.k = g2.scan_id * {SIDE**2} + i2)"""

@@ -194,3 +194,27 @@ def test_first_come_is_the_scan_in_order(spark):
     c = spark.createDataFrame([(0, i, float(x), 0.0, 0.0) for i, x in enumerate(xs)], "scan_id int, idx long, x double, y double, z double")
     got = {r["idx"]: r["cluster_id"] for r in points.first_come(c, eps, points.dbscan(c, eps, least)).collect()}
     assert [got[i] for i in range(60)] == label
+
+
+def test_decimation_takes_the_finest_level(spark):
+    """Each scan's own level against all levels tried one by one; a wall without area falls into one cell, a small mesh stays."""
+    rng = np.random.default_rng(5)
+    side, target = 20, 100
+    i = np.arange(side * side)
+    xyz = np.column_stack([i % side, i // side, np.zeros(side * side)]) + rng.random((side * side, 3)) * 0.4
+    tri = [t for k in i if k % side < side - 1 and k // side < side - 1 for t in ((k, k + 1, k + side), (k + 1, k + side + 1, k + side))]
+    scans = {0: xyz, 1: xyz * [3, 1, 5], 2: np.column_stack([xyz[:, 0] * 0, xyz[:, 1], xyz[:, 0]])}
+    v = [(s, int(k), *map(float, p), 1, 2, 3) for s, ps in scans.items() for k, p in enumerate(ps)] + [(3, k, float(k % 2), float(k // 2), 0.0, 1, 2, 3) for k in range(4)]
+    t = [(s, n, *map(int, c)) for s in scans for n, c in enumerate(tri)] + [(3, 0, 0, 1, 2), (3, 1, 1, 3, 2)]
+    less, left = mesh.decimate(spark.createDataFrame(v, "scan_id int, idx long, x double, y double, z double, r int, g int, b int"), spark.createDataFrame(t, "scan_id int, tri long, i0 long, i1 long, i2 long"), target)
+    got = {r["scan_id"]: r["n"] for r in left.groupBy("scan_id").agg(F.count("*").alias("n")).collect()}
+    kept = {r["scan_id"]: r["n"] for r in less.groupBy("scan_id").agg(F.count("*").alias("n")).collect()}
+    for s, p in scans.items():
+        base = np.sqrt(2 * max(np.ptp(p[:, 0]) * np.ptp(p[:, 1]), 1e-12) / target)
+        for k in range(mesh.LEVELS + 1):
+            cells = [tuple(c) for c in np.floor(p / (base * mesh.GROWTH**k)).tolist()] if k < mesh.LEVELS else [()] * len(p)
+            stay = [sorted(cells[c] for c in x) for x in tri if len({cells[c] for c in x}) == 3]
+            if len(stay) <= target:
+                break
+        assert got.get(s, 0) == len(set(map(str, stay))) <= target and kept[s] == len(set(cells))
+    assert got[3] == 2 and kept[3] == 4 and 2 not in got and kept[2] == 1
