@@ -185,7 +185,7 @@ def dbscan(points: DataFrame, eps: float = 0.3, min_points: int = 50, tile_point
         number = {n: i for i, n in enumerate(np.unique(f["node"][f["is_core"]]).tolist())}  # a node is named by its cluster's smallest core
         f = f.assign(cluster_id=f["node"].map(number)).groupby("idx").agg({"is_core": "max", "cluster_id": "min"})
         out = g[["scan_id", "idx"]].join(f, on="idx")
-        return out.assign(is_core=out["is_core"].fillna(False).astype(bool), cluster_id=out["cluster_id"].astype("Int32"))
+        return out.assign(is_core=out["is_core"].eq(True), cluster_id=out["cluster_id"].astype("Int32"))
 
     ddl = f"scan_id {kind}, idx long, is_core boolean, cluster_id int"
     if not most or most <= tile_points:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesmith.operators import hdbscan as hdb
-from sitesmith.operators import mesh, points
+from sitesmith.operators import mesh, points, tables
 from sitesmith.operators.graph import shared_path, shared_table
 from sitesmith.plans import bind
 from sitesmith.plans.scanning import _EIGEN
@@ -103,6 +103,18 @@ def _scene_zones(spark, d):
         "project_id", "tier", "zone_id", "ring", F.when(k % 3 == 0, "fills").when(k % 3 == 1, "sits_on_top").otherwise("builds_up").alias("kind"), (k % 24 + 1).cast("double").alias("height_inches"), cat.alias("category"))
 
 
+@query(f"""WITH {bind.ZONES}, e AS (SELECT project_id, w * h * CASE WHEN material_id % 3 = 0 THEN 4 ELSE material_id % 24 + 1 END / 12.0::DOUBLE AS volume, 2 * w * h + 2 * (w + h) * CASE WHEN material_id % 3 = 0 THEN 4 ELSE material_id % 24 + 1 END / 12.0::DOUBLE AS surface FROM z)
+SELECT project_id, count(*) * 12 AS faces, round(sum(volume), 3) AS volume_cuft, round(sum(surface), 3) AS surface_sqft FROM e GROUP BY project_id""")
+def extruded_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Volume and surface of each project's zones, added up over the faces that the table function makes: right only if every solid is closed and faces outwards."""
+    tables.register(spark)
+    zones = _scene_zones(spark, d).select("project_id", F.struct("project_id", "zone_id").alias("zone_id"), "ring", "kind", "height_inches")
+    return spark.sql("""
+        WITH f AS (SELECT zone_id.project_id, bx - ax AS ux, by - ay AS uy, bz - az AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz, ax, ay, az FROM extrude_zone(TABLE({zones}))),
+        n AS (SELECT project_id, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz, ax, ay, az FROM f)
+        SELECT project_id, count(*) AS faces, round(sum((ax * nx + ay * ny + az * nz) / 6), 3) AS volume_cuft, round(sum(sqrt(nx * nx + ny * ny + nz * nz) / 2), 3) AS surface_sqft FROM n GROUP BY project_id""", zones=zones)
+
+
 @query(f"WITH {bind.ZONES} SELECT project_id, tier, count(*) AS zone_count, count(*) * 12 AS triangles, 'glTF' AS magic, true AS whole FROM z GROUP BY ALL")
 def glb_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Scenes: magic bytes, and whether the length in the header is the file's."""

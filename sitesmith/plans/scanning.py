@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitesmith.functions import geo
-from sitesmith.operators import joins, points
+from sitesmith.operators import joins, points, tables
 from sitesmith.operators.graph import shared_table
 from sitesmith.plans import bind
 
@@ -210,6 +210,15 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
     return _gaps(spark, d).withColumn("rank", rank).select("scan_id", "feature_a", "feature_b", *[F.round(x, 6).alias(x) for x in ("distance_ft", "clear_width_ft", "clear_length_ft", "area_sqft")], F.round("ground_ft", 5).alias("ground_ft"), "rank")
 
 
+@query(f"""WITH RECURSIVE {bind.CLOUD}, {_PLANES}, {_DB}, {_CAND}, {_GAPS} SELECT scan_id, feature_a, feature_b, round(distance_ft, 6) AS distance_ft, round(w, 6) AS clear_width_ft, round(l, 6) AS clear_length_ft, round(area, 6) AS area_sqft, round(ground, 5) AS ground_ft FROM ga""")
+def gaps_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The gaps of `gaps` by the table function, which sweeps each scan's features in order of cx."""
+    tables.register(spark)
+    c, p = _cands(spark, d)
+    features = c.withColumn("spread_ft", F.col("spread_ft") / 4).select("scan_id", "cluster_id", "cx", "cy", "spread_ft").join(p.select("scan_id", "nx", "ny", "nz", "d"), "scan_id")
+    return spark.sql(f"SELECT scan_id, feature_a, feature_b, round(distance_ft, 6) AS distance_ft, round(clear_width_ft, 6) AS clear_width_ft, round(clear_length_ft, 6) AS clear_length_ft, round(area_sqft, 6) AS area_sqft, round(ground_ft, 5) AS ground_ft FROM measure_gaps(TABLE({{features}}), {FAR})", features=features)
+
+
 @query(f"""WITH RECURSIVE {bind.CLOUD}, {_PLANES}, {_DB}, {_CAND}, {_GAPS}, bg AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY round(area, 9) DESC, distance_ft DESC, feature_a DESC, feature_b DESC) AS rk FROM ga)
 SELECT scan_id, feature_a, feature_b, round(area, 5) AS area_sqft, round(area, 5) AS rectangle_sqft FROM bg WHERE rk = 1""")
 def best_gap(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesmith.functions import climate, geo, solar, text
-from sitesmith.operators import joins
+from sitesmith.operators import joins, tables
 from sitesmith.plans import bind
 
 Q, SQL = {}, {}
@@ -177,6 +177,17 @@ def radiance_grid(spark: SparkSession, d: str) -> DataFrame:
     return solar.radiance_grid(_boxes(c), ["site_id"]).select("site_id", "row", "col", F.round("avg_hours", 6).alias("avg_hours"))
 
 
+@query(f"""WITH ct AS (SELECT n_nationkey AS site_id, 30.7::DOUBLE + n_nationkey AS clat, -122.4::DOUBLE + n_nationkey AS clng FROM nation), {_BOX}, {_sun('dd0')},
+dl AS (SELECT site_id, "row", col, day, count(*) FILTER (WHERE round(alt, 9) > 0) * 5.0::DOUBLE / 60.0::DOUBLE AS h FROM p GROUP BY ALL)
+SELECT site_id, "row", col, round(avg(h), 6) AS avg_hours FROM dl GROUP BY ALL""")
+def radiance_grid_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The grid around a site a nation, by the table function."""
+    tables.register(spark)
+    k = F.col("n_nationkey")
+    c = bind.t(spark, d, "nation").select(k.alias("site_id"), (F.lit(30.7) + k).alias("clat"), (F.lit(-122.4) + k).alias("clng"))
+    return spark.sql("SELECT site_id, `row`, col, round(avg_hours, 6) AS avg_hours FROM radiance_grid(TABLE({areas}), 50.0, '2024-03-01', '2024-09-30', 6)", areas=_boxes(c))
+
+
 @query("SELECT o_orderkey AS id, [('2024-01-01'::DATE + (o_orderkey % 30)::INT) + floor((k + 0.5::DOUBLE) / 4 * (o_orderkey % 200))::INT FOR k IN range(CASE WHEN o_orderkey % 200 = 0 THEN 1 ELSE 4 END)] AS days FROM orders")
 def sample_dates(spark: SparkSession, d: str) -> DataFrame:
     start = F.expr("date_add(DATE'2024-01-01', cast(o_orderkey % 30 as int))")
