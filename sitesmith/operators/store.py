@@ -16,6 +16,35 @@ def of_tenant(df: DataFrame, tenant) -> DataFrame:
     return df.where(F.col("tenant_id") == tenant)
 
 
+# What a request without a usable tenant header is told.
+NO_HEADER = "missing X-Tenant-Id header"
+BAD_TEXT = "X-Tenant-Id header is not valid UTF-8"
+BAD_ID = "X-Tenant-Id is not a valid UUID"
+UUID = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+
+
+def identified(requests: DataFrame, header: str = "tenant_header") -> DataFrame:
+    """requests with tenant_id, hyphenated and in lower case, or the error that a bad header gives.
+
+    Ids are taken hyphenated, alone or in braces or after urn:uuid:, or as 32 digits, in either case; text has to be printable ASCII.
+    """
+    h = F.col(header)
+    low = F.lower(h)
+    plain = F.when(low.rlike(f"^{UUID}$"), low).when(low.rlike(f"^[{{]{UUID}[}}]$"), F.substring(low, 2, 36)).when(h.startswith("urn:uuid:") & low.rlike(f"^urn:uuid:{UUID}$"), F.substring(low, 10, 36))
+    found = F.when(low.rlike("^[0-9a-f]{32}$"), F.regexp_replace(low, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).otherwise(plain)
+    error = F.when(h.isNull(), NO_HEADER).when(~h.rlike(r"^[\t\x20-\x7E]*$"), BAD_TEXT).when(found.isNull(), BAD_ID)
+    return requests.withColumn("error", error).withColumn("tenant_id", F.when(F.col("error").isNull(), found))
+
+
+def of_requests(requests: DataFrame, df: DataFrame, header: str = "tenant_header") -> DataFrame:
+    """(request_id, header) -> request_id, status, error, and every row of the tenant's own rows of df: a bad header gives one row with 400, a tenant without rows one with 200.
+
+    One join for all requests; rows are only ever joined by their tenant.
+    """
+    r = identified(requests, header).withColumn("status", F.when(F.col("error").isNull(), 200).otherwise(400))
+    return r.select("request_id", "status", "error", "tenant_id").join(df, "tenant_id", "left")
+
+
 def owned(changes: DataFrame, df: DataFrame, tenant, key: str) -> DataFrame:
     """Changes to rows that the tenant owns (semi join)."""
     return changes.join(of_tenant(df, tenant).select(key), key, "left_semi")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitesmith.functions import geo
 from sitesmith.operators import hdbscan as hdb
 from sitesmith.operators import mesh, points, tables
 from sitesmith.operators.graph import shared_path, shared_table
@@ -153,15 +154,50 @@ def ply_extent(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(F.col("scan_id").cast("int").alias("scan_id")).agg(*[f(c).alias(f"{n}_{c}") for c in "xz" for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("n"))
 
 
-@query(f"WITH {bind.ZONES} SELECT project_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'quoted' ELSE 'draft' END AS status, zone_id, CASE WHEN label <> 'wall' THEN label END AS label, w * h AS area FROM z JOIN orders ON o_orderkey = project_id")
-def project_geojson(spark: SparkSession, d: str) -> DataFrame:
-    """Projects written as FeatureCollections and parsed again; walls have no label."""
-    from sitesmith.functions import geo
+def _documents(spark, d):
+    """Projects as documents: walls have no label, a third of the projects a scan."""
     from sitesmith.plans.storing import _projects
 
-    z = bind.zones(spark, d).withColumn("label", F.when(F.col("label") != "wall", F.col("label")))
-    p = artefacts.parse_project_geojson(artefacts.project_geojson(_projects(spark, d), z))
-    return p.select("project_id", "status", "zone_id", "label", geo.ring_area(F.col("ring")).alias("area"))
+    k = F.col("project_id")
+    z = bind.zones(spark, d).withColumn("zone_type", F.col("label")).withColumn("label", F.when(F.col("label") != "wall", F.col("label")))
+    p = _projects(spark, d).withColumn("updated_at", F.date_add("created_at", (k % 30).cast("int"))).withColumn("scan_ref", F.when(k % 3 == 0, F.concat(F.lit("scans/"), k.cast("string"), F.lit(".ply"))))
+    return artefacts.project_geojson(p, z, z)
+
+
+_PROJECTS = """pj AS (SELECT o_orderkey AS project_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'quoted' ELSE 'draft' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'scans/' || o_orderkey || '.ply' END AS scan_ref,
+ o_orderdate::DATE AS created, o_orderdate::DATE + (o_orderkey % 30)::INT AS updated FROM orders)"""
+
+
+@query(f"WITH {bind.ZONES}, {_PROJECTS} SELECT project_id, status, scan_ref, created, updated, zone_id, label AS zone_type, CASE WHEN label <> 'wall' THEN label END AS label, w * h AS area FROM z JOIN pj USING (project_id)")
+def project_geojson(spark: SparkSession, d: str) -> DataFrame:
+    """Projects written as FeatureCollections and parsed again."""
+    p = artefacts.parse_project_geojson(_documents(spark, d))
+    return p.select("project_id", "status", "scan_ref", F.to_date("created_at").alias("created"), F.to_date("updated_at").alias("updated"), "zone_id", "zone_type", "label", geo.ring_area(F.col("ring")).alias("area"))
+
+
+@query(f"WITH {bind.ZONES} SELECT project_id, tier, zone_id, material_id FROM z JOIN orders ON o_orderkey = project_id")
+def project_tiers_geojson(spark: SparkSession, d: str) -> DataFrame:
+    """The assignments of the tiers in those documents."""
+    return artefacts.parse_project_tiers(_documents(spark, d))
+
+
+#: What is done to documents, by project_id % 16, and the fault that follows; the faults of features need a zone.
+_DAMAGE = [
+    ('"type":"FeatureCollection"', '"type":"Feature"', "expected FeatureCollection"), ('"project_id":', '"id":', "missing project_id"), ('"status":', '"state":', "missing status"),
+    ('"status":"[a-z]+"', '"status":"lost"', "invalid status"), ('"tiers":', '"levels":', "missing tiers"), ('"created_at":', '"made_at":', "missing created_at"), ('"updated_at":"[0-9]+', '"updated_at":"x', "invalid updated_at"),
+    ('"updated_at":', '"at":', "missing updated_at"), ('"properties":', '"p":', "feature missing properties"), ('"id":', '"key":', "zone missing id"), ('"zone_type":', '"kind":', "zone missing zone_type"),
+    ('"geometry":', '"g":', "feature missing geometry"), ('"type":"Polygon"', '"type":"Point"', "expected Polygon"), ('[}]$', '', "expected FeatureCollection"),
+]
+
+
+@query("SELECT o_orderkey AS project_id, CASE " + " ".join(f"WHEN o_orderkey % 16 = {i} {'AND has' if 8 <= i <= 12 else ''} THEN '{f}'" for i, (_, _, f) in enumerate(_DAMAGE))
+       + " END AS fault FROM (SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has FROM orders)")
+def geojson_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Documents damaged in fourteen ways, each with the fault that a reader names; the others have none."""
+    docs, text = _documents(spark, d), F.col("geojson")
+    for i, (old, new, _) in enumerate(_DAMAGE):
+        text = F.when(F.col("project_id") % 16 == i, F.regexp_replace("geojson", old, new)).otherwise(text)
+    return artefacts.read_documents(docs.withColumn("geojson", text)).select("project_id", "fault")
 
 
 @query(f"""WITH {bind.ZONES}, b AS (SELECT zone_id, w, h, (owner % 30)::DOUBLE AS ox, (material_id % 10)::DOUBLE AS oy FROM z), o AS (SELECT *, greatest(least(w, ox + 10) - greatest(0, ox), 0) * greatest(least(h, oy + 8) - greatest(0, oy), 0) AS ov FROM b)

@@ -64,6 +64,26 @@ def zones_by_project(spark: SparkSession, d: str) -> DataFrame:
     return z.select("project_id", "zone_id", "label", "tier", "place", geo.to_geojson(F.col("ring")).alias("geometry"))
 
 
+_MD5 = "md5('t' || user_id % 40)"
+_HYPHENS = lambda m: f"substr({m}, 1, 8) || '-' || substr({m}, 9, 4) || '-' || substr({m}, 13, 4) || '-' || substr({m}, 17, 4) || '-' || substr({m}, 21, 12)"
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS customer, 't' || c_custkey % 40 AS t, c_custkey FROM customer WHERE c_custkey % 40 < 35), ow AS (SELECT t, count(*) AS customers FROM t GROUP BY t),
+r AS (SELECT event_id AS request_id, event_id % 9 AS way, 't' || user_id % 40 AS t, {_HYPHENS(_MD5)} AS id FROM events)
+SELECT request_id, (CASE WHEN way < 5 THEN 200 ELSE 400 END)::INT AS status, CASE way WHEN 5 THEN 'missing X-Tenant-Id header' WHEN 6 THEN 'X-Tenant-Id header is not valid UTF-8' WHEN 7 THEN 'X-Tenant-Id is not a valid UUID' WHEN 8 THEN 'X-Tenant-Id is not a valid UUID' END AS error,
+ CASE WHEN way < 5 THEN id END AS tenant_id, CASE WHEN way < 5 THEN coalesce(customers, 0) ELSE 0 END::BIGINT AS customers FROM r LEFT JOIN ow USING (t)""")
+def tenant_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A request per event with its tenant's id in one of five ways, or none, or a bad one; how many customers each sees."""
+    uuid = lambda t: F.regexp_replace(F.md5(t), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    own = bind.t(spark, d, "customer").where("c_custkey % 40 < 35").select(uuid(F.concat(F.lit("t"), (F.col("c_custkey") % 40).cast("string"))).alias("tenant_id"), "c_custkey")
+    name = F.concat(F.lit("t"), (F.col("user_id") % 40).cast("string"))
+    way, plain = F.col("event_id") % 9, uuid(name)
+    header = F.when(way == 0, plain).when(way == 1, F.upper(plain)).when(way == 2, F.concat(F.lit("{"), plain, F.lit("}"))).when(way == 3, F.concat(F.lit("urn:uuid:"), plain)).when(way == 4, F.md5(name))
+    header = header.when(way == 6, F.concat(plain, F.lit("\u00e9"))).when(way == 7, F.substring(plain, 1, 35)).when(way == 8, F.lit(""))
+    r = store.of_requests(bind.t(spark, d, "events").select(F.col("event_id").alias("request_id"), header.alias("tenant_header")), own.groupBy("tenant_id").agg(F.count("*").alias("customers")))
+    return r.select("request_id", "status", "error", "tenant_id", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
 # --- inserts, updates, ownership, replacement ---
 @query(f"SELECT md5(c_custkey::VARCHAR || '|' || c_name) AS project_id, c_custkey AS tenant_id, 'draft' AS status, TIMESTAMP '{AT}' AS created_at, TIMESTAMP '{AT}' AS updated_at FROM customer")
 def project_insert(spark: SparkSession, d: str) -> DataFrame:

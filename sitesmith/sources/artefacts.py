@@ -173,25 +173,69 @@ def scene_artefacts(zones: DataFrame) -> DataFrame:
     return zones.groupBy("project_id", "tier").applyInPandas(run, "project_id long, tier string, glb binary, zone_count long, triangles long")
 
 
-def project_geojson(projects: DataFrame, zones: DataFrame) -> DataFrame:
-    """project_id -> a FeatureCollection text of its zones, with status and created_at as foreign members; null labels are left out."""
+def project_geojson(projects: DataFrame, zones: DataFrame, assignments: DataFrame) -> DataFrame:
+    """project_id -> a FeatureCollection text of its zones, with status, tiers, scan_ref, created_at and updated_at as foreign members.
+
+    Null labels and scan_refs are left out. Zones come in order of their id, tiers from good to best with their assignments in
+    order; a project without any has none. A document is one row, so a project's zones have to fit into one.
+    """
     coords = F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"), F.struct(F.col("zone_id").alias("id"), "label").alias("properties"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"), F.struct(F.col("zone_id").alias("id"), "zone_type", "label").alias("properties"))
     f = zones.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("zone_id", feature.alias("f")))).alias("fs"))
-    j = projects.join(f, "project_id", "left")
-    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.coalesce(F.transform("fs", lambda x: x["f"]), F.array()).alias("features"), "project_id", "status", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    by_tier = assignments.groupBy("project_id", F.col("tier").alias("level")).agg(F.array_sort(F.collect_list(F.struct("zone_id", "material_id"))).alias("assignments"))
+    place = F.array_position(F.array(*[F.lit(x) for x in TIERS]), F.col("level"))
+    t = by_tier.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.struct("level", "assignments").alias("t")))).alias("ts"))
+    j = projects.join(f, "project_id", "left").join(t, "project_id", "left")
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    doc = F.struct(
+        F.lit("FeatureCollection").alias("type"), F.coalesce(F.transform("fs", lambda x: x["f"]), F.array()).alias("features"), "project_id", "status", "scan_ref",
+        F.coalesce(F.transform("ts", lambda x: x["t"]), F.array()).alias("tiers"), time("created_at"), time("updated_at"),
+    )
     return j.select("project_id", F.to_json(doc).alias("geojson"))
 
 
-FEATURES = ("type string, project_id long, status string, created_at string, features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<id:string,label:string>>>")
+# Levels of tiers in order, and states of projects.
+TIERS = ["good", "better", "best"]
+STATES = ["draft", "quoted", "approved", "complete"]
+FEATURES = (
+    "type string, project_id long, status string, scan_ref string, created_at string, updated_at string, tiers array<struct<level:string,assignments:array<struct<zone_id:string,material_id:long>>>>, "
+    "features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<id:string,zone_type:string,label:string>>>"
+)
+
+
+def read_documents(docs: DataFrame, col: str = "geojson") -> DataFrame:
+    """docs with the parsed document d and its first fault, null where it is whole: the document's own members first, then the features in their order."""
+    fault = F.lit(None).cast("string")
+    for c in reversed(("created_at", "updated_at")):
+        fault = F.when(F.col(f"d.{c}").isNull(), f"missing {c}").when(F.col(f"d.{c}").try_cast("timestamp").isNull(), f"invalid {c}").otherwise(fault)
+    fault = F.when(F.col("d.tiers").isNull(), "missing tiers").when(F.exists("d.tiers", lambda t: ~F.coalesce(t["level"].isin(TIERS), F.lit(False))), "invalid tiers").otherwise(fault)
+    fault = F.when(F.col("d.status").isNull(), "missing status").when(~F.col("d.status").isin(STATES), "invalid status").otherwise(fault)
+    fault = F.when(F.col("d.project_id").isNull(), "missing project_id").otherwise(fault)
+    fault = F.when(F.coalesce(F.col("d.type") != "FeatureCollection", F.lit(True)), "expected FeatureCollection").otherwise(fault)
+
+    def of_feature(f):
+        p, g = f["properties"], f["geometry"]
+        return (
+            F.when(p.isNull(), "feature missing properties").when(p["id"].isNull(), "zone missing id").when(p["zone_type"].isNull(), "zone missing zone_type")
+            .when(g.isNull(), "feature missing geometry").when(~g["type"].eqNullSafe("Polygon"), "expected Polygon")
+        )
+
+    first = F.get(F.filter(F.transform("d.features", of_feature), lambda x: x.isNotNull()), F.lit(0))
+    return docs.withColumn("d", F.from_json(col, FEATURES)).withColumn("fault", F.coalesce(fault, first))
 
 
 def parse_project_geojson(docs: DataFrame, col: str = "geojson") -> DataFrame:
-    """FeatureCollection texts -> a row per zone: project_id, status, zone_id, label, ring; texts without the foreign members or of other types give none."""
-    d = docs.select(F.from_json(col, FEATURES).alias("d")).where("d.type = 'FeatureCollection' and d.project_id is not null and d.status is not null")
-    z = d.select("d.project_id", "d.status", F.explode("d.features").alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return z.select("project_id", "status", F.col("f.properties.id").alias("zone_id"), F.col("f.properties.label").alias("label"), ring.cast(geo.RING).alias("ring"))
+    """FeatureCollection texts -> a row per zone: project_id, status, scan_ref, created_at, updated_at, zone_id, zone_type, label, ring; texts with a fault give none."""
+    time = lambda c: F.col(f"d.{c}").try_cast("timestamp").alias(c)
+    z = read_documents(docs, col).where("fault is null").select("d.project_id", "d.status", "d.scan_ref", time("created_at"), time("updated_at"), F.explode("d.features").alias("f"))
+    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    return z.select("project_id", "status", "scan_ref", "created_at", "updated_at", F.col("f.properties.id").alias("zone_id"), F.col("f.properties.zone_type").alias("zone_type"), F.col("f.properties.label").alias("label"), ring.cast(geo.RING).alias("ring"))
+
+
+def parse_project_tiers(docs: DataFrame, col: str = "geojson") -> DataFrame:
+    """FeatureCollection texts -> a row per assignment: project_id, tier, zone_id, material_id; texts with a fault give none."""
+    t = read_documents(docs, col).where("fault is null").select("d.project_id", F.explode("d.tiers").alias("t"))
+    return t.select("project_id", F.col("t.level").alias("tier"), F.explode("t.assignments").alias("a")).select("project_id", "tier", "a.zone_id", "a.material_id")
 
 
 def write_log(classified: DataFrame, path: str) -> None:
