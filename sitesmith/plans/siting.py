@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesmith.functions import climate, geo, solar, text
-from sitesmith.operators import joins, tables
+from sitesmith.functions import climate, geo, money, solar, text
+from sitesmith.operators import joins, services, tables
 from sitesmith.plans import bind
 
 Q, SQL = {}, {}
@@ -214,6 +214,55 @@ def site_baseline(spark: SparkSession, d: str) -> DataFrame:
     return grid.join(in_box, "site_id", "left").select("site_id", "avg_sun_hours", "cells", F.coalesce("trees", F.lit(0)).cast("long").alias("trees"), geo.ring_area(ring).alias("lot_sqft"))
 
 
+# --- services that fail ---
+def _assessed(lat: float | None, lng: float | None) -> dict:
+    """A county's record, as a service in Python would give it: none without a place, none north of a line."""
+    if lat is None:
+        return None
+    if lat > 37.6:
+        raise ValueError("outside the county")
+    return {"width_ft": 30.0 + round(lat * 10) % 3, "depth_ft": 100.0}
+
+
+@query("""WITH c AS (SELECT c_custkey AS site_id, c_custkey % 3 < 2 AS known, c_custkey % 3 = 2 AND c_custkey % 2 = 0 AS given, 37.0::DOUBLE + c_custkey % 10 / 10.0::DOUBLE AS lat FROM customer),
+g AS (SELECT *, CASE WHEN known THEN 'table' WHEN given THEN 'given' END AS geocoder, CASE WHEN known OR given THEN lat END AS place FROM c)
+SELECT site_id, geocoder, CASE WHEN known THEN 'live: no network' WHEN given THEN 'live: no network|table: unknown address' ELSE 'live: no network|table: unknown address|given: no coordinates' END AS geocode_errors,
+ CASE WHEN place IS NULL THEN NULL WHEN place > 37.6 THEN 'rule' ELSE 'county' END AS assessor, CASE WHEN place IS NULL THEN 'county: no answer|rule: no place' WHEN place > 37.6 THEN 'county: ValueError: outside the county' ELSE '' END AS parcel_errors,
+ CASE WHEN place > 37.6 THEN 3000 ELSE (30 + round(place * 10)::INT % 3) * 100 END::DOUBLE AS lot_sqft FROM g""")
+def site_services(spark: SparkSession, d: str) -> DataFrame:
+    """Geocodes from a service that is down, a table and what the request brings; lots from a Python service that refuses some places, else by rule. Every site keeps its row."""
+    k = F.col("c_custkey")
+    lat = F.lit(37.0) + k % 10 / 10.0
+    sites = bind.t(spark, d, "customer").select(k.alias("site_id"), F.concat(F.lit("  "), F.upper("c_name"), F.lit("  Main St")).alias("address"), F.when((k % 3 == 2) & (k % 2 == 0), lat).alias("given_lat"))
+    known = bind.t(spark, d, "customer").where("c_custkey % 3 < 2").select(lat.alias("lat"), F.lit(-122.4).alias("lng"), F.concat("c_name", F.lit(" main st")).alias("known"))
+    norm = text.normalize_address
+    table = services.Looked("table", known, norm(F.col("known")), norm(F.col("address")), "unknown address")
+    given = services.Ruled("given", F.when(F.col("given_lat").isNotNull(), F.struct(F.col("given_lat").alias("lat"), F.lit(-122.4).alias("lng"), F.lit("").alias("known"))), "no coordinates")
+    g = services.ask(sites, [services.Failing("live", "no network"), table, given], "struct<lat:double,lng:double,known:string>")
+    g = g.select("site_id", F.col("service").alias("geocoder"), F.array_join("errors", "|").alias("geocode_errors"), F.round("result.lat", 6).alias("lat"), "result.lng")
+    size = "width_ft double, depth_ft double"
+    rule = services.Ruled("rule", F.when(F.col("lat").isNotNull(), F.struct(F.lit(25.0).alias("width_ft"), F.lit(120.0).alias("depth_ft"))), "no place")
+    p = services.ask(g, [services.Called("county", _assessed, size, ["lat", "lng"]), rule], f"struct<{size.replace(' double', ':double')}>")
+    return p.select("site_id", "geocoder", "geocode_errors", F.col("service").alias("assessor"), F.array_join("errors", "|").alias("parcel_errors"), (F.col("result.width_ft") * F.col("result.depth_ft")).alias("lot_sqft"))
+
+
+_STYLES = ", ".join(f"('{c}', {i}, '{s}', '{p}', {w}::DOUBLE, {h}::DOUBLE)" for c, styles in services.PLANTERS.items() for i, (s, p, w, h) in enumerate(styles))
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS gap_id, (p_size % 20)::DOUBLE AS area, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 10)::DOUBLE END AS sun FROM part),
+l AS (SELECT *, CASE WHEN sun IS NULL THEN 'part_shade' WHEN sun >= 6 THEN 'full_sun' WHEN sun >= 4 THEN 'part_sun' WHEN sun >= 2 THEN 'part_shade' ELSE 'full_shade' END AS light FROM r), s(light, i, style, plant, spacing, depth) AS (VALUES {_STYLES})
+SELECT gap_id, CASE WHEN area > 0 THEN 'rules' END AS service, (CASE WHEN area > 0 THEN 1 ELSE 2 END)::INT AS failed, style, plant, floor(area / ((spacing / 12) * (spacing / 12)))::BIGINT AS plants, round(area * depth / 324, 6) AS soil_cuyd
+FROM l LEFT JOIN s ON l.light = s.light AND area > 0""")
+def planter_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Three styles for each gap by rule, after a service that is down; a gap without area keeps a row without a style."""
+    k = F.col("p_partkey")
+    gaps = bind.t(spark, d, "part").select(k.alias("gap_id"), (F.col("p_size") % 20).cast("double").alias("area_sqft"), F.when(k % 7 != 0, (k % 10).cast("double")).alias("sun_hours"))
+    e = services.ask(gaps, [services.Failing("live", "no network"), services.estimate_planter()], services.ESTIMATE)
+    e = e.select("gap_id", "service", F.size("errors").alias("failed"), "area_sqft", F.explode_outer("result").alias("s"))
+    plants = F.when(F.col("s").isNotNull(), money.plant_count(F.col("area_sqft"), F.col("s.spacing")))
+    return e.select("gap_id", "service", "failed", "s.style", "s.plant", plants.alias("plants"), F.round(money.soil_volume_cuyd(F.col("area_sqft"), F.col("s.depth")), 6).alias("soil_cuyd"))
+
+
 # --- geometry ---
 @query(f"WITH {bind.ZONES} SELECT zone_id, w * h AS area_sqft, 2 * (w + h) AS perimeter_ft, round(w * h * 4 / 12.0::DOUBLE, 6) AS volume_cuft, round(w * h * 4 / 12.0::DOUBLE / 27.0::DOUBLE, 6) AS volume_cuyd FROM z")
 def zone_measures(spark: SparkSession, d: str) -> DataFrame:
