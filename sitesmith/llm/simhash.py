@@ -175,6 +175,42 @@ def _similar(similarity: float):
     return run
 
 
+def _set_rows(batches):
+    """A row a shingle: the node, its group, the size of its set."""
+    for b in batches:
+        for node, g, s in zip(b.column("node").to_pylist(), b.column("g").to_pylist(), b.column("s")):
+            h = np.frombuffer(s.as_buffer(), np.int64)
+            cols = [np.full(len(h), x, np.int64) for x in (node, g, len(h))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(h)], names=["node", "g", "n", "h"])
+
+
+#: Sets are told apart by size, a class this much larger than the one before.
+SIZE_STEP = 1.03
+
+
+def prefix_pairs(tokens: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, g, n, h): sets of n hashes -> pairs (u, v) of different g, among them every pair of Jaccard similarity `similarity` or more.
+
+    Hashes are put in order of how many of the sets have them. Sets of sizes n and m that are alike share
+    c = similarity / (1 + similarity) * (n + m) hashes, so the first that they share lies among the first n - c + 1 of the one
+    and m - c + 1 of the other. A set sends these to the sizes m that it can be like, by classes of size. Hashes that one
+    set alone has count in the order but are not sent: sets that share a frame and differ in more than
+    a ninth or so, however many, meet nobody.
+    """
+    common = tokens.join(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h")
+    sets = common.groupBy("node", "g", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    size_class = lambda n: F.floor(F.log(n) / math.log(SIZE_STEP) + 1e-9)
+    n, eps = F.col("n").cast("double"), 1e-9
+    sent = sets.withColumn("c", size_class(n)).withColumn("k", F.explode(F.sequence(size_class(F.greatest(F.ceil(n * similarity - eps), F.lit(1))), size_class(n / similarity + eps))))
+    least = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("k")) * (1 - 1e-6), n * similarity)
+    shared = (n + least) * (similarity / (1 + similarity)) - eps
+    last = F.floor(n - shared)  # the place of the last hash that can be the first shared one
+    many = F.least(last + 1 - (F.col("n") - F.size("hs")), F.size("hs"))
+    sent = sent.withColumn("many", many.cast("int")).where("many > 0").select("node", "g", "c", "k", F.explode(F.expr("slice(hs, 1, many)")).alias("x")).select("node", "g", "c", "k", F.col("x.h").alias("h"))
+    back = sent.select(F.col("node").alias("v"), F.col("g").alias("vg"), F.col("c").alias("k"), F.col("k").alias("c"), "h")
+    return sent.join(back, ["h", "c", "k"]).where("node < v and g <> vg").select(F.col("node").alias("u"), "v").distinct()
+
+
 #: A second order of nodes: by their bits where these are set turned over.
 OTHER = 0x2545F4914F6CDD1D
 #: Variants that a task makes at a time, so that its table of buckets stays in memory.
@@ -196,11 +232,10 @@ def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, simi
     nodes has node, mark, t0, ...; texts has mark and text. Every number of a node emits itself
     and its one-bit flips; nodes within two bits share such a variant. A variant's bucket is
     aggregated to its size, smallest and largest node and the exclusive or of all: that tells the members of a
-    bucket of two or three, which are nearly all. In a larger one all are compared with leaders, its smallest and its largest
-    node by two orders, unless links found before have made them one group; those that are like none go on with leaders
-    from what is left, until nobody is, so that in each of its buckets every node is either of one group with a leader or like none of
-    the nodes that led there. All bits together rule out unlike pairs first; shingle sets are read again for the
-    others. The joins have one row a key on one side, so a bucket of any size is split by AQE.
+    bucket of two or three, which are nearly all. In a larger one all are compared with its smallest node. Where that leaves
+    more than one group in a bucket, the ends of each group by two orders (its smallest and largest nodes) meet by `prefix_pairs`, which finds every like pair
+    of them. The number of jobs does not depend on the buckets. All bits together rule out unlike pairs first; shingle sets are read again for the
+    others. The joins of buckets have one row a key on one side, so a bucket of any size is split by AQE.
     """
     spark = nodes.sparkSession
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -236,25 +271,19 @@ def near_links(texts: DataFrame, nodes: DataFrame, tables: int, width: int, simi
     open_ = kept(all_.join(maybe_broadcast(large.select("key")), "key", "left_semi"), "near-open")
     first = open_.join(large, "key").where("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v"))
     links = similar(pairs.unionByName(first).distinct())
-    while not open_.isEmpty():
-        # who is in one group already need not be compared
-        group = connected_components(links).withColumnRenamed("component", "g")
-        other = F.col("node").bitwiseXOR(F.lit(OTHER))
-        leaders = open_.groupBy("key").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3")).where("l0 < l1")
-        led = open_.join(leaders.select("key", F.array_distinct(F.array("l0", "l1", "l2", "l3")).alias("ends")), "key").where(~F.array_contains("ends", F.col("node")))
-        led = led.unionByName(leaders.select(F.col("l0").alias("node"), "key", F.array_distinct(F.array("l1", "l2", "l3")).alias("ends")).where(~F.array_contains("ends", F.col("node"))))
-        met = led.select("key", "node", F.explode("ends").alias("end")).join(group.select(F.col("id").alias("node"), "g"), "node", "left").join(group.select(F.col("id").alias("end"), F.col("g").alias("eg")), "end", "left")
-        met = met.select("key", "node", "end", (F.coalesce("g", "node") == F.coalesce("eg", "end")).alias("one"))
-        met = kept(met.groupBy("key", "node").agg(F.max("one").alias("done"), F.collect_list("end").alias("ends")).where("not done"), "near-met")  # four at most
-        tried = met.select(F.col("node"), F.explode("ends").alias("end"), "key")
-        found = similar(tried.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct())
-        links = links.unionByName(found)
-        # a node goes on where it is like none of its bucket's leaders; these themselves are done
-        sides = found.select(F.col("u").alias("node"), F.col("v").alias("end")).unionByName(found.select(F.col("v").alias("node"), F.col("u").alias("end")))
-        like = tried.join(sides, ["node", "end"], "left_semi").select("key", "node").distinct()
-        ended = leaders.select("key", F.explode(F.array("l0", "l1", "l2", "l3")).alias("node")).distinct()
-        open_ = kept(met.select("key", "node").join(like, ["key", "node"], "left_anti").join(ended, ["key", "node"], "left_anti"), "near-open")
-        free_shuffles(spark)
+    # who is in one group already need not be compared: each group of a bucket sends its ends by two orders
+    group = connected_components(links).select(F.col("id").alias("node"), F.col("component").alias("g"))
+    other = F.col("node").bitwiseXOR(F.lit(OTHER))
+    ends = open_.join(maybe_broadcast(group), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    ends = kept(ends.groupBy("key", "g").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min(other).bitwiseXOR(F.lit(OTHER)).alias("l2"), F.max(other).bitwiseXOR(F.lit(OTHER)).alias("l3")), "near-ends")
+    several = ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    who = kept(ends.join(several, "key", "left_semi").select("g", F.explode(F.array("l0", "l1", "l2", "l3")).alias("node")).distinct(), "near-who")
+    free_shuffles(spark)
+    if not who.isEmpty():
+        marks = who.join(fp, who["node"] == fp["id"]).select(F.col("m").alias("mark")).distinct()
+        sets = in_batches(texts.join(maybe_broadcast(marks), "mark", "left_semi").select("text"), _shingle_sets, "node long, s binary").dropDuplicates(["node"])
+        tokens = kept(in_batches(sets.join(who, "node").select("node", "g", "s"), _set_rows, "node long, g long, n long, h long"), "near-tokens")
+        links = links.unionByName(similar(prefix_pairs(tokens, similarity)))
     links = stored(links.distinct(), "near-links")
     for path in paths:
         drop_path(spark, path)
