@@ -18,7 +18,7 @@ from sitesmith.llm.common import table
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     res = con.execute(queries.oracle_sql()[name])
     cols = [d[0] for d in res.description]
